@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from sequor.llm.common import Stash, gapless_rank, prepare
 
-CACHE_WORDS = 300_000
+#: Parts held in one generation, and two generations at once; about 150 bytes each.
+CACHE_WORDS = 500_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
@@ -29,7 +30,9 @@ class WordCodec:
     """Token ids of text by a pre-tokenizer that never joins across spaces or line ends.
 
     The ids of a text are those of its space- or newline-separated parts, so parts are encoded
-    once and held as little-endian bytes in a bounded table.
+    once and held as little-endian bytes. Capitals A-Z are lowered first, as the tokenizer itself
+    does (unless a special token's mark could arise), and a last full stop or comma after a letter
+    a-z is a part of its own. Two generations of bounded tables hold the parts in use.
     """
 
     held: dict[str, WordCodec] = {}
@@ -38,7 +41,9 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.tails = {c: self.ids([c.to_bytes()])[0] for c in b".,"}
 
     @classmethod
     def of(cls, path: str) -> WordCodec:
@@ -46,19 +51,42 @@ class WordCodec:
             cls.held[path] = cls(path)
         return cls.held[path]
 
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def learn(self, new: set[bytes]) -> None:
+        for w in [w for w in new if w in self.older]:
+            self.words[w] = self.older[w]
+            new.discard(w)
+        tailed = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122}
+        stems = new.difference(tailed) | set(tailed.values())
+        found = {}
+        for w in stems:
+            x = self.words.get(w)
+            if x is None:
+                x = self.older.get(w)
+            if x is not None:
+                found[w] = x
+        rest = list(stems.difference(found))
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
+            found.update(zip(some, self.ids(some), strict=True))
+        self.words.update(found)
+        for w, stem in tailed.items():
+            self.words[w] = found[stem] + self.tails[w[-1]]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p}.difference(self.words))
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {"": b""}
-            new = list({w for p in parts for w in p if w})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.words.__getitem__
-        for p in parts:
-            yield b"".join(map(get, p))
+        for k in range(0, len(texts), 250):
+            raw = [(t or "").encode() for t in texts[k : k + 250]]
+            parts = [(r if b"<|" in r else r.lower()).replace(b"\n", b" ").split(b" ") for r in raw]
+            words = set().union(*parts)
+            if len(self.words) + len(words) > CACHE_WORDS:
+                self.words, self.older = {}, self.words
+            if new := words.difference(self.words):
+                self.learn(new)
+            get = self.words.__getitem__
+            for p in parts:
+                yield b"".join(map(get, p))
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 from sequor.llm.common import prepare
 from sequor.llm.packing import vocabulary
 
-CACHE_UNITS = 300_000
+#: Units held in one generation, and two generations at once; about 150 bytes each.
+CACHE_UNITS = 500_000
 #: Units of more bytes are encoded without being held.
 HELD_BYTES = 64
-UNITS = re.compile(rb" +[^ ]*|[^ ]+")
+UNITS = re.compile(rb" *[^ \n]+|\n| +")
 
 
 class DoubleArray:
@@ -98,11 +99,12 @@ class PieceCodec:
             else:
                 self.text_of.append(piece)
                 keys[piece] = k
-                if b" " in piece.lstrip(b" "):
-                    raise ValueError("pieces with a marker inside can't be encoded unit by unit")
+                if b" " in piece.lstrip(b" ") or b"\n" in piece or re.search(rb"[A-Za-z][.,]", piece):
+                    raise ValueError("such pieces can cross the borders of units")
         self.unknown = min(self.score[k] for k in keys.values() if self.score[k] > -1e8) - 10.0
         self.trie = DoubleArray(keys)
         self.units: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceCodec:
@@ -148,21 +150,37 @@ class PieceCodec:
         return out[::-1], best[n]
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids. Units are runs of spaces with the word after them: no piece crosses one."""
+        """Little-endian 32-bit ids, unit by unit: no piece crosses a unit's border.
+
+        Units are line ends and runs of spaces with the word after them, without its last full stop
+        or comma if a letter A-Z or a-z stands before it.
+        """
         if not text:
             return b""
-        units, out = self.units, []
+        out = []
+        get = self.units.get
         for u in UNITS.findall(b" " + text.encode()):
-            ids = units.get(u)
+            ids = get(u)
             if ids is None:
-                ids = np.array(self.viterbi(u)[0], "<u4").tobytes()
-                if len(u) <= HELD_BYTES:
-                    if len(units) >= CACHE_UNITS:
-                        units.clear()
-                    units[u] = ids
+                ids = self.learn(u)
+                get = self.units.get
             out.append(ids)
         return b"".join(out)
 
+    def learn(self, u: bytes) -> bytes:
+        ids = self.older.get(u)
+        if ids is None:
+            if len(u) > 2 and u[-1] in b".," and u[-2:-1].isalpha():
+                stem = u[:-1]
+                ids = (self.units.get(stem) or self.learn(stem)) + np.array(self.viterbi(u[-1:])[0], "<u4").tobytes()
+            else:
+                ids = np.array(self.viterbi(u)[0], "<u4").tobytes()
+        if len(u) <= HELD_BYTES:
+            if len(self.units) >= CACHE_UNITS:
+                self.units, self.older = {}, self.units
+            self.units[u] = ids
+        return ids
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
