@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -17,6 +19,7 @@ from sequor.llm.common import Stash, gapless_rank, prepare
 
 #: Parts held in one generation, and two generations at once; about 150 bytes each.
 CACHE_WORDS = 500_000
+TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
@@ -31,7 +34,7 @@ class WordCodec:
 
     The ids of a text are those of its space- or newline-separated parts, so parts are encoded
     once and held as little-endian bytes. Capitals A-Z are lowered first, as the tokenizer itself
-    does (unless a special token's mark could arise), and a last full stop or comma after a letter
+    does (unless a special token's mark could arise), and final ASCII punctuation after a letter
     a-z is a part of its own. Two generations of bounded tables hold the parts in use.
     """
 
@@ -40,10 +43,14 @@ class WordCodec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # several workers share a machine: one thread each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.tails = {c: self.ids([c.to_bytes()])[0] for c in b".,"}
 
     @classmethod
     def of(cls, path: str) -> WordCodec:
@@ -52,14 +59,37 @@ class WordCodec:
         return cls.held[path]
 
     def ids(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        """The ids of each word. Words of letters alone are one pre-token and end with an end-of-word
+        token, so they are encoded a hundred at a time and cut there."""
+        out: list[bytes] = [b""] * len(words)
+        single, text = [], []
+        for k, w in enumerate(words):
+            t = w.decode()
+            if t.isalpha() and (t.isascii() or unicodedata.normalize("NFC", t).lower().isalpha()):
+                single.append(k)
+                text.append(t)
+            elif t:
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        lines = [" ".join(text[k : k + 100]) for k in range(0, len(text), 100)]
+        for n, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            got = np.array(e.ids, "<u4")
+            raw, at = got.tobytes(), 0
+            cuts = ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
+            for k, c in zip(single[n * 100 : n * 100 + 100], cuts, strict=True):
+                out[k] = raw[at:c]
+                at = c
+        return out
 
     def learn(self, new: set[bytes]) -> None:
         for w in [w for w in new if w in self.older]:
             self.words[w] = self.older[w]
             new.discard(w)
-        tailed = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122}
-        stems = new.difference(tailed) | set(tailed.values())
+        tailed = {}
+        for w in new:
+            stem = w.rstrip(TAIL)
+            if stem and stem != w and 97 <= stem[-1] <= 122 and b"<|" not in w:
+                tailed[w] = (stem, w[len(stem) :])
+        stems = new.difference(tailed).union(*tailed.values()) if tailed else new
         found = {}
         for w in stems:
             x = self.words.get(w)
@@ -72,8 +102,8 @@ class WordCodec:
             some = rest[k : k + 20_000]
             found.update(zip(some, self.ids(some), strict=True))
         self.words.update(found)
-        for w, stem in tailed.items():
-            self.words[w] = found[stem] + self.tails[w[-1]]
+        for w, (stem, tail) in tailed.items():
+            self.words[w] = found[stem] + found[tail]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for k in range(0, len(texts), 250):
