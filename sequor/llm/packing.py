@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sequor.llm.common import Stash, gapless_rank, prepare
 
 #: Parts held in one generation, and two generations at once; about 150 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
