@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ PART = 1 << 20
 CACHE_WORDS = 300_000
 #: Different contexts of an anchor that one task resolves by suffix arrays; beyond it, by hashes of windows.
 CONTEXTS = 256
+#: Contexts that get a suffix array of their own when they come in.
+BATCH = 1000
 #: A null id counts as this one.
 NO_ID = -(1 << 63)
 
@@ -167,6 +170,15 @@ def signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64, copy=False).view(np.int64))
 
 
+def lists(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The structs of each list as arrays by field; a null list is empty."""
+    flat = column.flatten()
+    fields = {f.name: a.to_numpy(zero_copy_only=False) for f, a in zip(flat.type, flat.flatten(), strict=True)}
+    ends = np.cumsum(np.r_[0, pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)]).tolist()
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield {k: v[lo:hi] for k, v in fields.items()}
+
+
 def find_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,12 +200,12 @@ def open_windows(listed: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = kind.window
         for b in batches:
-            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True):
                 u = kind.units(text)
                 cols: list[list[np.ndarray]] = [[], [], []]
-                for r in found:
-                    h = kind.windows(kind.base(u[r["start"] : r["start"] + r["n"] + w - 1]))
-                    for x, y in zip(cols, (np.full(len(h), r["anchor"], np.int64), h.view(np.int64), np.arange(r["start"], r["start"] + len(h), dtype=np.int32)), strict=True):
+                for anchor, start, n in zip(*(found[c].tolist() for c in ("anchor", "start", "n")), strict=True):
+                    h = kind.windows(kind.base(u[start : start + n + w - 1]))
+                    for x, y in zip(cols, (np.full(len(h), anchor, np.int64), h.view(np.int64), np.arange(start, start + len(h), dtype=np.int32)), strict=True):
                         x.append(y)
                 a, h, s = map(np.concatenate, cols)
                 for k in range(0, len(a), 50_000):
@@ -208,13 +220,12 @@ def open_contexts(listed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True):
                 raw = text.encode()
-                rows += [(r["anchor"], doc, r["start"], r["n"], raw[r["start"] : r["start"] + r["n"] + 199]) for r in found]
-            for k in range(0, len(rows), 4000):
-                cols = zip(*rows[k : k + 4000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc", "start", "n", "content"])
+                for k in range(0, len(found["start"]), 4000):
+                    anchor, start, n = (found[c][k : k + 4000] for c in ("anchor", "start", "n"))
+                    content = [raw[x : x + y + 199] for x, y in zip(start.tolist(), n.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(start), doc, np.int64)), pa.array(start), pa.array(n), pa.array(content, pa.binary())], names=["anchor", "doc", "start", "n", "content"])
 
     return listed.mapInArrow(run, "anchor long, doc long, start int, n int, content binary")
 
@@ -238,17 +249,20 @@ class SuffixArray:
         same = np.r_[False, key[1:] == key[:-1]]
         # open: places in the order where runs of equal prefixes stand; only they are sorted further
         for k in range(8, Bytes.window, 8):
-            tied = same | np.r_[same[1:], False]
-            at = np.flatnonzero(tied)
+            at = np.flatnonzero(same | np.r_[same[1:], False])
             if not len(at):
                 break
-            group = np.cumsum(~same[at])
+            begin = np.flatnonzero(~same[at])
+            size = np.diff(np.r_[begin, len(at)])
             key = padded[place[at] + k]
+            differ = np.repeat(np.logical_or.reduceat(key != np.repeat(key[begin], size), begin), size)
+            if not differ.any():
+                continue
+            group = np.cumsum(~same[at])[differ]
+            at, key = at[differ], key[differ]
             order = np.lexsort((key, group))
-            place[at], owner[at] = place[at][order], owner[at][order]
-            key = key[order]
-            new = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
-            same[at] = new
+            place[at], owner[at], key = place[at][order], owner[at][order], key[order]
+            same[at] = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
         self.place, self.owner = place, owner
         twice[owner[same | np.r_[same[1:], False]]] = True
 
@@ -298,8 +312,8 @@ def by_suffix_arrays(contexts: DataFrame) -> DataFrame:
             family = LogarithmicFamily()
             doc, start, n = (t.column(c).to_numpy() for c in ("doc", "start", "n"))
             contents = t.column("content").to_pylist()
-            for k in range(0, len(contents), 500):
-                family.add(contents[k : k + 500], n[k : k + 500].astype(np.int64))
+            for k in range(0, len(contents), BATCH):
+                family.add(contents[k : k + BATCH], n[k : k + BATCH].astype(np.int64))
             hit = family.repeated()
             if hit.any():
                 ends = np.cumsum(n, dtype=np.int64)
@@ -320,8 +334,10 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
     spark = docs.sparkSession
     runs = Stash(find_runs(docs, kind))
     shared = runs.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("context") != F.max("context")).alias("open")).where("k > 1")
-    found = Stash(runs.df.join(shared.select("anchor", "open"), "anchor"))
+    shared = Stash(shared.select("anchor", "open"))  # a table, so that the join has its own exchanges and skew can be split
+    found = Stash(runs.df.join(shared.df, "anchor"))
     runs.drop()
+    shared.drop()
     release(spark)
     equal = Stash(found.df.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "start", "n")).alias("first"), F.max("open").alias("open")))
     several = equal.df.where("k > 1").select("anchor", "context", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0"))
@@ -342,14 +358,13 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
         return docs.join(of, "doc").select("doc", "text", "found")
 
     windows = Stash(open_windows(listed(True), kind))
+    first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    first = Stash(first.select("anchor", "hash", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")))
+    some = windows.df.join(first.df, ["anchor", "hash"])
     if later:
-        first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        some = windows.df.join(first.select("anchor", "hash", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")), ["anchor", "hash"])
         some = some.where("doc > doc0 or (doc = doc0 and start > start0)")
-    else:
-        some = windows.df.join(windows.df.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "hash"), ["anchor", "hash"])
     out = whole.unionAll(some.select("doc", "start", F.lit(1).alias("n")))
-    kept = [found, equal, runs_left, windows]
+    kept = [found, equal, runs_left, windows, first]
     if kind is Bytes:
         out = out.unionAll(by_suffix_arrays(open_contexts(listed(False))))
     done = Stash(out.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("found")))
@@ -359,12 +374,13 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
     return done.df, [done]
 
 
-def covered(size: int, window: int, found: list[dict] | None) -> np.ndarray:
+Found = dict[str, np.ndarray]
+
+
+def covered(size: int, window: int, found: Found) -> np.ndarray:
     """Which units lie in a listed window."""
-    step = np.zeros(size + 1, np.int64)
-    for r in found or ():
-        step[r["start"]] += 1
-        step[min(size, r["start"] + r["n"] + window - 1)] -= 1
+    start, n = found["start"], found["n"]
+    step = np.bincount(start, minlength=size + 1) - np.bincount(np.minimum(size, start + n + window - 1), minlength=size + 1)
     return np.cumsum(step[:size]) > 0
 
 
@@ -377,13 +393,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def digests(docs: DataFrame, kind: Kind, later: bool, columns: list[str], measure: Callable[[str, list | None], tuple]) -> DataFrame:
+def digests(docs: DataFrame, kind: Kind, later: bool, columns: list[str], measure: Callable[[str, Found], tuple]) -> DataFrame:
     prepare(docs.sparkSession)
     found, _ = repeated_stretches(docs, kind, later)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(t, f) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rows = [measure(t, f) for t, f in zip(b.column(1).to_pylist(), lists(b.column(2)), strict=True)]
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * (len(columns) - 1) + [pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *columns])
@@ -401,10 +417,10 @@ def remove_later_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places don't precede each other. Null ids count as the smallest.
     """
 
-    def measure(text: str, found: list | None) -> tuple:
+    def measure(text: str, found: Found) -> tuple:
         words = FIND(text)
         gone = covered(len(words), Words.window, found)
-        kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if found else " ".join(words)
+        kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         return len(words), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()
 
     return digests(keyed(docs, id_col, text_col), Words, True, ["n_words", "n_removed", "kept_sha256"], measure)
@@ -417,18 +433,18 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null texts lose nothing. Repeated rows repeat each other.
     """
 
-    def measure(text: str, found: list | None) -> tuple:
+    def measure(text: str, found: Found) -> tuple:
         raw = np.frombuffer(text.encode(), np.uint8)
         gone = covered(len(raw), Bytes.window, found)
-        kept = raw[~gone] if found else raw
+        kept = raw[~gone]
         return len(raw), int(gone.sum()), len(spans(gone)[0]), hashlib.sha256(kept.tobytes()).hexdigest()
 
     return digests(keyed(docs, id_col, text_col), Bytes, False, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], measure)
 
 
-def without_spans(text: str, found: list | None) -> str:
+def without_spans(text: str, found: Found) -> str:
     """The text without its repeated bytes; characters that are only partly repeated stay."""
-    if not found or not text:
+    if not text or not len(found["start"]):
         return text
     raw = np.frombuffer(text.encode(), np.uint8)
     gone = covered(len(raw), Bytes.window, found)
@@ -452,14 +468,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = list(b.columns[:-1])
-            found = b.column(len(cols)).to_pylist()
+            found = list(lists(b.column(len(cols))))
             texts = b.column(at).to_pylist()
             new = [t and without_spans(t, f) for t, f in zip(texts, found, strict=True)]
             cols[at] = pa.array(new, pa.string())
             if chars_col in docs.columns:
                 k = docs.columns.index(chars_col)
                 old = cols[k].to_pylist()
-                cols[k] = pa.array([len(t) if f and t is not None else n for t, f, n in zip(new, found, old, strict=True)], cols[k].type)
+                cols[k] = pa.array([len(t) if t is not None and len(f["start"]) else n for t, f, n in zip(new, found, old, strict=True)], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
 
     return d.select(*docs.columns, "_sq_found").mapInArrow(run, docs.schema)
