@@ -335,6 +335,7 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
     runs = Stash(find_runs(docs, kind))
     shared = runs.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("context") != F.max("context")).alias("open")).where("k > 1")
     shared = Stash(shared.select("anchor", "open"))  # a table, so that the join has its own exchanges and skew can be split
+    release(spark)
     found = Stash(runs.df.join(shared.df, "anchor"))
     runs.drop()
     shared.drop()
@@ -358,6 +359,7 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
         return docs.join(of, "doc").select("doc", "text", "found")
 
     windows = Stash(open_windows(listed(True), kind))
+    release(spark)
     first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     first = Stash(first.select("anchor", "hash", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")))
     some = windows.df.join(first.df, ["anchor", "hash"])
