@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +53,29 @@ def times_input(x: Column, scores: Column) -> Column:
     return F.zip_with(x, scores, lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v))
 
 
-def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """Add out = f(batch, frame), where batch stacks the arrays of x, for each length in the batch."""
+def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], key: str | None = None) -> DataFrame:
+    """Add out = f(batch, keys), where batch stacks the maps of x that have one length.
+
+    Maps go from Arrow to NumPy and back without Python objects for single values.
+    """
     schema = df.withColumn(out, F.lit(None).cast(kind)).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            for _, g in p.groupby(p[x].map(len)):
-                got = f(np.stack([np.stack(v) for v in g[x]]).astype(float), g)
-                yield g.assign(**{out: [v.tolist() if isinstance(v, np.ndarray) else v for v in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = pc.list_value_length(b.column(x)).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                g = b.take(pa.array(np.flatnonzero(lengths == n)))
+                rows = g.column(x).flatten()
+                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+                got = f(flat.reshape(g.num_rows, int(n), -1), {key: g.column(key).to_numpy(zero_copy_only=False)} if key else {})
+                if got.ndim == 1:
+                    col = pa.array(got)
+                else:
+                    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, max(1, got.shape[2]), dtype=np.int32)), pa.array(got.ravel()))
+                    col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, max(1, got.shape[1]), dtype=np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([*g.columns, col], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 MAP = "array<array<double>>"
@@ -76,13 +89,13 @@ def saliency(df: DataFrame, model: Model, x: str = "x", out: str = "saliency") -
     return _apply(df, x, out, MAP, lambda b, _: model.gradient(b))
 
 
-def _noise(frame: pd.DataFrame, key: str, seed: int, shape: tuple[int, ...], k: int) -> np.ndarray:
+def _noise(frame: dict[str, np.ndarray], key: str, seed: int, shape: tuple[int, ...], k: int) -> np.ndarray:
     return np.stack([np.random.default_rng([seed, k, int(h) & 0xFFFFFFFF]).standard_normal(shape) for h in frame[key]])
 
 
 def smoothgrad(df: DataFrame, model: Model, key: str, x: str = "x", n: int = 25, sigma: float = 0.1, seed: int = 0, out: str = "smoothgrad") -> DataFrame:
     """Mean gradient over n noisy copies; noise depends on seed, row key and copy alone."""
-    return _apply(df, x, out, MAP, lambda b, g: np.mean([model.gradient(b + sigma * _noise(g, key, seed, b.shape[1:], k)) for k in range(n)], axis=0))
+    return _apply(df, x, out, MAP, lambda b, g: np.mean([model.gradient(b + sigma * _noise(g, key, seed, b.shape[1:], k)) for k in range(n)], axis=0), key)
 
 
 def _integrated(model: Model, b: np.ndarray, base: np.ndarray, steps: int) -> np.ndarray:
@@ -98,20 +111,20 @@ def integrated_gradients(df: DataFrame, model: Model, x: str = "x", steps: int =
 def expected_gradients(df: DataFrame, model: Model, key: str, x: str = "x", baselines: int = 25, steps: int = 20, seed: int = 0, out: str = "expected") -> DataFrame:
     """Mean of integrated gradients over baselines that shuffle each row's places."""
 
-    def f(b: np.ndarray, g: pd.DataFrame) -> np.ndarray:
+    def f(b: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
         total = np.zeros_like(b)
         for k in range(baselines):
             base = np.stack([v[np.random.default_rng([seed, k, int(h) & 0xFFFFFFFF]).permutation(len(v))] for v, h in zip(b, g[key], strict=True)])
             total += _integrated(model, b, base, steps)
         return total / baselines
 
-    return _apply(df, x, out, MAP, f)
+    return _apply(df, x, out, MAP, f, key)
 
 
 def perturb(df: DataFrame, model: Model, x: str = "x", eps: float = 0.1, rate: float = 0.1, steps: int = 10, decay: bool = False, sign: bool = True, out: str = "perturbed") -> DataFrame:
     """Gradient ascent kept within eps of the input at each step; steps = 1, rate = eps is the one-step attack."""
 
-    def f(b: np.ndarray, _: pd.DataFrame) -> np.ndarray:
+    def f(b: np.ndarray, _: dict[str, np.ndarray]) -> np.ndarray:
         y = b.copy()
         for i in range(steps):
             g = model.gradient(y)
@@ -122,7 +135,7 @@ def perturb(df: DataFrame, model: Model, x: str = "x", eps: float = 0.1, rate: f
 
 
 def add_noise(df: DataFrame, key: str, x: str = "x", sigma: float = 0.1, seed: int = 0, out: str = "noisy") -> DataFrame:
-    return _apply(df, x, out, MAP, lambda b, g: b + sigma * _noise(g, key, seed, b.shape[1:], 0))
+    return _apply(df, x, out, MAP, lambda b, g: b + sigma * _noise(g, key, seed, b.shape[1:], 0), key)
 
 
 def gumbel_softmax(logits: Column, key: Column, temperature: float = 1.0, seed: int = 0) -> Column:

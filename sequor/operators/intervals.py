@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,25 +157,25 @@ def greedy_merge_island(peaks: list[tuple[float, float, frozenset[int]]], length
 def greedy_merge(df: DataFrame, length: int, overlap: int, by: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """Regions (by.., start_pos, end_pos, activity) merged within islands.
 
-    Order-dependent, so islands of two and more go to a Python function, one island at a time; an
-    island is short, unlike a chromosome. Single intervals pass by.
+    Order-dependent, so islands of two and more go to a Python function, many rows of one island each
+    in a batch; an island is short, unlike a chromosome. Single intervals pass by.
     """
     d = df.withColumn("length", F.lit(None).cast("long")) if sizes is None else df.join(F.broadcast(sizes.select("chrom", F.col("length").cast("long").alias("length"))), "chrom", "left")
     d = islands(d, overlap, by, ["end_pos"])
     keys = [*by, "island"]
-    sized = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(sized, keys)
     schema = d.select(*by, "start_pos", "end_pos", "activity").schema
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[tuple(a) for a in pdf["activity"]]).sort_values(["start_pos", "end_pos", "key"], kind="stable")
-        size = pdf["length"].iloc[0]
-        got = greedy_merge_island([(float(s), float(e), frozenset(a)) for s, e, a in zip(pdf["start_pos"], pdf["end_pos"], pdf["activity"], strict=True)], length, overlap, None if pd.isna(size) else float(size))
-        head = {c: [pdf[c].iloc[0]] * len(got) for c in by}
-        return pd.DataFrame(head | {"start_pos": [int(s) for s, _, _ in got], "end_pos": [int(e) for _, e, _ in got], "activity": [sorted(a) for _, _, a in got]})
-
-    one = d.where("_n = 1").select(*by, "start_pos", "end_pos", "activity")
-    return one.unionByName(d.where("_n > 1").groupBy(*keys).applyInPandas(merge, schema))
+    grouped = d.groupBy(*keys).agg(F.max("length").alias("_len"), F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", F.array_sort("activity").alias("activity")))).alias("_peaks"))
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            rows = []
+            for head, size, found in zip(p[by].itertuples(index=False, name=None), p["_len"], p["_peaks"], strict=True):
+                peaks = [(float(x["start_pos"]), float(x["end_pos"]), frozenset(x["activity"])) for x in found]
+                rows += [(*head, int(s), int(e), sorted(a)) for s, e, a in greedy_merge_island(peaks, length, overlap, None if pd.isna(size) else float(size))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    one = grouped.where("size(_peaks) = 1").select(*by, F.col("_peaks")[0]["start_pos"].alias("start_pos"), F.col("_peaks")[0]["end_pos"].alias("end_pos"), F.col("_peaks")[0]["activity"].alias("activity"))
+    return one.unionByName(grouped.where("size(_peaks) > 1").select(*by, "_len", "_peaks").mapInPandas(merge, schema))
 
 
 def activity_row(n_targets: int, activity: Column) -> Column:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ground-truth motifs and their matrix identifiers (fixed values: public JASPAR accessions).
+# Names and public matrix identifiers of the ground-truth motifs.
 MOTIF_IDS = {
+    "Arid3": ["MA0151.1", "MA0601.1", "PB0001.1"],
     "CEBPB": ["MA0466.1", "MA0466.2"],
-    "GABPA": ["MA0062.2"],
+    "FOSL1": ["MA0477.1"],
+    "GABPA": ["MA0062.1", "MA0062.2"],
+    "MAFK": ["MA0496.1", "MA0496.2"],
     "MAX": ["MA0058.1", "MA0058.2", "MA0058.3"],
+    "MEF2A": ["MA0052.1", "MA0052.2", "MA0052.3"],
+    "NFYB": ["MA0502.1", "MA0060.1", "MA0060.2"],
     "SP1": ["MA0079.1", "MA0079.2", "MA0079.3"],
     "SRF": ["MA0083.1", "MA0083.2", "MA0083.3"],
+    "STAT1": ["MA0137.1", "MA0137.2", "MA0137.3", "MA0660.1", "MA0773.1"],
     "YY1": ["MA0095.1", "MA0095.2"],
 }
 
@@ -61,7 +67,7 @@ def trim(rows: DataFrame, by: str, threshold: float = 0.5, pad: int = 3, eps: fl
 
 def meme_text(rows: DataFrame, by: str) -> DataFrame:
     """motif, text: each motif's block of a MEME file, four decimals, nsites as wide as the matrix."""
-    line = F.format_string("%.4f %.4f %.4f %.4f", *(F.get("p", k) for k in range(4)))
+    line = F.format_string("%.4f %.4f %.4f %.4f", *(F.bround(F.get("p", k), 4) for k in range(4)))
     g = rows.groupBy(F.col(by).alias("motif")).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("_l"))
     head = F.format_string("MOTIF filter%s\nletter-probability matrix: alength= 4 w= %d nsites= %d\n", F.col("motif").cast("string"), F.size("_l"), F.size("_l"))
     return g.select("motif", F.concat(head, F.array_join(F.transform("_l", lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
