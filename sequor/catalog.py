@@ -284,7 +284,7 @@ def w16(s, d):
     return split.by_chromosome(fx.peaks(s, d), ["chr2", "chr3"], ["chr3", "chr4"]).select("peak_id", "split")
 
 
-@query("w14_split_sizes", "SELECT 'train' AS split, CAST(floor(count(*) * 0.7) AS BIGINT) AS n FROM documents UNION ALL SELECT 'valid', CAST(floor(count(*) * (0.7 + 0.1)) - floor(count(*) * 0.7) AS BIGINT) FROM documents UNION ALL SELECT 'test', CAST(count(*) - floor(count(*) * (0.7 + 0.1)) AS BIGINT) FROM documents")
+@query("w14_split_sizes", "SELECT 'train' AS split, CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS n FROM documents UNION ALL SELECT 'valid', CAST(floor(count(*) * (CAST(0.7 AS DOUBLE) + CAST(0.1 AS DOUBLE))) - floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) FROM documents UNION ALL SELECT 'test', CAST(count(*) - floor(count(*) * (CAST(0.7 AS DOUBLE) + CAST(0.1 AS DOUBLE))) AS BIGINT) FROM documents")
 def w14(s, d):
     x = split.by_fraction(fx.table(s, d, "documents").select("doc_id"), "doc_id", 0.7, 0.1, seed=42)
     return x.groupBy("split").agg(F.count_distinct("doc_id").alias("n"))

@@ -16,10 +16,10 @@ def sequence_features(stream: DataFrame, seq: str = "seq") -> DataFrame:
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows and sums of value by tumbling window; state is dropped once the watermark has passed."""
     w = F.window(time, width)
-    d = stream.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    d = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return d.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
 
 
 def session_counts(stream: DataFrame, time: str, by: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    d = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    d = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return d.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
