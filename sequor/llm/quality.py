@@ -44,7 +44,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn(P + "places", F.sort_array(F.transform(F.filter(o, twice), lambda x: x["p"])))
     new = F.transform(q, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(q, i + 1) - p, F.lit(3))))
     d = d.withColumn(P + "n_repeat_words", F.coalesce(F.aggregate(new, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    return d.drop(*(P + x for x in ("text", "words", "lines", "hashes", "ordered", "places")))
+    # A column that isn't deterministic keeps filters above this projection: pushed down, they would hold
+    # each step's expression once for every time the next step names it.
+    return d.withColumn(P + "row", F.monotonically_increasing_id()).drop(*(P + x for x in ("text", "words", "lines", "hashes", "ordered", "places")))
 
 
 def m(name: str) -> Column:
@@ -146,7 +148,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -
     """The documents that pass, with all their columns. The texts are read twice: to fit, to filter."""
     prepare(docs.sparkSession)
     posterior = fit(measures(docs.select(F.col(text_col).alias("_text")), "_text").drop("_text"))
-    return measures(docs, text_col).where(~base_failed() & (posterior >= threshold)).select(*docs.columns)
+    return measures(docs, text_col).where((m("row") >= 0) & ~base_failed() & (posterior >= threshold)).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

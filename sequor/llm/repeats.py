@@ -41,8 +41,8 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Units (words or bytes) of a text worked on at once; longer texts go in overlapping parts.
 PART = 1 << 20
 CACHE_WORDS = 300_000
-#: Different contexts of an anchor that one task resolves by suffix arrays; beyond it, by hashes of windows.
-CONTEXTS = 256
+#: Different contexts of an anchor (5 MB of bytes) that one task resolves by suffix arrays; beyond it, by hashes of windows.
+CONTEXTS = 16_384
 #: Contexts that get a suffix array of their own when they come in.
 BATCH = 1000
 #: A null id counts as this one.
