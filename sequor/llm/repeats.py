@@ -465,7 +465,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(docs.sparkSession)
     found, _ = repeated_stretches(keyed(docs, id_col, text_col), Bytes, False)
     d = docs.withColumn("_sq_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found.select(F.col("doc").alias("_sq_doc"), F.col("found").alias("_sq_found")), "_sq_doc", "left")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -474,13 +475,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = b.column(at).to_pylist()
             new = [t and without_spans(t, f) for t, f in zip(texts, found, strict=True)]
             cols[at] = pa.array(new, pa.string())
-            if chars_col in docs.columns:
-                k = docs.columns.index(chars_col)
+            if chars_col in names:
+                k = names.index(chars_col)
                 old = cols[k].to_pylist()
                 cols[k] = pa.array([len(t) if t is not None and len(f["start"]) else n for t, f, n in zip(new, found, old, strict=True)], cols[k].type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return d.select(*docs.columns, "_sq_found").mapInArrow(run, docs.schema)
+    return d.select(*names, "_sq_found").mapInArrow(run, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
