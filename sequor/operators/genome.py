@@ -11,9 +11,12 @@ TILE = 1 << 16
 
 
 def tile(genome: DataFrame, width: int = TILE) -> DataFrame:
-    """(chrom, seq) -> (chrom, tile, part): no row holds a whole chromosome."""
-    at = F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / width).cast("int"))
-    return genome.select("chrom", "seq", F.explode(at).alias("tile")).select("chrom", "tile", F.expr(f"substring(seq, tile * {width} + 1, {width})").alias("part"))
+    """(chrom, seq) -> (chrom, tile, part): no row holds a whole chromosome.
+
+    One pass cuts all parts; taking substrings would look for each tile's start from the beginning.
+    """
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return genome.select("chrom", F.posexplode(parts).alias("tile", "part"))
 
 
 def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TILE, strand: bool = True) -> DataFrame:
