@@ -202,12 +202,13 @@ def open_windows(listed: DataFrame, kind: Kind) -> DataFrame:
         for b in batches:
             for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True):
                 u = kind.units(text)
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for anchor, start, n in zip(*(found[c].tolist() for c in ("anchor", "start", "n")), strict=True):
-                    h = kind.windows(kind.base(u[start : start + n + w - 1]))
-                    for x, y in zip(cols, (np.full(len(h), anchor, np.int64), h.view(np.int64), np.arange(start, start + len(h), dtype=np.int32)), strict=True):
-                        x.append(y)
-                a, h, s = map(np.concatenate, cols)
+                anchor, start, n = (found[c] for c in ("anchor", "start", "n"))
+                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                if len(u) < PART:  # all windows at once, then those of the runs
+                    h = kind.windows(kind.base(u))[at].view(np.int64)
+                else:
+                    h = np.concatenate([kind.windows(kind.base(u[x : x + y + w - 1])) for x, y in zip(start.tolist(), n.tolist(), strict=True)]).view(np.int64)
+                a, s = np.repeat(anchor, n), at.astype(np.int32)
                 for k in range(0, len(a), 50_000):
                     cut = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(h[cut]), pa.array(np.full(len(a[cut]), doc, np.int64)), pa.array(s[cut])], names=["anchor", "hash", "doc", "start"])
