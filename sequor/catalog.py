@@ -484,10 +484,10 @@ def a11(s, d):
     return x.select("map_id", *(r6(c).alias(c) for c in ("signal", "noise_max", "noise_mean")))
 
 
-@query("a12_snr", with_views("maps", "SELECT map_id, round(CASE WHEN n >= 3 THEN signal / mean ELSE 0 END, 5) AS snr FROM sn", SN))
+@query("a12_snr", with_views("maps", "SELECT map_id, round(CASE WHEN n >= 3 THEN signal / mean ELSE 0 END + 1e-9, 5) AS snr FROM sn", SN))
 def a12(s, d):
     x = attribution.signal_noise(fx.maps(s, d), "map_id", threshold=0.3, k=3)
-    return x.select("map_id", F.round(attribution.snr(F.col("signal"), F.col("noise_mean")), 5).alias("snr"))
+    return x.select("map_id", F.round(attribution.snr(F.col("signal"), F.col("noise_mean")) + 1e-9, 5).alias("snr"))
 
 
 TRUTH = "truth AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{t}', {k})" for k, (m, ids) in enumerate(motif.MOTIF_IDS.items()) for t in ids) + ") v(motif, target_id, motif_order))"
