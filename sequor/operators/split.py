@@ -22,14 +22,19 @@ def by_hash(df: DataFrame, key: str, valid: float, test: float, seed: int = 0) -
     return df.withColumn("split", F.when(u < test, "test").when(u < test + valid, "valid").otherwise("train"))
 
 
-def _ranked(df: DataFrame, key: str, seed: int, parts: int = 1024) -> DataFrame:
+def _ranked(df: DataFrame, key: str | Column, seed: int, parts: int = 1024) -> DataFrame:
     """_rank from 1 by hash: numbered within slices of the hash, then moved up by the slices before."""
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    d = df.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key")))
     d = d.withColumn("_slice", F.shiftright(F.col("_h"), 64 - int(math.log2(parts))))
     sizes = d.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_slice").orderBy("_h", key)
-    return d.join(F.broadcast(base), "_slice").withColumn("_rank", F.col("_base") + F.row_number().over(inside)).drop("_h", "_slice", "_base")
+    inside = Window.partitionBy("_slice").orderBy("_h", "_key")
+    return d.join(F.broadcast(base), "_slice").withColumn("_rank", F.col("_base") + F.row_number().over(inside)).drop("_h", "_key", "_slice", "_base")
+
+
+def permute(df: DataFrame, key: str | Column, seed: int = 0, out: str = "place") -> DataFrame:
+    """Add `out`: each row's place, from 0, in a seeded permutation of all rows."""
+    return _ranked(df, key, seed).withColumn(out, F.col("_rank") - 1).drop("_rank")
 
 
 def _cut(df: DataFrame, key: str, seed: int, n_train: int, n_valid: int) -> DataFrame:

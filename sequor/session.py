@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +21,12 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a temporary one if none is named."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequor-checkpoint-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()

@@ -85,6 +85,12 @@ def read_sample_sheet(spark: SparkSession, path: str, offset: int = 0) -> DataFr
     return d.where(ok.isNull()).select((F.col("line_no") + offset).cast("int").alias("target_idx"), F.get("f", 0).alias("label"), F.get("f", 1).alias("path"))
 
 
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """target_idx, label: the names in the header of an activity table, which starts with a tab."""
+    d = read_lines(spark, path).where("line_no = 0")
+    return d.select(F.posexplode(F.slice(F.split("line", "\t"), 2, F.size(F.split("line", "\t")))).alias("target_idx", "label"))
+
+
 def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).where(F.trim("value") != "").select(F.get(f, 0).alias("chrom"), F.get(f, 1).cast("long").alias("length"))

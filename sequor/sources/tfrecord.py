@@ -10,9 +10,11 @@ from string import Formatter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sequor.operators.rank import ranked
+
 
 def _table() -> list[int]:
     out = []
@@ -131,12 +133,12 @@ def template_keys(template: str) -> list[str]:
 def write_tfrecords(df: DataFrame, template: str, order: str, feature: str, label: str, feature_dtype: str = "float32", label_dtype: str = "float32", chunk: int = 10_000, first_shard: int = 0, compress: bool = True) -> DataFrame:
     """Write rows as examples, `chunk` a file; template has {shard}. Returns shard, path, n (run by an action).
 
-    Files go to a file system that all executors share. One shard's rows meet in a task; shards are
-    numbered along `order`, first within slices and then by the slices before.
+    Files go to a file system that all executors mount. One shard's rows meet in a task; rows are
+    numbered along `order`, which should tell them apart, first within ranges and then by the ranges before.
     """
     if "shard" not in template_keys(template):
         raise ValueError("the path needs {shard}")
-    d = df.withColumn("_row", F.row_number().over(Window.orderBy(order)) - 1)
+    d = ranked(df.select(order, feature, label), [order], "_row")
     d = d.withColumn("_shard", (F.floor(F.col("_row") / chunk) + first_shard).cast("int"))
 
     def write(p: pd.DataFrame) -> pd.DataFrame:
