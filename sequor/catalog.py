@@ -31,10 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from sequor import catalog_files  # noqa: F401  adds its queries
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLE
 
 

@@ -23,9 +23,13 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def seqs(spark: SparkSession, d: str) -> DataFrame:
+def letters(docs: DataFrame) -> DataFrame:
     """seq_id, seq: the letters A C G T of the texts, Z as N."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.translate(F.regexp_replace(F.upper("text"), "[^ACGTZ]", ""), "Z", "N").alias("seq"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.translate(F.regexp_replace(F.upper("text"), "[^ACGTZ]", ""), "Z", "N").alias("seq"))
+
+
+def seqs(spark: SparkSession, d: str) -> DataFrame:
+    return letters(table(spark, d, "documents"))
 
 
 def seq40(spark: SparkSession, d: str) -> DataFrame:

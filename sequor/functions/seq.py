@@ -64,6 +64,14 @@ def one_hot(seq: Column, alphabet: str = ACGT, unknown: str = "zero") -> Column:
     return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), row)
 
 
+def fill_unknown(seq: Column, key: Column, seed: int = 0, alphabet: str = ACGT) -> Column:
+    """Upper case, letters outside the alphabet replaced by one of it drawn from seed, row key and place."""
+    keys = list(alphabet)
+    pick = lambda i: F.element_at(F.array(*map(F.lit, keys)), (F.floor(uniform(seed, key, i) * len(keys)) + 1).cast("int"))
+    letters = F.filter(F.split(F.upper(seq), ""), lambda c: c != "")
+    return F.array_join(F.transform(letters, lambda c, i: F.when(c.isin(keys), c).otherwise(pick(i))), "")
+
+
 def one_hot_equal_length(df: DataFrame, seq: str = "seq", alphabet: str = ACGT, out: str = "x") -> DataFrame:
     """one_hot for sequences that must all have one length; fails at run time if they don't."""
     bounds = df.agg(F.min(F.length(seq)).alias("_lo"), F.max(F.length(seq)).alias("_hi"))

@@ -17,7 +17,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows(spark, duck, name):
     a = catalog.QUERIES[name](spark, SF).toPandas()
     b = duck.execute(catalog.ORACLE[name]).fetchdf()
