@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +16,77 @@ from sequor.llm.common import cut, gapless_rank, prepare
 RESOLUTION = 32768
 
 
+#: Rows of a placement table that are broadcast, at most; beyond it Spark chooses the join.
+BROADCAST_ROWS = 2 * RESOLUTION
+#: Bundles of small groups for each shard of a fixed capacity, on average: what the driver packs per shard.
+BUNDLES = 8
+
+
+class RoomTree:
+    """The bins' remaining capacities in order: a balanced tree of two levels whose leaves split in half."""
+
+    LEAF = 512
+
+    def __init__(self, rooms: list[tuple[int, int]]):
+        rooms = sorted(rooms)
+        self.leaves = [rooms[k : k + self.LEAF // 2] for k in range(0, len(rooms), self.LEAF // 2)]
+        self.tops = [x[-1] for x in self.leaves]
+
+    def take(self, size: int) -> tuple[int, int] | None:
+        """Remove and return the tightest (room, bin) with room for size; ties go to the lowest bin."""
+        k = bisect_left(self.tops, (size, -1))
+        if k == len(self.tops):
+            return None
+        leaf = self.leaves[k]
+        out = leaf.pop(bisect_left(leaf, (size, -1)))
+        if leaf:
+            self.tops[k] = leaf[-1]
+        else:
+            del self.leaves[k], self.tops[k]
+        return out
+
+    def put(self, room: int, b: int) -> None:
+        k = min(bisect_left(self.tops, (room, b)), len(self.tops) - 1)
+        if k < 0:
+            self.leaves.append([(room, b)])
+            self.tops.append((room, b))
+            return
+        leaf = self.leaves[k]
+        insort(leaf, (room, b))
+        if len(leaf) > self.LEAF:
+            half = len(leaf) // 2
+            self.leaves[k : k + 1] = [leaf[:half], leaf[half:]]
+            self.tops[k : k + 1] = [leaf[half - 1], leaf[-1]]
+        else:
+            self.tops[k] = leaf[-1]
+
+
 def best_fit(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
     """The bin of each item (given in decreasing size), or None if they don't fit.
 
-    Each item enters the bin with the least room that holds it, found in an ordered list of the
-    remaining capacities; ties go to the lowest bin.
+    Each item enters the bin with the least room that holds it; ties go to the lowest bin.
     """
-    room = [(capacity, b) for b in range(bins)]
+    tree = RoomTree([(capacity, b) for b in range(bins)])
     out = []
     for s in sizes:
-        k = bisect_left(room, (s, -1))
-        if k == len(room):
+        found = tree.take(s)
+        if found is None:
             return None
-        left, b = room.pop(k)
-        insort(room, (left - s, b))
+        tree.put(found[0] - s, found[1])
+        out.append(found[1])
+    return out
+
+
+def fewest_bins(sizes: list[int], capacity: int) -> list[int]:
+    """Best-fit decreasing into bins of one capacity, opened as needed; a larger item gets one of its own."""
+    tree = RoomTree([])
+    out, bins = [], 0
+    for s in sizes:
+        found = tree.take(s) if s <= capacity else None
+        room, b = found or (capacity, bins)
+        bins += found is None
+        if s <= capacity:
+            tree.put(room - s, b)
         out.append(b)
     return out
 
@@ -53,18 +111,10 @@ def least_capacity(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
-    """Place every row into one of `shards` shards of nearly equal bytes (law `bytes`).
-
-    Rows of equal texts are indivisible. Output: the id, size, text_crc32, law, shard, slot.
-    Null texts count as empty ones (size 1, checksum 0) and so form one group with them; a group
-    larger than a fair share makes its shard larger, since it can't be divided. Repeated ids are
-    rows like any other. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
+def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, size, text_crc32 and _key, the digest of the text; materialised."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(
+    return cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -72,26 +122,65 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.unhex(F.sha2(text, 256)).alias("_key"),
         )
     )
-    groups = rows.groupBy("_key").agg(F.sum("size").alias("bytes"))
-    groups = cut(groups)
+
+
+def pack(rows: DataFrame, plan: Callable[[list[int]], list[int]], capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard: groups of equal _key placed by plan(decreasing sizes).
+
+    With a capacity there are more bundles than RESOLUTION if that many shards need them.
+    """
+    spark = rows.sparkSession
+    groups = cut(rows.groupBy("_key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    least = max(1, -(-total // RESOLUTION))
-    bundle = F.pmod(F.xxhash64("_key"), F.lit(RESOLUTION)).cast("int")
-    large = groups.where(F.col("bytes") >= least).orderBy(F.desc("bytes"), "_key").collect()
+    parts = max(RESOLUTION, BUNDLES * -(-total // capacity)) if capacity else RESOLUTION
+    least = max(1, -(-total // parts))
+    bundle = F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")
     small = groups.where(F.col("bytes") < least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()
+    alone = F.col("bytes") >= least
+    if over := [r["bundle"] for r in small if capacity and r["bytes"] > capacity]:  # by chance, so few: their groups go alone
+        small = [r for r in small if r["bytes"] <= capacity]
+        alone |= bundle.isin(over)
+    large = groups.where(alone).orderBy(F.desc("bytes"), "_key").collect()
     items = sorted([(-r["bytes"], 0, bytes(r["_key"]), None) for r in large] + [(-r["bytes"], 1, b"", r["bundle"]) for r in small], key=lambda x: (x[0], x[1], x[2], x[3] or 0))
-    placed = least_capacity([-i[0] for i in items], shards)
+    placed = plan([-i[0] for i in items])
     of_large = spark.createDataFrame([(bytearray(i[2]), b) for i, b in zip(items, placed, strict=True) if not i[1]], "_key binary, _large int")
     of_small = spark.createDataFrame([(i[3], b) for i, b in zip(items, placed, strict=True) if i[1]], "_bundle int, _small int")
-    out = (
+    send = F.broadcast if len(items) <= BROADCAST_ROWS else lambda x: x
+    return (
         rows.withColumn("_bundle", bundle)
-        .join(F.broadcast(of_large), "_key", "left")
-        .join(F.broadcast(of_small), "_bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.coalesce("_large", "_small").alias("shard"))
+        .join(send(of_large), "_key", "left")
+        .join(send(of_small), "_bundle", "left")
+        .select("doc_id", "size", "text_crc32", F.coalesce("_large", "_small").alias("shard"))
     )
+
+
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
+    """Place every row into one of `shards` shards of nearly equal bytes (law `bytes`).
+
+    Rows of equal texts are indivisible. Output: the id, size, text_crc32, law, shard, slot.
+    Null texts count as empty ones (size 1, checksum 0) and so form one group with them; a group
+    larger than a fair share makes its shard larger, since it can't be divided. Repeated ids are
+    rows like any other. An empty table gives an empty result.
+    """
+    prepare(docs.sparkSession)
+    out = pack(sized(docs, id_col, text_col), lambda sizes: least_capacity(sizes, shards))
+    out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
     return gapless_rank(cut(out), "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32")], "slot", salts=256)
 
 
+def shard_by_capacity(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard: as few shards of at most `capacity` bytes as best-fit decreasing needs.
+
+    Rows of equal texts are indivisible; such a group of more than `capacity` bytes gets a shard of its own,
+    the only kind that exceeds it. Small groups are joined by hash first if there are over RESOLUTION
+    groups, so the driver packs at most 2 * max(RESOLUTION, BUNDLES x shards) items. Null texts count as empty.
+    """
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
+    prepare(docs.sparkSession)
+    return pack(sized(docs, id_col, text_col), lambda sizes: fewest_bins(sizes, capacity), capacity)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

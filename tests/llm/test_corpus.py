@@ -132,6 +132,38 @@ def test_vector_blocks(spark, monkeypatch):
 # shards
 
 
+def test_fewest_shards(spark, odd, empty):
+    rnd = random.Random(3)
+    for _ in range(3):
+        capacity = 10_000
+        sizes = sorted((rnd.randint(1, 6000) for _ in range(5000)), reverse=True)
+        room, want = [], []
+        for x in sizes:  # the tightest bin by looking at all
+            fits = [(r, b) for b, r in enumerate(room) if r >= x]
+            b = min(fits)[1] if fits else len(room)
+            if not fits:
+                room.append(capacity)
+            room[b] -= x
+            want.append(b)
+        assert shards.fewest_bins(sizes, capacity) == want
+    assert shards.fewest_bins([30, 5, 4], 10) == [0, 1, 1]
+    rows = shards.shard_by_capacity(odd, 5000).collect()
+    assert len(rows) == odd.count()
+    full, texts, by_id = Counter(), defaultdict(set), {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in rows:
+        full[r.shard] += r.size
+        texts[by_id[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in texts.values())
+    of = Counter()
+    for r in rows:
+        of[by_id[r.doc_id]] += r.size
+    large = {next(iter(texts[t])) for t, n in of.items() if n > 5000}
+    assert all(n <= 5000 or b in large for b, n in full.items())
+    assert shards.shard_by_capacity(empty, 10).count() == 0
+    with pytest.raises(ValueError):
+        shards.shard_by_capacity(empty, 0)
+
+
 def test_shards(spark, odd, empty):
     rows = shards.shard_documents(odd, shards=3).collect()
     texts = odd_texts()
@@ -146,6 +178,7 @@ def test_shards(spark, odd, empty):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert shards.shard_documents(empty).count() == 0
     assert shards.best_fit([7, 6, 3, 2, 2], 2, 10) == [0, 1, 0, 1, 1]
+    assert shards.best_fit([7, 6, 5], 2, 10) is None
     rnd = random.Random(0)
     sizes = sorted((rnd.randint(1, 100) for _ in range(60)), reverse=True)
     load = Counter()
