@@ -6,7 +6,6 @@ Files go to the folder that driver and executors share. Of random operations the
 from __future__ import annotations
 
 import uuid
-from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +63,14 @@ def s3(s, d):
     return text.read_fasta(s, at).select("name", "seq")
 
 
+@query("s3_genome_tiles", with_views("genome", "SELECT chrom, CAST(t AS INT) AS tile, substr(seq, t * 512 + 1, 512) AS part FROM (SELECT chrom, seq, UNNEST(range(0, (length(seq) + 511) // 512)) AS t FROM genome)"))
+def s3_genome(s, d):
+    at = place(s, "genome.fa")
+    lines = F.concat_ws("\n", F.concat(F.lit(">"), "chrom", F.lit(" x")), F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n"))
+    fx.genome(s, d).select(lines).write.text(at)
+    return text.read_genome(s, at, 512)
+
+
 @query("s4_fasta_last", with_views("seq40", "SELECT CAST(seq_id % 50 AS VARCHAR) AS name, arg_max(seq, seq_id) AS seq FROM seq40 GROUP BY 1"))
 def s4(s, d):
     x = fx.seq40(s, d).withColumn("name", (F.col("seq_id") % 50).cast("string")).select("seq_id", fasta())
@@ -120,7 +127,7 @@ def s11(s, d):
     folder = at.rsplit("/", 1)[0]
     s.range(0).write.mode("append").parquet(folder)  # makes the folder
     x = fx.seq40(s, d).select("seq_id", F.flatten(sq.one_hot(F.col("seq"))).alias("x"), F.array(F.col("seq_id").cast("double")).alias("y"))
-    tfrecord.write_tfrecords(x, urlparse(at).path, "seq_id", "x", "y", "int8", "float64", chunk=1000).agg(F.sum("n")).collect()
+    tfrecord.write_tfrecords(x, at, "seq_id", "x", "y", "int8", "float64", chunk=1000).agg(F.sum("n")).collect()
     back = tfrecord.read_tfrecords(s, f"{folder}/*.tfr.gz", "int8", "float64")
     return back.select(F.get("label", 0).cast("long").alias("seq_id"), F.aggregate("feature", F.lit(0.0), lambda a, v: a + v).alias("ones"), F.size("feature").alias("n"))
 

@@ -6,9 +6,11 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sequor.operators.genome import TILE
+
 BED = ["chrom", "start_pos", "end_pos", "name", "score", "strand"]
 
 
@@ -45,7 +47,10 @@ def read_bed(spark: SparkSession, path: str, sniff: bool = False) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """path, rec_no, name, seq: lines joined and upper-cased, blanks ignored; a header alone has an empty sequence."""
+    """path, rec_no, name, seq: lines joined and upper-cased, blanks ignored; a header alone has an empty sequence.
+
+    One task a file, for files of sequences; read_genome reads chromosomes.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
@@ -64,6 +69,37 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rec_no long, name string, seq string")
 
 
+def read_genome(spark: SparkSession, path: str, width: int = TILE) -> DataFrame:
+    """(chrom, tile, part) of FASTA files of any size, as genome.tile gives them: no row holds a whole record.
+
+    Names are the headers' first words and should differ. Lines are placed within their file's blocks (Spark's
+    input splits), each in a window of its own; what a block leaves open is carried on to the next by a
+    table of one row a block. A gzip file, told by its name, is one block.
+    """
+    line = F.trim("value")
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), line.alias("_v"))
+    d = d.where("_v <> ''").withColumn("_name", F.when(F.col("_v").startswith(">"), F.split_part(F.trim(F.substr("_v", F.lit(2))), F.lit(" "), F.lit(1))))
+    d = d.withColumn("_size", F.when(F.col("_name").isNull(), F.length("_v")).otherwise(0).cast("long"))
+    block = ["_path", "_block"]
+    d = d.withColumn("_rec", F.count("_name").over(Window.partitionBy(*block).orderBy("_line")))
+    inside = Window.partitionBy(*block, "_rec").orderBy("_line")
+    d = d.withColumn("_at", F.sum("_size").over(inside) - F.col("_size")).withColumn("_of", F.first("_name").over(inside))
+    ends = d.groupBy(*block, "_rec").agg(F.min("_of").alias("_of"), F.sum("_size").alias("_size")).groupBy(*block).agg(F.max_by("_of", "_rec").alias("_of"), F.max_by("_size", "_rec").alias("_tail"))
+    along = Window.partitionBy("_path").orderBy("_block")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_sum", F.sum("_tail").over(along) - F.col("_tail"))
+    start = F.last(F.when(F.col("_of").isNotNull(), F.col("_sum")), ignorenulls=True).over(before)
+    ends = ends.select(*block, F.last("_of", ignorenulls=True).over(before).alias("_held"), (F.col("_sum") - start).alias("_done"))
+    d = d.where("_name is null").join(ends, block)
+    first = F.col("_rec") == 0
+    d = d.select(F.when(first, F.col("_held")).otherwise(F.col("_of")).alias("chrom"), (F.col("_at") + F.when(first, F.col("_done")).otherwise(0)).alias("_at"), F.upper("_v").alias("_v")).where("chrom is not null")
+    room = (F.lit(width) - F.col("_at") % width).cast("int")
+    rest = F.regexp_extract_all(F.substr("_v", room + 1), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    d = d.select("chrom", "_at", F.posexplode(F.concat(F.array(F.substr("_v", F.lit(1), room)), rest)).alias("_k", "_piece"))
+    d = d.groupBy("chrom", (F.floor(F.col("_at") / width) + F.col("_k")).cast("int").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
+    return d.select("chrom", "tile", F.array_join(F.transform("_p", lambda x: x["_piece"]), "").alias("part"))
+
+
 def last_by_name(fasta: DataFrame) -> DataFrame:
     """One row a name: the last sequence, at the first place; records without a sequence are dropped."""
     return fasta.where("seq <> ''").groupBy("name").agg(F.max_by("seq", "rec_no").alias("seq"), F.min("rec_no").alias("rec_no"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 from string import Formatter
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +135,8 @@ def template_keys(template: str) -> list[str]:
 def write_tfrecords(df: DataFrame, template: str, order: str, feature: str, label: str, feature_dtype: str = "float32", label_dtype: str = "float32", chunk: int = 10_000, first_shard: int = 0, compress: bool = True) -> DataFrame:
     """Write rows as examples, `chunk` a file; template has {shard}. Returns shard, path, n (run by an action).
 
-    Files go to a file system that all executors mount. One shard's rows meet in a task; rows are
+    Files go to a store that all executors reach: a mounted folder, or a URI of a kind that pyarrow knows. A
+    file appears whole under its name, so tasks can be run again. One shard's rows meet in a task; rows are
     numbered along `order`, which should tell them apart, first within ranges and then by the ranges before.
     """
     if "shard" not in template_keys(template):
@@ -147,8 +150,11 @@ def write_tfrecords(df: DataFrame, template: str, order: str, feature: str, labe
         path = template.format(shard=shard)
         stack = lambda v: np.stack(v) if len(v) and isinstance(v[0], np.ndarray) and v.dtype == object else np.asarray(v)
         data = b"".join(frame(encode_example({"feature": stack(x).astype(feature_dtype), "label": np.asarray(y).astype(label_dtype)})) for x, y in zip(p[feature], p[label], strict=True))
-        with open(path, "wb") as f:
+        store, at = (FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path))
+        part = f"{at}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part, compression=None) as f:
             f.write(gzip.compress(data, 6, mtime=0) if compress else data)
+        store.move(part, at)
         return pd.DataFrame({"shard": [shard], "path": [path], "n": [len(p)]})
 
     return d.select("_row", "_shard", feature, label).groupBy("_shard").applyInPandas(write, "shard int, path string, n long")

@@ -23,6 +23,27 @@ def test_bed_and_fasta_whatever_the_name(spark, tmp_path, gz):
     assert {(r.name, r.seq) for r in text.last_by_name(text.read_fasta(spark, f)).collect()} == {("one x", "ACGTT"), ("two", "CC")}
 
 
+def test_genome_across_blocks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = {f"chr{k}": "".join(rng.choice(list("ACGTacgt"), n)) for k, n in enumerate((5000, 3, 0, 12000, 64, 900))}
+    lines = "\n".join(line for c, s in want.items() for line in [f">{c} x", *(s[k : k + 61] for k in range(0, len(s), 61)), ""])
+    whole = put(tmp_path / "g.fa", f"{lines}\n>long\n{'ACGT' * 500}\n")
+    want["long"] = "ACGT" * 500
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "5000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = {}
+            for r in text.read_genome(spark, whole, 64).orderBy("chrom", "tile").collect():
+                assert len(got.get(r.chrom, "")) == 64 * r.tile
+                got[r.chrom] = got.get(r.chrom, "") + r.part
+            assert got == {c: s.upper() for c, s in want.items() if s}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_small_files(spark, tmp_path):
     s = put(tmp_path / "s.txt", "a  /x/a.bed\nb\t/x/b.bed\n")
     assert [(r.target_idx, r.label) for r in text.read_sample_sheet(spark, s, 3).orderBy("target_idx").collect()] == [(3, "a"), (4, "b")]
