@@ -134,7 +134,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Join the trees of i and j; label holds each row's root, the smallest index of its tree."""
+    """Join the trees of i and j, in place; label holds each row's root, the smallest index of its tree."""
     while True:
         a, b = label[i], label[j]
         apart = a != b
@@ -146,7 +146,7 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             up = label[label]
             if (up == label).all():
                 break
-            label = up
+            label[:] = up
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

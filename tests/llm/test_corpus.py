@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sequor.llm import html, packing, pieces, quality, queries, repeats, shards, simhash, urls, vectors
+from sequor.llm.common import unite
 from tests.conftest import SF
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +133,21 @@ def test_vector_blocks(spark, monkeypatch):
 # shards
 
 
+def test_unite_in_place():
+    label = np.arange(5)
+    unite(label, np.array([0, 2, 1, 3]), np.array([3, 3, 2, 4]))
+    assert not label.any()
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        i, j = rng.integers(0, 60, (2, 50))
+        label, root = np.arange(60), list(range(60))
+        unite(label, i, j)
+        for _ in range(60):
+            for a, b in zip(i, j, strict=True):
+                root[a] = root[b] = min(root[a], root[b])
+        assert label.tolist() == root
+
+
 def test_fewest_shards(spark, odd, empty):
     rnd = random.Random(3)
     for _ in range(3):
