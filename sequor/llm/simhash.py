@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -19,6 +19,8 @@ from sequor.llm.common import WORDS, blocked, connected_components, cut, prepare
 BLOCK = 20_000
 #: Candidate pairs looked at together inside a task.
 PAIRS = 1 << 21
+#: Smallest shingle hashes that stand for a text when a similarity is verified.
+SKETCH = 1024
 FIND = re.compile(WORDS).findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -34,17 +36,24 @@ def splitmix(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle: `shingle` consecutive words, A-Z lower-cased; a shorter text is one shingle."""
+    w = FIND((text or "").translate(LOWER))
+    if not w:
+        return np.zeros(0, np.uint64)
+    parts = map(" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) >= shingle else [" ".join(w)]
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), parts), np.uint64)
+
+
 def fingerprint(text: str | None, shingle: int, words64: int) -> list[int]:
     """64 * words64 bits as signed 64-bit words: each bit is set if it is in over half the shingle hashes.
 
     Shingles are `shingle` consecutive words, repeats included, A-Z lower-cased; a shorter text is one
     shingle; a text without words, or a null one, has fingerprint zero.
     """
-    w = FIND((text or "").translate(LOWER))
-    if not w:
+    h = shingle_hashes(text, shingle)
+    if not len(h):
         return [0] * words64
-    parts = map(" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) >= shingle else [" ".join(w)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), parts), np.uint64)
     out = []
     for k in range(words64):
         b = splitmix(h, k).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -69,9 +78,31 @@ def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle:
     return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, kinds)
 
 
-def hamming_links(prints: DataFrame, rep: str, names: list[str], half: int, distance: int) -> DataFrame:
+def closest_forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which edges (i, j) make the minimum spanning forest by (far, place in the list): Boruvka's rounds."""
+    order = np.argsort(far, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    label, open_, chosen = np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = label[i[open_]], label[j[open_]]
+        apart = a != b
+        open_, a, b = open_[apart], a[apart], b[apart]
+        if not len(open_):
+            return np.concatenate(chosen)
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, rank[open_])
+        np.minimum.at(best, b, rank[open_])
+        picked = order[np.unique(best[best < len(order)])]
+        chosen.append(picked)
+        unite(label, i[picked], j[picked])
+
+
+def hamming_links(prints: DataFrame, rep: str, names: list[str], half: int, distance: int, closest: bool = False) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints that differ in <= distance bits.
 
+    With closest, edges are links themselves: those of the minimum spanning forest by distance.
+
     The fingerprint is cut into segments of 2 * half bits and each segment is probed with its ball of
     radius one: a pair within 2 * (number of segments) - 1 bits always meets, and one further
     apart with the chance that some segment differs in one bit or none. Two segments within one bit agree in
@@ -101,6 +132,7 @@ def hamming_links(prints: DataFrame, rep: str, names: list[str], half: int, dist
             order = np.argsort(key, kind="stable")
             key, f, ids = key[order], f[order], ids[order]
             label = np.arange(len(key))
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             for ball in balls:
                 goal = key ^ np.uint64(ball)
                 lo = np.searchsorted(key, goal, "left")
@@ -118,35 +150,81 @@ def hamming_links(prints: DataFrame, rep: str, names: list[str], half: int, dist
                     if m.sum():
                         i = np.repeat(np.arange(start, stop), m)
                         j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[start:stop], m)
-                        near = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64) <= distance
+                        far = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64)
+                        near = far <= distance
                         if near.any():
-                            unite(label, i[near], j[near])
+                            if closest:
+                                held = tuple(np.concatenate([x, y[near]]) for x, y in zip(held, (i, j, far), strict=True))
+                                stay = closest_forest(len(key), *held)
+                                held = tuple(x[stay] for x in held)
+                            else:
+                                unite(label, i[near], j[near])
                     start = stop
             child = np.flatnonzero(label != np.arange(len(label)))
-            if len(child):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[label[child]])], names=["a", "b"])
+            a, b = (ids[held[0]], ids[held[1]]) if closest else (ids[child], ids[label[child]])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return d.mapInArrow(run, "a long, b long")
 
 
-def components(rows: DataFrame, id_col: str, names: list[str], half: int, distance: int) -> DataFrame:
+def components(rows: DataFrame, id_col: str, names: list[str], half: int, distance: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (materialised) with component_id: the smallest id reachable by links, itself included.
 
     Equal fingerprints are one node. A null id never names a component; rows with a null id get null
-    if no other row shares their fingerprint or component.
+    if no other row shares their fingerprint or component. check(edges) keeps the edges that count.
     """
     prints = cut(rows.groupBy(*names).agg(F.min(id_col).alias("_rep")))
-    found = connected_components(hamming_links(prints.where("_rep is not null"), "_rep", names, half, distance), "a", "b")
+    edges = hamming_links(prints.where("_rep is not null"), "_rep", names, half, distance, check is not None)
+    found = connected_components(check(edges) if check else edges, "a", "b")
     named = prints.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select(*names, F.coalesce("root", "_rep").alias("component_id"))
     return rows.join(named, names)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1, half: int = 16, distance: int = 2) -> DataFrame:
-    """doc_id, f0.. and component_id of every row; by default 64 bits, 3-word shingles, 2 bits apart."""
+def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The edges (a, b) between ids of docs (doc_id, _t) whose sets of shingles have a Jaccard similarity of `least`.
+
+    A text's set is held as its SKETCH smallest hashes: exact up to that many different shingles in both
+    texts together, an estimate with a deviation of 0.013 at 0.8 beyond it.
+    """
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = edges.select(F.col("a").alias("doc_id")).unionAll(edges.select("b")).distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [np.unique(shingle_hashes(t, shingle))[:SKETCH].tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["doc_id", "low"])
+
+    low = cut(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "_t").mapInArrow(sketch, "doc_id long, low binary").distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.sort(np.concatenate([u, v]))
+                twice = both[1:][both[1:] == both[:-1]]
+                whole = np.unique(both)
+                if len(whole) > SKETCH:
+                    whole = whole[:SKETCH]
+                    twice = twice[twice <= whole[-1]]
+                ok.append(len(twice) >= least * len(whole))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    d = edges.join(low.toDF("a", "_a"), "a").join(low.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
+    return d.mapInArrow(compare, "a long, b long")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1, half: int = 16, distance: int = 2, least: float | None = None) -> DataFrame:
+    """doc_id, f0.. and component_id of every row; by default 64 bits, 3-word shingles, 2 bits apart.
+
+    With `least`, links between fingerprints also need that Jaccard similarity of their texts' shingles.
+    """
     prepare(docs.sparkSession)
     names = [f"f{k}" for k in range(words64)]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    return components(cut(with_fingerprints(d, "_t", ["doc_id"], shingle, words64)), "doc_id", names, half, distance)
+    rows = cut(with_fingerprints(d, "_t", ["doc_id"], shingle, words64))
+    return components(rows, "doc_id", names, half, distance, None if least is None else lambda edges: similar(edges, d, shingle, least))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +233,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Near copies in the pipeline: five-word shingles, 256 bits, 16-bit segments. A similarity (Jaccard) of
-#: 0.8 is a cosine of 0.89, an angle of 0.15 pi: 39 of 256 bits on average, with a deviation of 6.
-NEAR = {"shingle": 5, "words64": 4, "half": 8, "distance": 44}
+#: 0.8 is a cosine of 0.89, an angle of 0.15 pi: 39 of 256 bits on average, with a deviation of 6. Links at
+#: two deviations more are candidates; of them those of the closest forest are verified.
+NEAR = {"shingle": 5, "words64": 4, "half": 8, "distance": 51, "least": 0.8}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,6 +148,43 @@ def test_unite_in_place():
         assert label.tolist() == root
 
 
+def test_closest_forest_is_minimal():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        i, j = rng.integers(0, 40, (2, 120))
+        far = rng.integers(0, 9, 120)
+        got = simhash.closest_forest(40, i, j, far)
+        root, cost = list(range(40)), 0
+        find = lambda x: x if root[x] == x else find(root[x])
+        for k in np.argsort(far, kind="stable"):
+            a, b = find(i[k]), find(j[k])
+            if a != b:
+                root[a] = b
+                cost += far[k]
+        assert far[got].sum() == cost and len(got) == 40 - len({find(x) for x in range(40)})
+
+
+def test_near_copies_are_verified(spark):
+    """Chains of edits: what goes has a copy of at least 0.8 among the others, and clear copies go."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randint(0, 5000)}"
+    texts = []
+    for _ in range(25):
+        w = [word() for _ in range(rnd.choice((80, 300, 1500)))]
+        for share in (0.0, 0.01, 0.04, 0.08):
+            texts.append(" ".join(word() if rnd.random() < share else x for x in w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one_of_each(d).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for k in range(len(texts)):
+        best = max(alike(k, x) for x in range(len(texts)) if x != k)
+        if k not in kept:
+            assert best >= 0.79
+        elif any(x < k and alike(k, x) >= 0.86 for x in range(len(texts))):
+            raise AssertionError(k)
+
+
 def test_fewest_shards(spark, odd, empty):
     rnd = random.Random(3)
     for _ in range(3):
