@@ -94,14 +94,14 @@ def gapless_rank(df: DataFrame, group: str, key: Column, order: list, out: str,
     )
 
 
-def blocked(df: DataFrame, keys: list[str], row_key: Column, block: int) -> DataFrame:
-    """Split groups of more than `block` rows so that every two rows of a group still meet.
+def blocked(df: DataFrame, keys: list[str], row_key: Column, block: int, weight: Column | None = None) -> DataFrame:
+    """Split groups of more than `block` rows (or more than that weight in all) so that every two rows of a group still meet.
 
     Adds _i <= _j: the rows of a job (keys, _i, _j). A group of n rows gets g = ceil(n / block)
     parts; a row of part b is sent to the jobs (b, j >= b) and (i < b, b), g jobs in all. _own is
     the row's part. Groups of up to `block` rows (nearly all) have the one job (0, 0).
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    sizes = df.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")).where(F.col("_n") > block)
     large = sizes.select(*keys, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_g"))
     d = df.join(large, keys, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
     d = d.withColumn("_own", F.pmod(F.xxhash64(row_key), F.col("_g")).cast("int"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -19,6 +19,8 @@ from sequor.llm.common import WORDS, blocked, connected_components, cut, prepare
 BLOCK = 20_000
 #: Candidate pairs looked at together inside a task.
 PAIRS = 1 << 21
+#: Shingles of a part of a group whose pairs are verified; each text counts as ROW more.
+SHINGLES, ROW = 1 << 20, 1 << 10
 #: Smallest shingle hashes that stand for a text when a similarity is verified.
 SKETCH = 1024
 FIND = re.compile(WORDS).findall
@@ -45,13 +47,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), parts), np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int, words64: int) -> list[int]:
-    """64 * words64 bits as signed 64-bit words: each bit is set if it is in over half the shingle hashes.
+def fingerprint(h: np.ndarray, words64: int) -> list[int]:
+    """64 * words64 bits as signed 64-bit words: each bit is set if it is in over half the shingle hashes h.
 
-    Shingles are `shingle` consecutive words, repeats included, A-Z lower-cased; a shorter text is one
-    shingle; a text without words, or a null one, has fingerprint zero.
+    Repeats included; a text without words, or a null one, has fingerprint zero.
     """
-    h = shingle_hashes(text, shingle)
     if not len(h):
         return [0] * words64
     out = []
@@ -65,16 +65,19 @@ def fingerprint(text: str | None, shingle: int, words64: int) -> list[int]:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int, words64: int) -> DataFrame:
-    """The columns `keep` and f0, f1, ...: the fingerprint's words."""
+def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int, words64: int, node: bool = False) -> DataFrame:
+    """The columns `keep` and f0, f1, ...: the fingerprint's words; with node, _node: the hash of the set of shingles."""
     names = [f"f{k}" for k in range(words64)]
+    more = ["_node"] if node else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle, words64) for t in b.column(0).to_pylist()], np.int64).reshape(-1, words64)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(fps[:, k]) for k in range(words64))], names=[*keep, *names])
+            hashes = [shingle_hashes(t, shingle) for t in b.column(0).to_pylist()]
+            fps = np.array([fingerprint(h, words64) for h in hashes], np.int64).reshape(-1, words64)
+            sets = [pa.array(np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes], np.uint64).view(np.int64))] if node else []
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(fps[:, k]) for k in range(words64)), *sets], names=[*keep, *names, *more])
 
-    kinds = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(n, T.LongType()) for n in names)])
+    kinds = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(n, T.LongType()) for n in [*names, *more])])
     return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, kinds)
 
 
@@ -168,63 +171,147 @@ def hamming_links(prints: DataFrame, rep: str, names: list[str], half: int, dist
     return d.mapInArrow(run, "a long, b long")
 
 
-def components(rows: DataFrame, id_col: str, names: list[str], half: int, distance: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(rows: DataFrame, id_col: str, names: list[str], half: int, distance: int) -> DataFrame:
     """rows (materialised) with component_id: the smallest id reachable by links, itself included.
 
     Equal fingerprints are one node. A null id never names a component; rows with a null id get null
-    if no other row shares their fingerprint or component. check(edges) keeps the edges that count.
+    if no other row shares their fingerprint or component.
     """
     prints = cut(rows.groupBy(*names).agg(F.min(id_col).alias("_rep")))
-    edges = hamming_links(prints.where("_rep is not null"), "_rep", names, half, distance, check is not None)
-    found = connected_components(check(edges) if check else edges, "a", "b")
+    edges = hamming_links(prints.where("_rep is not null"), "_rep", names, half, distance)
+    found = connected_components(edges, "a", "b")
     named = prints.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select(*names, F.coalesce("root", "_rep").alias("component_id"))
     return rows.join(named, names)
 
 
-def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The edges (a, b) between ids of docs (doc_id, _t) whose sets of shingles have a Jaccard similarity of `least`.
+def shared(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+    """How many hashes two sorted sets have in common and together, among their SKETCH smallest."""
+    both = np.sort(np.concatenate([u, v]))
+    twice = both[1:][both[1:] == both[:-1]]
+    if len(both) - len(twice) <= SKETCH:
+        return len(twice), len(both) - len(twice)
+    return int((twice <= np.unique(both)[SKETCH - 1]).sum()), SKETCH
 
-    A text's set is held as its SKETCH smallest hashes: exact up to that many different shingles in both
-    texts together, an estimate with a deviation of 0.013 at 0.8 beyond it.
-    """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = edges.select(F.col("a").alias("doc_id")).unionAll(edges.select("b")).distinct()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = [np.unique(shingle_hashes(t, shingle))[:SKETCH].tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["doc_id", "low"])
 
-    low = cut(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "_t").mapInArrow(sketch, "doc_id long, low binary").distinct())
+def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) between nodes of sets (node, s) whose sets of shingles have a Jaccard similarity of `least`."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([u, v]))
-                twice = both[1:][both[1:] == both[:-1]]
-                whole = np.unique(both)
-                if len(whole) > SKETCH:
-                    whole = whole[:SKETCH]
-                    twice = twice[twice <= whole[-1]]
-                ok.append(len(twice) >= least * len(whole))
+                common, whole = shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                ok.append(common >= least * whole)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
+    low = sets.select("node", "s")
     d = edges.join(low.toDF("a", "_a"), "a").join(low.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
     return d.mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1, half: int = 16, distance: int = 2, least: float | None = None) -> DataFrame:
-    """doc_id, f0.. and component_id of every row; by default 64 bits, 3-word shingles, 2 bits apart.
+def join_open(label: np.ndarray, own: np.ndarray, f: np.ndarray, sets: list[np.ndarray], distance: int, least: float) -> np.ndarray:
+    """The tree of each label once no two similar texts of different trees are left; own: pairs within a part are another job's, unless there is one part.
 
-    With `least`, links between fingerprints also need that Jaccard similarity of their texts' shingles.
+    Pairs within `distance` bits are looked at from the closest on, as many at a time as there are texts;
+    a pair is left out only if its texts are in one tree already.
     """
+    n, tree, sizes = len(f), np.arange(label.max() + 1), np.array([len(x) for x in sets])
+    whole, step = (own == own[0]).all(), max(1, (PAIRS >> 3) // len(f))
+    held = []
+    for at in range(0, n, step):
+        i = np.arange(at, min(n, at + step))[:, None]
+        j = np.arange(n)[None]
+        far = np.bitwise_count(f[i] ^ f[j]).sum(2, dtype=np.int16)
+        ok = (i < j) & (far <= distance) & (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]))
+        if not whole:
+            ok &= own[i] != own[j]
+        x, y = np.nonzero(ok)
+        held.append(np.stack([x + at, y, far[x, y]]).astype(np.int32))
+    i, j, far = np.concatenate(held, 1)
+    order = np.argsort(far, kind="stable")
+    for at in range(0, len(order), max(n, 64)):
+        e = order[at : at + max(n, 64)]
+        e = e[tree[label[i[e]]] != tree[label[j[e]]]]
+        good = []
+        for k in e:
+            common, total = shared(sets[i[k]], sets[j[k]])
+            if common >= least * total:
+                good.append(k)
+        if good:
+            unite(tree, label[i[good]], label[j[good]])
+    return tree
+
+
+def open_links(nodes: DataFrame, prints: DataFrame, sets: DataFrame, names: list[str], distance: int, least: float) -> DataFrame:
+    """Edges that join the labels of nodes (node, group, label) wherever two texts of a group are similar.
+
+    Only groups with several labels are looked at, and in them every pair of different labels within
+    `distance` bits. Large groups are split by their shingles into blocks of which each two meet.
+    """
+    several = nodes.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+    rest = cut(nodes.join(several, "group", "left_semi").join(sets.select("node", F.length("s").alias("_bytes")), "node"))
+    d = blocked(rest, ["group"], F.col("node"), SHINGLES, F.expr(f"_bytes div 8 + {ROW}"))
+    keys = ["group", "_i", "_j"]
+    d = d.join(prints, "node").join(sets, "node").select("group", F.col("_i").cast("int").alias("_i"), F.col("_j").cast("int").alias("_j"), F.col("_own").cast("int").alias("_own"), "node", "label", *names, "s")
+    d = d.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            group, bi, bj, own, node, label = (t.column(c).to_numpy() for c in (*keys, "_own", "node", "label"))
+            f = np.stack([t.column(n).to_numpy() for n in names], 1).view(np.uint64)
+            ends = np.flatnonzero((group[1:] != group[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(group)], strict=True):
+                _, first, local = np.unique(label[lo:hi], return_index=True, return_inverse=True)
+                if len(first) == 1:
+                    continue
+                s = [np.frombuffer(x, np.uint64) for x in t.column("s").slice(lo, hi - lo).to_pylist()]
+                tree = join_open(local, own[lo:hi], f[lo:hi], s, distance, least)
+                child = np.flatnonzero(tree != np.arange(len(tree)))
+                if len(child):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][first[child]]), pa.array(node[lo:hi][first[tree[child]]])], names=["a", "b"])
+
+    return d.mapInArrow(run, "a long, b long")
+
+
+def rooted(nodes: DataFrame, edges: DataFrame, out: str) -> DataFrame:
+    """nodes with the column out: the smallest node of each one's component."""
+    found = connected_components(edges, "a", "b").withColumnRenamed("root", "_root")
+    return nodes.join(found, "node", "left").withColumn(out, F.coalesce("_root", "node")).drop("_root")
+
+
+def near_copies(rows: DataFrame, texts: DataFrame, key: list[str], names: list[str], shingle: int, half: int, distance: int, least: float) -> DataFrame:
+    """rows (materialised: key, names, _node) with root: equal for rows linked by texts of a similarity of `least`.
+
+    Equal sets of shingles are one node. The edges of each bucket's closest forest are verified first;
+    then, in the groups of candidates that these leave apart, all other pairs.
+    """
+    prints = cut(rows.select(F.col("_node").alias("node"), *names).distinct())
+    edges = hamming_links(prints, "node", names, half, distance, True)
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = cut(edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct())
+    one = rows.join(ids, F.col("_node") == F.col("node"), "left_semi").groupBy(F.col("_node").alias("node")).agg(F.min(F.struct(*key)).alias("k"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [np.unique(shingle_hashes(t, shingle))[:SKETCH].tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["node", "s"])
+
+    s = texts.join(one.select("node", "k.*"), key).select("node", "_t").mapInArrow(hashes, "node long, s binary")
+    sets = cut(s.dropDuplicates(["node"]))
+    good = cut(similar(edges, sets, least))
+    nodes = cut(rooted(rooted(ids, edges, "group"), good, "label"))
+    more = open_links(nodes, prints, sets, names, distance, least)
+    found = rooted(ids, good.unionAll(more), "root").withColumnRenamed("node", "_node")
+    return rows.join(found, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1, half: int = 16, distance: int = 2) -> DataFrame:
+    """doc_id, f0.. and component_id of every row; by default 64 bits, 3-word shingles, 2 bits apart."""
     prepare(docs.sparkSession)
     names = [f"f{k}" for k in range(words64)]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     rows = cut(with_fingerprints(d, "_t", ["doc_id"], shingle, words64))
-    return components(rows, "doc_id", names, half, distance, None if least is None else lambda edges: similar(edges, d, shingle, least))
+    return components(rows, "doc_id", names, half, distance)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +321,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near copies in the pipeline: five-word shingles, 256 bits, 16-bit segments. A similarity (Jaccard) of
 #: 0.8 is a cosine of 0.89, an angle of 0.15 pi: 39 of 256 bits on average, with a deviation of 6. Links at
-#: two deviations more are candidates; of them those of the closest forest are verified.
+#: two deviations more are candidates.
 NEAR = {"shingle": 5, "words64": 4, "half": 8, "distance": 51, "least": 0.8}
 
 
@@ -243,8 +330,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Repeated rows with that id count once. Rows with a null id can't be named and stay.
     """
-    found = simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **NEAR)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    prepare(docs.sparkSession)
+    near = dict(NEAR)
+    shingle, words64 = near.pop("shingle"), near.pop("words64")
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
+    key, names = ["doc_id", "_h"], [f"f{k}" for k in range(words64)]
+    rows = cut(with_fingerprints(d, "_t", key, shingle, words64, True))
+    found = near_copies(rows, d, key, names, shingle, **near)
+    stay = found.groupBy("root").agg(F.min("doc_id").alias(id_col)).select(id_col).distinct()
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     kept = docs.join(stay, id_col, "left_semi").withColumn("_sq_row", F.row_number().over(first)).where("_sq_row = 1")
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -185,6 +185,41 @@ def test_near_copies_are_verified(spark):
             raise AssertionError(k)
 
 
+def five_words(text):
+    w = text.split()
+    return set(zip(*(w[k:] for k in range(5)), strict=False))
+
+
+def test_near_copies_of_a_lost_original(spark):
+    """Hundreds of copies whose similarities lie on both sides of 0.8: groups are those of exact linking."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 5000)}"
+    texts = []
+    for share in (0.0125, 0.014, 0.016):
+        w = [word() for _ in range(500)]
+        texts += [" ".join(word() if rnd.random() < share else x for x in w) for _ in range(150)]
+    sets = [five_words(t) for t in texts]
+    linked = [(a, b) for b in range(len(texts)) for a in range(b) if a // 150 == b // 150 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {k for k, root in components(range(len(texts)), linked).items() if k == root}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one_of_each(d).collect()} == want
+
+
+@pytest.mark.parametrize("part", [1 << 30, 3000])
+def test_open_links_in_blocks(spark, monkeypatch, part):
+    """Trees that no closest edge joins are joined by the pairs left, in one task or in blocks."""
+    monkeypatch.setattr(simhash, "SHINGLES", part)
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(12, 10, replace=False)).astype(np.uint64) for _ in range(40)]
+    nodes = spark.createDataFrame([(k, k // 20, k) for k in range(40)], "node long, group long, label long")
+    prints = spark.createDataFrame([(k, k % 3) for k in range(40)], "node long, f0 long")
+    stored = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, s binary")
+    got = [(r.a, r.b) for r in simhash.open_links(nodes, prints, stored, ["f0"], 1, 0.7).collect()]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.7 * len(np.union1d(sets[a], sets[b]))
+    want = [(a, b) for b in range(40) for a in range(b) if a // 20 == b // 20 and ((a % 3) ^ (b % 3)).bit_count() <= 1 and alike(a, b)]
+    assert components(range(40), got) == components(range(40), want)
+
+
 def test_fewest_shards(spark, odd, empty):
     rnd = random.Random(3)
     for _ in range(3):
