@@ -21,8 +21,8 @@ BLOCK = 20_000
 PAIRS = 1 << 21
 #: Shingles of a part of a group whose pairs are verified; each text counts as ROW more.
 SHINGLES, ROW = 1 << 20, 1 << 10
-#: Smallest shingle hashes that stand for a text when a similarity is verified.
-SKETCH = 1024
+#: Smallest shingle hashes that settle clear cases when a similarity is verified, and how many deviations make one clear.
+SKETCH, CLEAR = 1024, 6
 FIND = re.compile(WORDS).findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -185,28 +185,50 @@ def components(rows: DataFrame, id_col: str, names: list[str], half: int, distan
 
 
 def shared(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
-    """How many hashes two sorted sets have in common and together, among their SKETCH smallest."""
+    """How many hashes two sorted sets have in common and together."""
+    both = np.sort(np.concatenate([u, v]))
+    twice = int((both[1:] == both[:-1]).sum())
+    return twice, len(both) - twice
+
+
+def settled(u: np.ndarray, v: np.ndarray, least: float) -> bool | None:
+    """Whether sets with the smallest SKETCH hashes u and v have a Jaccard similarity of `least`; None if that is unclear."""
+    if len(u) < SKETCH and len(v) < SKETCH:
+        common, whole = shared(u, v)
+        return common >= least * whole
     both = np.sort(np.concatenate([u, v]))
     twice = both[1:][both[1:] == both[:-1]]
-    if len(both) - len(twice) <= SKETCH:
-        return len(twice), len(both) - len(twice)
-    return int((twice <= np.unique(both)[SKETCH - 1]).sum()), SKETCH
+    whole = np.unique(both)[:SKETCH]
+    guess = (twice <= whole[-1]).sum() / len(whole)
+    return None if abs(guess - least) <= CLEAR * (least * (1 - least) / SKETCH) ** 0.5 else bool(guess >= least)
 
 
 def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) between nodes of sets (node, s) whose sets of shingles have a Jaccard similarity of `least`."""
+    """The edges (a, b) between nodes of sets (node, s) whose sets of shingles have a Jaccard similarity of `least`.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The smallest hashes settle clear cases; the others are decided by the whole sets.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                common, whole = shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                ok.append(common >= least * whole)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if whole:
+                    common, total = shared(u, v)
+                    ok.append(common >= least * total)
+                else:
+                    ok.append(settled(u, v, least))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    def compared(edges: DataFrame, s: DataFrame, whole: bool) -> DataFrame:
+        d = edges.join(s.toDF("a", "_a"), "a").join(s.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
+        return d.mapInArrow(partial(compare, whole=whole), "a long, b long, ok boolean")
 
-    low = sets.select("node", "s")
-    d = edges.join(low.toDF("a", "_a"), "a").join(low.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
-    return d.mapInArrow(compare, "a long, b long")
+    low = sets.select("node", F.expr(f"substring(s, 1, {8 * SKETCH})"))
+    first = cut(compared(edges, low, False))
+    exact = compared(first.where("ok is null").select("a", "b"), sets.select("node", "s"), True)
+    return first.where("ok").unionAll(exact.where("ok")).select("a", "b")
 
 
 def join_open(label: np.ndarray, own: np.ndarray, f: np.ndarray, sets: list[np.ndarray], distance: int, least: float) -> np.ndarray:
@@ -293,7 +315,7 @@ def near_copies(rows: DataFrame, texts: DataFrame, key: list[str], names: list[s
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [np.unique(shingle_hashes(t, shingle))[:SKETCH].tobytes() for t in b.column(1).to_pylist()]
+            s = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["node", "s"])
 
     s = texts.join(one.select("node", "k.*"), key).select("node", "_t").mapInArrow(hashes, "node long, s binary")

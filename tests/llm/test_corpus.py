@@ -205,6 +205,26 @@ def test_near_copies_of_a_lost_original(spark):
     assert {r.doc_id for r in simhash.keep_one_of_each(d).collect()} == want
 
 
+def test_long_near_copies_are_decided_exactly(spark):
+    """Pairs of long texts next to 0.8 on either side: none below it goes, those above it do."""
+    rnd = random.Random(13)
+    word = lambda: f"w{rnd.randint(0, 5000)}"
+    texts, alike = [], []
+    for _ in range(60):
+        w = [word() for _ in range(3000)]
+        texts += [" ".join(w), " ".join(word() if rnd.random() < 0.0235 else x for x in w)]
+        a, b = map(five_words, texts[-2:])
+        alike.append(len(a & b) / len(a | b))
+    above = {2 * k + 1 for k, x in enumerate(alike) if x >= 0.8}
+    assert min(len(above), 60 - len(above)) > 10 and sum(0.79 < x < 0.81 for x in alike) > 10
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = set(range(120)) - {r.doc_id for r in simhash.keep_one_of_each(d).collect()}
+    assert gone <= above
+    prints = [np.array(simhash.fingerprint(simhash.shingle_hashes(t, 5), 4), np.int64) for t in texts]
+    far = {k: int(np.bitwise_count((prints[k] ^ prints[k - 1]).view(np.uint64)).sum()) for k in above - gone}
+    assert all(x > 51 for x in far.values()), far
+
+
 @pytest.mark.parametrize("part", [1 << 30, 3000])
 def test_open_links_in_blocks(spark, monkeypatch, part):
     """Trees that no closest edge joins are joined by the pairs left, in one task or in blocks."""
