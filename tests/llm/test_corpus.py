@@ -205,6 +205,15 @@ def test_near_copies_of_a_lost_original(spark):
     assert {r.doc_id for r in simhash.keep_one_of_each(d).collect()} == want
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """A clean text isn't dropped for another text of its id, and a near copy of a smaller id goes alone."""
+    words = lambda k, n=60: " ".join(f"{k}w{x}" for x in range(n))
+    rows = [(1, words("a")), (2, words("b")), (2, words("a") + " more"), (3, words("c")), (3, words("d")), (3, words("d")), (4, words("c") + " more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one_of_each(d).collect())
+    assert got == [(1, words("a")), (2, words("b")), (3, words("c")), (3, words("d"))]
+
+
 def test_long_near_copies_are_decided_exactly(spark):
     """Pairs of long texts next to 0.8 on either side: none below it goes, those above it do."""
     rnd = random.Random(13)
