@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,25 +182,25 @@ def lists(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
 def find_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for at, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a, c, s, n in runs_of(kind, kind.units(text)):
-                    for x, y in zip(cols, (a, c, np.full(len(a), doc, np.int64), s, n), strict=True):
+                    for x, y in zip(cols, (a, c, np.full(len(a), at, np.int64), np.full(len(a), doc, np.int64), s, n), strict=True):
                         x.append(y)
             if cols[0]:
-                a, c, d, s, n = map(np.concatenate, cols)
-                yield pa.RecordBatch.from_arrays([signed(a), signed(c), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "context", "doc", "start", "n"])
+                a, c, i, d, s, n = map(np.concatenate, cols)
+                yield pa.RecordBatch.from_arrays([signed(a), signed(c), pa.array(i), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "context", "id", "doc", "start", "n"])
 
-    return docs.mapInArrow(run, "anchor long, context long, doc long, start int, n int")
+    return docs.select("id", "doc", "text").mapInArrow(run, "anchor long, context long, id long, doc long, start int, n int")
 
 
 def open_windows(listed: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, hash, doc, start) of each window of the listed runs."""
+    """(anchor, hash, id, doc, start) of each window of the listed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = kind.window
         for b in batches:
-            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True):
+            for of, doc, text, found in zip(*(c.to_pylist() for c in b.columns[:3]), lists(b.column(3)), strict=True):
                 u = kind.units(text)
                 anchor, start, n = (found[c] for c in ("anchor", "start", "n"))
                 at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -211,9 +211,9 @@ def open_windows(listed: DataFrame, kind: Kind) -> DataFrame:
                 a, s = np.repeat(anchor, n), at.astype(np.int32)
                 for k in range(0, len(a), 50_000):
                     cut = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(h[cut]), pa.array(np.full(len(a[cut]), doc, np.int64)), pa.array(s[cut])], names=["anchor", "hash", "doc", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(h[cut]), *(pa.array(np.full(len(a[cut]), x, np.int64)) for x in (of, doc)), pa.array(s[cut])], names=["anchor", "hash", "id", "doc", "start"])
 
-    return listed.mapInArrow(run, "anchor long, hash long, doc long, start int")
+    return listed.mapInArrow(run, "anchor long, hash long, id long, doc long, start int")
 
 
 def open_contexts(listed: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def open_contexts(listed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True):
+            for doc, text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), lists(b.column(3)), strict=True):
                 raw = text.encode()
                 for k in range(0, len(found["start"]), 4000):
                     anchor, start, n = (found[c][k : k + 4000] for c in ("anchor", "start", "n"))
@@ -330,7 +330,8 @@ def by_suffix_arrays(contexts: DataFrame) -> DataFrame:
 def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFrame, list[Stash]]:
     """(doc, start, n): n windows from `start` on that repeat (later: an earlier window).
 
-    docs has doc (long) and text. Returns also the tables in the shared folder that the result reads.
+    docs has id (long), doc (long: stands for the id and text, so that every row has the text of its doc) and
+    text; rows are earlier by (id, doc, start). Returns also the tables in the shared folder that the result reads.
     """
     spark = docs.sparkSession
     runs = Stash(find_runs(docs, kind))
@@ -341,13 +342,13 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
     runs.drop()
     shared.drop()
     release(spark)
-    equal = Stash(found.df.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "start", "n")).alias("first"), F.max("open").alias("open")))
-    several = equal.df.where("k > 1").select("anchor", "context", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0"))
+    equal = Stash(found.df.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "doc", "start", "n")).alias("first"), F.max("open").alias("open")))
+    several = equal.df.where("k > 1").select("anchor", "context", F.struct("first.id", "first.doc", "first.start").alias("first"))
     whole = found.df.join(several, ["anchor", "context"])
     if later:
-        whole = whole.where("doc > doc0 or (doc = doc0 and start > start0)")
+        whole = whole.where(F.struct("id", "doc", "start") > F.col("first"))
     whole = whole.select("doc", "start", "n")
-    left = equal.df.where("open").select("anchor", "first.*")
+    left = equal.df.where("open").select("anchor", "first.doc", "first.start", "first.n")
     if kind is Bytes:
         many = left.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CONTEXTS).select("anchor", F.lit(True).alias("hot"))
         left = left.join(many, "anchor", "left")
@@ -357,20 +358,20 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
 
     def listed(hot: bool) -> DataFrame:
         of = runs_left.df.where(F.col("hot") == hot).groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
-        return docs.join(of, "doc").select("doc", "text", "found")
+        return docs.join(of, "doc").select("id", "doc", "text", "found")
 
     windows = Stash(open_windows(listed(True), kind))
     release(spark)
-    first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = Stash(first.select("anchor", "hash", F.col("first.doc").alias("doc0"), F.col("first.start").alias("start0")))
+    first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    first = Stash(first.select("anchor", "hash", "first"))
     some = windows.df.join(first.df, ["anchor", "hash"])
     if later:
-        some = some.where("doc > doc0 or (doc = doc0 and start > start0)")
+        some = some.where(F.struct("id", "doc", "start") > F.col("first"))
     out = whole.unionAll(some.select("doc", "start", F.lit(1).alias("n")))
     kept = [found, equal, runs_left, windows, first]
     if kind is Bytes:
         out = out.unionAll(by_suffix_arrays(open_contexts(listed(False))))
-    done = Stash(out.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("found")))
+    done = Stash(out.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("found")))
     for s in kept:
         s.drop()
     release(spark)
@@ -392,8 +393,13 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def doc_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: rows that share an id, or have none, but differ in their texts are different documents."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), doc_key(id_col, text_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def digests(docs: DataFrame, kind: Kind, later: bool, columns: list[str], measure: Callable[[str, Found], tuple]) -> DataFrame:
@@ -408,7 +414,7 @@ def digests(docs: DataFrame, kind: Kind, later: bool, columns: list[str], measur
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *columns])
 
     kinds = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in columns[:-1]), T.StructField(columns[-1], T.StringType())])
-    d = docs.join(found, "doc", "left").select("doc", "text", "found").mapInArrow(run, kinds)
+    d = docs.join(found, "doc", "left").select("id", "text", "found").mapInArrow(run, kinds)
     return d.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -416,8 +422,8 @@ def remove_later_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_words, n_removed, kept_sha256: words in a 20-word window that also starts earlier are removed.
 
     Earlier: in a document with a smaller id, or before in the same document; judged on the input. Texts
-    of under 20 words, empty and null ones lose nothing. Rows that repeat an id with equal windows at equal
-    places don't precede each other. Null ids count as the smallest.
+    of under 20 words, empty and null ones lose nothing. Rows that repeat an id and text don't precede each
+    other; rows of one id with different texts precede by a hash. Null ids count as the smallest.
     """
 
     def measure(text: str, found: Found) -> tuple:
@@ -465,7 +471,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(docs.sparkSession)
     found, _ = repeated_stretches(keyed(docs, id_col, text_col), Bytes, False)
-    d = docs.withColumn("_sq_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found.select(F.col("doc").alias("_sq_doc"), F.col("found").alias("_sq_found")), "_sq_doc", "left")
+    d = docs.withColumn("_sq_doc", doc_key(id_col, text_col)).join(found.select(F.col("doc").alias("_sq_doc"), F.col("found").alias("_sq_found")), "_sq_doc", "left")
     names = docs.columns
     at = names.index(text_col)
 

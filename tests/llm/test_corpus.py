@@ -365,6 +365,25 @@ def test_later_words(spark, odd, empty):
     assert sum(w[1] for w in want.values()) > 500
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """What repeats in one text is cut there alone, not in other texts of its id or without one."""
+    rnd = random.Random(4)
+    make = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    passage, clean, own, short = make(60), make(300), make(200), make(3)
+    texts = [f"{make(150)} {passage} {make(9)}", clean, short, f"{own} {passage}", "x", None]
+    for ids in ([None] * 6, [7] * 6):
+        d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        words = Counter((r.n_words, r.n_removed) for r in repeats.remove_later_words(d).collect())
+        lost = {n: k for (n, k) in words if k}
+        assert sum(words.values()) == 6 and list(lost.values()) == [60] and set(lost) <= {219, 260}
+        assert {(300, 0), (3, 0), (1, 0), (0, 0)} <= set(words)
+        got = {r.n_bytes: r.n_removed for r in repeats.remove_repeated_bytes(d).collect()}
+        assert len(got) == 6 - 0 and got[len(clean)] == got[len(short)] == 0
+        assert sorted(n > 0 for n in got.values()) == [False] * 4 + [True] * 2
+        cut = [r.text for r in repeats.cut_repeats(d).collect()]
+        assert clean in cut and short in cut and None in cut and not any(passage in (t or "") for t in cut) and len(cut) == 6
+
+
 @pytest.mark.parametrize("contexts", [16384, 1])
 def test_repeated_bytes(spark, odd, empty, monkeypatch, contexts):
     monkeypatch.setattr(repeats, "CONTEXTS", contexts)
