@@ -243,7 +243,7 @@ def host_tokens(pages: DataFrame) -> DataFrame:
     """Sums for each token of a host and Arrow batch: (host, token, is_text, pages, total, at, v0, v1).
 
     v0 and v1 sum hashes of the pages and the token's count in each, so that equal sums are equal occurrence vectors; at sums its
-    first places. Token 0 counts the pages.
+    first places. Token 0 counts the pages, and in total their texts. Texts in what surrounds the text are no tokens.
     """
     names = ["host", "token", "is_text", "pages", "total", "at", "v0", "v1"]
 
@@ -253,13 +253,17 @@ def host_tokens(pages: DataFrame) -> DataFrame:
             for host, key, page in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 count: dict[int, int] = {0: 1}
                 first: dict[int, tuple[int, bool]] = {0: (0, False)}
-                for at, (t, block) in enumerate(read_page(page).tokens):
+                p = read_page(page)
+                for at, (t, block) in enumerate(p.tokens):
+                    if block >= 0 and p.blocks[block].bad:
+                        continue
                     count[t] = count.get(t, 0) + 1
                     first.setdefault(t, (at, block >= 0))
+                texts = sum(of_text for _, of_text in first.values())
                 for t, n in count.items():
                     s = seen.setdefault((host, t), [first[t][1], 0, 0, 0, 0, 0])
                     h = xxhash.xxh64_intdigest(f"{key} {n}")
-                    for k, x in enumerate((1, n, first[t][0], h >> 33, h & 0x7FFFFFFF), 1):
+                    for k, x in enumerate((1, n if t else texts, first[t][0], h >> 33, h & 0x7FFFFFFF), 1):
                         s[k] += x
             if seen:
                 cols = list(zip(*seen.values(), strict=True))
@@ -274,12 +278,18 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the tokens of the valid classes of a host, as (class, once, token, is_text) in their mean order.
 
     Every token stands in nearly all pages of the host, so a template is no longer than a page. Hosts whose classes
-    hold no text are left out: their slots hold all there is.
+    hold no text are left out: their slots hold all there is. So are those whose pages are copies of a few texts:
+    where most of the texts beside the template's stand in several pages.
     """
     sums = [F.sum(c).alias(c) for c in ("pages", "total", "at", "v0", "v1")]
-    t = cut(host_tokens(pages).groupBy("host", "token").agg(F.max("is_text").alias("is_text"), *sums).where(F.col("pages") >= PAGES))
-    hosts = t.where("token = 0").select("host", F.col("pages").alias("n"))
-    often = t.where("token <> 0").join(hosts, "host").where(F.col("pages") >= F.col("n") * SHARE)
+    t = cut(host_tokens(pages).groupBy("host", "token").agg(F.max("is_text").alias("is_text"), *sums).where("pages >= 2 or token = 0"))
+    hosts = t.where((F.col("token") == 0) & (F.col("pages") >= PAGES)).select("host", F.col("pages").alias("n"), F.col("total").alias("texts"))
+    several = t.where("token <> 0").join(hosts, "host")
+    enough = F.col("pages") >= F.col("n") * SHARE
+    times = lambda of: F.coalesce(F.sum(F.when(F.col("is_text") & of, F.col("pages"))), F.lit(0))
+    in_some = several.groupBy("host", "texts").agg(times(~enough).alias("some"), times(enough).alias("all"))
+    differ = in_some.where("texts - some - all > some").select("host")
+    often = several.where(enough).join(differ, "host", "left_semi")
     member = F.struct((F.col("at") / F.col("pages")).alias("place"), "token", "is_text")
     classes = often.groupBy("host", "pages", "total", "v0", "v1").agg(F.collect_list(member).alias("members"), F.max("is_text").alias("texts"))
     classes = classes.where((F.size("members") >= 2) & F.col("texts"))

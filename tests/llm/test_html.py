@@ -46,7 +46,7 @@ def texts_of(spark, pages, url="http://h.example/{}"):
 
 
 def test_templates_equal_naive_classes(spark):
-    for n in (3, 4, 7):
+    for n in (3, 4, 7):  # three pages have no template
         pages, _ = host_of_pages(n, n)
         d = spark.createDataFrame([(k, "h", p) for k, p in enumerate(pages)], "page_id long, host string, html string").repartition(3)
         got = defaultdict(set)
