@@ -284,7 +284,8 @@ def templates(pages: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("pages", "total", "at", "v0", "v1")]
     t = cut(host_tokens(pages).groupBy("host", "token").agg(F.max("is_text").alias("is_text"), *sums).where("pages >= 2 or token = 0"))
     hosts = t.where((F.col("token") == 0) & (F.col("pages") >= PAGES)).select("host", F.col("pages").alias("n"), F.col("total").alias("texts"))
-    several = t.where("token <> 0").join(hosts, "host")
+    size = hosts.agg(F.sum(F.octet_length("host") + 60)).first()[0] or 0
+    several = t.where("token <> 0").join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host")
     enough = F.col("pages") >= F.col("n") * SHARE
     times = lambda of: F.coalesce(F.sum(F.when(F.col("is_text") & of, F.col("pages"))), F.lit(0))
     in_some = several.groupBy("host", "texts").agg(times(~enough).alias("some"), times(enough).alias("all"))
