@@ -20,6 +20,10 @@ from sequor.llm.common import Stash, gapless_rank, prepare
 #: Parts held in one generation, and two generations at once; about 150 bytes each.
 CACHE_WORDS = 250_000
 TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Tokens that a pattern may leave empty.
+SLACK = 8
+#: Patterns that steps are taken among between two pricings of all, and how many rounds of steps.
+POOL, POOL_ROUNDS = 20_000, 12
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
@@ -147,50 +151,78 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, schema)
 
 
-def exact_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """All patterns of up to three present lengths that fill a sequence: rows of three lengths, 0 for none."""
+def patterns_of(present: np.ndarray, capacity: int) -> np.ndarray:
+    """Patterns of up to three present lengths that leave at most SLACK tokens: rows of falling lengths, 0 for none.
+
+    For every two lengths the largest third one that still fits; so all patterns that fill a sequence are among them. Lengths may
+    repeat. At most about capacity ** 2 / 12 patterns, whatever the input.
+    """
     there = np.zeros(capacity + 1, bool)
     there[present] = True
-    out = [np.array([[capacity, 0, 0]])] if there[capacity] else []
-    a = present[present <= capacity // 2]
-    two = a[there[capacity - a]]
-    out.append(np.stack([two, capacity - two, np.zeros_like(two)], 1))
-    for x in present[present <= capacity // 3]:
-        b = present[(present >= x) & (present <= (capacity - x) // 2)]
-        b = b[there[capacity - x - b]]
-        out.append(np.stack([np.full_like(b, x), b, capacity - x - b], 1))
-    return np.concatenate(out) if out else np.zeros((0, 3), int)
-
-
-def fit_counts(patterns: np.ndarray, want: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares: repeats x >= 0 of the patterns so that A x is near the histogram.
-
-    Accelerated projected gradient on the sparse pattern matrix (at most three entries a column),
-    with rows scaled by the root of their counts; the step is bounded by the largest row times column sum.
+    largest = np.maximum.accumulate(np.where(there, np.arange(capacity + 1), 0))
+    alone = present[present >= capacity - SLACK]
+    out = [np.stack([alone, np.zeros_like(alone), np.zeros_like(alone)], 1)]
+    for a in present:
+        b = present[(present <= a) & (present <= capacity - a)]
+        c = largest[capacity - a - b]
+        ok = (c <= b) & (a + b + c >= capacity - SLACK)
+        out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], 1))
+    return np.concatenate(out)
+
+
+def apart(patterns: np.ndarray, size: int) -> np.ndarray:
+    """Which of the patterns, taken in their order, share no length with one taken before."""
+    used, take = [False] * size, []
+    for k, (a, b, c) in enumerate(patterns.tolist()):
+        if not (used[a] or used[b] or used[c]):
+            used[a] = used[b] = used[c] = True
+            used[0] = False
+            take.append(k)
+    return np.array(take, np.int64)
+
+
+def fit_counts(patterns: np.ndarray, want: np.ndarray, rounds: int = 400, least: float = 1e-3) -> np.ndarray:
+    """Non-negative least squares by column generation: repeats x >= 0 so that A x is near the histogram.
+
+    The error of a length is divided by the root of its count. All patterns are priced by what their best step would gain; the best enter a
+    pool, and steps are taken there for some rounds: the best patterns that share no length, each by the exact minimum along
+    its column, down to zero at most. x has few entries beside zero, as no more patterns are used than the error asks for.
+    Ends once no step gains `least`.
     """
     size = len(want)
-    weight = 1 / np.sqrt(np.maximum(want, 1.0))
+    weight = 1 / np.maximum(want, 1.0)
     weight[0] = 0
-    goal = want * weight
-
-    def forward(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(patterns[:, k], x, size) for k in range(3)) * weight
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return (r * weight)[patterns].sum(1)
-
-    x = y = np.zeros(len(patterns))
-    v = np.ones(len(patterns))
-    top = 1.0
-    for _ in range(30):
-        v = back(forward(v))
-        top = float(np.linalg.norm(v)) or 1.0
-        v /= top
-    t = 1.0
-    for _ in range(rounds):
-        z = np.maximum(0, y - back(forward(y) - goal) / (1.05 * top))
-        s = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = z + (t - 1) / s * (z - x), z, s
+    new = np.stack([np.ones(len(patterns), bool), patterns[:, 1] != patterns[:, 0], patterns[:, 2] != patterns[:, 1]], 1) & (patterns > 0)
+    times = np.where(new, (patterns[:, :, None] == patterns[:, None, :]).sum(2), 0).astype(float)
+    norm = (times**2 * weight[patterns]).sum(1)
+    x, rest = np.zeros(len(patterns)), want.astype(float)
+    rest[0] = 0
+
+    def gains(some: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        g = (times[some] * (weight * rest)[patterns[some]]).sum(1)
+        step = np.maximum(g / norm[some], -x[some])
+        return step, step * (2 * g - step * norm[some])
+
+    while rounds > 0:
+        gain = gains(slice(None))[1]
+        top = gain.max(initial=0.0)
+        if top <= least:
+            break
+        pool = np.flatnonzero(gain >= top / 20)
+        pool = pool[np.argsort(-gain[pool], kind="stable")[:POOL]]
+        for _ in range(POOL_ROUNDS):
+            rounds -= 1
+            step, gain = gains(pool)
+            top_now = gain.max()
+            if top_now <= max(least, top / 10):
+                break
+            some = np.flatnonzero(gain >= 0.3 * top_now)
+            some = some[np.argsort(-gain[some], kind="stable")]
+            some = some[apart(patterns[pool[some]], size)]
+            cols, step = pool[some], step[some]
+            x[cols] += step
+            for k in range(3):
+                np.subtract.at(rest, patterns[cols, k], times[cols, k] * step)
     return x
 
 
@@ -238,36 +270,53 @@ def pack_residual(left: dict[int, int], capacity: int) -> Plan:
     return out
 
 
-def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """(pattern as ((length, times), ...), repeats): patterns by least squares, then the residual.
-
-    Rounded repeats are taken in the order of their size as far as the histogram still has the
-    lengths. The rest is packed best-fit decreasing; if plain best-fit decreasing of everything
-    needs fewer sequences (small inputs, where hardly any repeat reaches one), that plan stands.
-    """
+def pattern_plan(histogram: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
+    """The patterns with their rounded repeats, as far as the histogram has the lengths, and what is left of it."""
     want = np.zeros(capacity + 1)
     for k, n in histogram.items():
         want[k] = n
-    patterns = exact_patterns(np.flatnonzero(want), capacity)
-    plan: Plan = []
     left = {k: int(n) for k, n in histogram.items() if n}
-    if len(patterns):
-        x = fit_counts(patterns, want)
-        for k in np.argsort(-x, kind="stable"):
-            if x[k] < 0.5:
-                break
-            c: dict[int, int] = defaultdict(int)
-            for s in patterns[k]:
-                if s:
-                    c[int(s)] += 1
-            n = min([round(x[k]), *(left.get(s, 0) // m for s, m in c.items())])
-            if n > 0:
-                plan.append((tuple(c.items()), int(n)))
-                for s, m in c.items():
-                    left[s] -= m * n
-    plan += pack_residual({s: n for s, n in left.items() if n}, capacity)
-    plain = pack_residual({k: int(n) for k, n in histogram.items() if n}, capacity)
-    return min(plan, plain, key=lambda p: sum(n for _, n in p))
+    patterns = patterns_of(np.flatnonzero(want), capacity)
+    x = fit_counts(patterns, want)
+    plan: Plan = []
+    for k in np.argsort(-x, kind="stable"):
+        if x[k] < 0.5:
+            break
+        c: dict[int, int] = defaultdict(int)
+        for s in patterns[k]:
+            if s:
+                c[int(s)] += 1
+        n = min([round(x[k]), *(left[s] // m for s, m in c.items())])
+        if n > 0:
+            plan.append((tuple(c.items()), int(n)))
+            for s, m in c.items():
+                left[s] -= m * n
+    return plan, {s: n for s, n in left.items() if n}
+
+
+def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """(pattern as ((length, times), ...), repeats): patterns by least squares, then the residual by best-fit decreasing.
+
+    If the residual leaves room for a sequence or more, the least used patterns, a tenth of the sequences at a time and three at
+    most, are given back to it; the plan with the fewest sequences stands.
+    """
+    plan, left = pattern_plan(histogram, capacity)
+    least = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    best: Plan | None = None
+    for _ in range(4):
+        whole = plan + pack_residual(left, capacity)
+        if best is None or sum(n for _, n in whole) < sum(n for _, n in best):
+            best = whole
+        if sum(n for _, n in best) <= least:
+            break
+        back = sum(n for _, n in plan) // 10
+        plan, left = list(plan), dict(left)
+        while plan and back > 0:
+            pattern, n = plan.pop()
+            back -= n
+            for s, m in pattern:
+                left[s] = left.get(s, 0) + m * n
+    return best or []
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -286,23 +335,21 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for pattern, n in make_plan(histogram, capacity):
         offset = 0
         for size, times in pattern:
-            rows.append((size, first[size], first[size] + n * times, times, sequence, offset))
+            rows.append((size, first[size], times, sequence, offset))
             first[size] += n * times
             offset += size * times
         sequence += n
-    schema = "length int, lo long, hi long, times int, seq0 long, off0 int"
     ranked = gapless_rank(pieces, "length", F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", salts=64)
-    return place(ranked, spark.createDataFrame(rows, schema)) if rows else ranked.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).drop("rank")
+    return place(ranked, rows)
 
 
-def place(ranked: DataFrame, slots: DataFrame) -> DataFrame:
+def place(ranked: DataFrame, slots: list[tuple[int, ...]]) -> DataFrame:
     """Give each (length, rank) its sequence and offset.
 
     The plan's entries, at most a few for each of `capacity` lengths, are sorted and searched
     in an Arrow function: a fixed-size table sent with the code.
     """
-    held = sorted((r["length"], r["lo"], r["times"], r["seq0"], r["off0"]) for r in slots.collect())
-    table = np.array(held, np.int64)
+    table = np.array(sorted(slots), np.int64).reshape(-1, 5)
     big = np.int64(1) << np.int64(48)
     keys = table[:, 0] * big + table[:, 1]
     schema = T.StructType([f for f in ranked.schema.fields if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -311,7 +358,7 @@ def place(ranked: DataFrame, slots: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            t = table[np.searchsorted(keys, size * big + rank, "right") - 1]
+            t = table[np.searchsorted(keys, size * big + rank, "right") - 1] if len(table) else np.ones((len(size), 5), np.int64)
             k = rank - t[:, 1]
             new = {"sequence_id": pa.array(t[:, 3] + k // t[:, 2]), "offset": pa.array(t[:, 4] + size * (k % t[:, 2]))}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)

@@ -513,6 +513,48 @@ def test_plans_hold_the_histogram(seed):
     assert sum(n for _, n in plan) <= 1.01 * sum(s * n for s, n in h.items()) / 64 + 1
 
 
+def test_least_squares_fit_small_histograms():
+    """The error of the repeats against a plain projected gradient that runs long."""
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        want = np.zeros(41)
+        want[rng.integers(1, 41, 18)] = rng.integers(1, 60, 18)
+        cols = packing.patterns_of(np.flatnonzero(want), 40)
+        assert all(a >= b >= c and 40 - packing.SLACK <= a + b + c <= 40 for a, b, c in cols.tolist())
+        full = {(a, b, c) for a in range(41) for b in range(a + 1) for c in range(b + 1) if a + b + c == 40 and all(not s or want[s] for s in (a, b, c))}
+        assert full <= set(map(tuple, cols.tolist()))
+        matrix = np.zeros((41, len(cols)))
+        for k, p in enumerate(cols.tolist()):
+            for s in p:
+                matrix[s, k] += s > 0
+        weight = 1 / np.sqrt(np.maximum(want, 1))
+        a, b = matrix * weight[:, None], want * weight
+        z = np.zeros(len(cols))
+        for _ in range(20000):
+            z = np.maximum(0, z - a.T @ (a @ z - b) / np.linalg.norm(a, 2) ** 2)
+        x = packing.fit_counts(cols, want, 4000, 1e-9)
+        assert (x >= 0).all() and np.sum((a @ x - b) ** 2) <= np.sum((a @ z - b) ** 2) * 1.02 + 1e-3
+
+
+def test_patterns_place_most_sequences(spark):
+    pieces_ = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text", packing.vocabulary("word_bpe_49k.json"), 2048, 0)
+    h = {r["length"]: r["count"] for r in pieces_.groupBy("length").count().collect()}
+    plan, left = packing.pattern_plan(h, 2048)
+    several = sum(n for p, n in plan if sum(m for _, m in p) > 1)
+    assert several >= sum(n for _, n in packing.make_plan(h, 2048)) / 3
+    assert sum(n for _, n in packing.make_plan(h, 2048)) == -(-sum(s * n for s, n in h.items()) // 2048)
+    assert {s: n for s, n in Counter({s: sum(m * k for p, k in plan for z, m in p if z == s) for s in h}).items()} == {s: n - left.get(s, 0) for s, n in h.items()}
+
+
+def test_packing_of_null_ids(spark):
+    d = spark.createDataFrame([(None, "a b"), (None, None), (None, "a b"), (1, "x " * 300)], "doc_id long, text string")
+    rows = packing.pack_documents(d, capacity=64).collect()
+    assert Counter((r.doc_id, r.piece) for r in rows)[None, 0] == 3
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for a, b in zip(places, places[1:], strict=False):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0)
+
+
 def test_word_codec_equals_tokenizer():
     c = packing.WordCodec(packing.vocabulary("word_bpe_49k.json"))
     rnd = random.Random(0)
