@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch handed to a Python worker, at most. Texts can be long.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+#: Keys that a join sends to all tasks, at most, and the least rows that make a key one of them.
+HEAVY, HEAVY_ROWS = 200_000, 1000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,6 +96,21 @@ def gapless_rank(df: DataFrame, group: str, key: Column, order: list, out: str,
     )
 
 
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """df joined with a materialised table that has one row per key and counts df's rows of it.
+
+    Keys that hold over 1 / HEAVY of the rows, of which there are HEAVY at most, are broadcast, so that none of
+    them meets in one task; the others are shuffled. df is read twice: pass a materialised table.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) > max(HEAVY_ROWS, total // HEAVY)
+    large = counted.where(heavy)
+    if large.isEmpty():
+        return df.join(counted, keys)
+    rest = df.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return df.join(F.broadcast(large), keys).unionByName(rest.join(counted.where(~heavy), keys))
+
+
 def blocked(df: DataFrame, keys: list[str], row_key: Column, block: int, weight: Column | None = None) -> DataFrame:
     """Split groups of more than `block` rows (or more than that weight in all) so that every two rows of a group still meet.
 

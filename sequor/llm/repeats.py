@@ -1,8 +1,8 @@
 """Removal of repeated passages: winnowed anchors, extension to both sides, maximal repeats.
 
-Two operators share the search. `remove_later_words` (substring dedup) seeds on anchors of a few words
-and removes words that repeat an earlier window. `remove_repeated_bytes` (suffix-array dedup) seeds on
-anchors of bytes and resolves what the anchors leave open with logarithmic families of suffix arrays.
+Two operators share the search. `remove_later_words` (substring dedup) joins documents on anchors of a few words, extends
+each match to both sides and removes words that repeat an earlier window. `remove_repeated_bytes` (suffix-array dedup) keeps a
+logarithmic family of suffix arrays of the anchored positions and removes bytes of strings found twice.
 
 A window (20 words, 200 bytes) is assigned to its anchor: the first gram in it with the smallest hash, which
 depends on the window's content alone, so equal windows have equal anchors. Consecutive windows with
@@ -10,13 +10,17 @@ one anchor are a run; its context is all that they cover. Steps, each a distribu
 
 1. Runs (anchor, context hash, document, start, length) of all documents; those whose anchor is found
    only once can't repeat and are left out.
-2. Extension at once: runs with equal contexts repeat whole, decided by a partial aggregation.
-3. Extension step by step: where an anchor stands in different contexts, one run of each context is
-   compared window by window.
-4. The covered windows of a document are united to maximal repeats and removed.
-
-Anchors and contexts are 64-bit hashes used together. No step gathers the rows of an anchor in one
-task: hot anchors go through aggregations with partial sums, and joins whose skew Spark can split.
+2. Runs with equal contexts repeat whole: a partial aggregation makes them one class with a first member.
+3. Where an anchor stands in different contexts, the first members' contexts are fetched. Keys with more than
+   CONTEXTS of them are lengthened: from the smallest gram of a window to its 4, 16, ... smallest, up to all of them,
+   with equal contexts made one class again, so that no task gets a large group.
+4. Contexts of a key are laid over each other at the anchor and extended to both sides, unit by unit: each with each earlier
+   one (words), or along the order of their suffixes, batch by batch, against the levels of the index (bytes).
+5. The stretches of a document are united to maximal repeats and removed.
+
+Anchors and whole contexts are compared by 64-bit hashes used together; extension compares bytes, and words by a hash each. No
+step gathers the rows of an anchor in one task: keys with a large share of the rows are joined by broadcast, of which there
+can only be few.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sequor.llm.common import WORDS, Stash, prepare, release, whole_groups
+from sequor.llm.common import WORDS, Stash, join_counted, prepare, release, whole_groups
 
 FIND = re.compile(WORDS).findall
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,10 +45,12 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Units (words or bytes) of a text worked on at once; longer texts go in overlapping parts.
 PART = 1 << 20
 CACHE_WORDS = 300_000
-#: Different contexts of an anchor (5 MB of bytes) that one task resolves by suffix arrays; beyond it, by hashes of windows.
-CONTEXTS = 16_384
-#: Contexts that get a suffix array of their own when they come in.
-BATCH = 1000
+#: Different contexts of a key that one task lays over each other; keys of more are lengthened.
+CONTEXTS = 256
+#: Batches that the documents come in to the index of suffix arrays.
+BATCHES = 5
+#: Bytes of contexts in a bucket of the index, on average, and pairs that are compared at once.
+BUCKET_BYTES, PAIRS = 4 << 20, 1 << 15
 #: A null id counts as this one.
 NO_ID = -(1 << 63)
 
@@ -93,7 +99,7 @@ class WordHashes(dict):
 class Words:
     """Texts as words; anchors of 4 words in windows of 20."""
 
-    window, gram, unit = 20, 4, 1
+    window, gram, unit, dtype = 20, 4, 1, np.uint64
     hashes = WordHashes()
 
     @classmethod
@@ -109,18 +115,11 @@ class Words:
     def grams(cls, base: np.ndarray) -> np.ndarray:
         return pair(pair(base, 1), 2)
 
-    @classmethod
-    def windows(cls, base: np.ndarray) -> np.ndarray:
-        h4 = pair(pair(base, 1), 2)
-        h16 = pair(pair(h4, 4), 8)
-        n = len(base) - 19
-        return mix(h16[:n] * ODD + h4[16 : 16 + n])
-
 
 class Bytes:
     """Texts as UTF-8 bytes; anchors of 32 bytes in windows of 200."""
 
-    window, gram, unit = 200, 32, 8
+    window, gram, unit, dtype = 200, 32, 8, np.uint8
 
     @classmethod
     def units(cls, text: str) -> np.ndarray:
@@ -138,14 +137,6 @@ class Bytes:
     def grams(cls, base: np.ndarray) -> np.ndarray:
         return pair(pair(base, 8), 16)
 
-    @classmethod
-    def windows(cls, base: np.ndarray) -> np.ndarray:
-        h32 = cls.grams(base)
-        h64 = pair(h32, 32)
-        h128 = pair(h64, 64)
-        n = len(base) + 7 - 199
-        return mix((h128[:n] * ODD + h64[128 : 128 + n]) * ODD + base[192 : 192 + n])
-
 
 Kind = type[Words] | type[Bytes]
 
@@ -194,141 +185,315 @@ def find_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.select("id", "doc", "text").mapInArrow(run, "anchor long, context long, id long, doc long, start int, n int")
 
 
-def open_windows(listed: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, hash, id, doc, start) of each window of the listed runs."""
+CONTEXT = "key long, id long, doc long, start int, n int, at int, content binary"
+
+
+def open_contexts(listed: DataFrame, kind: Kind) -> DataFrame:
+    """Rows of CONTEXT: what the listed runs cover, and where in it the anchor stands."""
+    width = kind.window - kind.gram + 1
+    names = ["key", "id", "doc", "start", "n", "at", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = kind.window
         for b in batches:
             for of, doc, text, found in zip(*(c.to_pylist() for c in b.columns[:3]), lists(b.column(3)), strict=True):
                 u = kind.units(text)
-                anchor, start, n = (found[c] for c in ("anchor", "start", "n"))
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                if len(u) < PART:  # all windows at once, then those of the runs
-                    h = kind.windows(kind.base(u))[at].view(np.int64)
-                else:
-                    h = np.concatenate([kind.windows(kind.base(u[x : x + y + w - 1])) for x, y in zip(start.tolist(), n.tolist(), strict=True)]).view(np.int64)
-                a, s = np.repeat(anchor, n), at.astype(np.int32)
-                for k in range(0, len(a), 50_000):
-                    cut = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(h[cut]), *(pa.array(np.full(len(a[cut]), x, np.int64)) for x in (of, doc)), pa.array(s[cut])], names=["anchor", "hash", "id", "doc", "start"])
-
-    return listed.mapInArrow(run, "anchor long, hash long, id long, doc long, start int")
+                whole = kind.grams(kind.base(u)) if len(u) < PART else None
+                for k in range(0, len(found["start"]), 4000):
+                    anchor, start, n = (found[c][k : k + 4000] for c in ("anchor", "start", "n"))
+                    at, content = [], []
+                    for a, x, y in zip(anchor.view(np.uint64), start.tolist(), n.tolist(), strict=True):
+                        covers = u[x : x + y + kind.window - 1]
+                        grams = kind.grams(kind.base(covers))[:width] if whole is None else whole[x : x + width]
+                        at.append(int((grams == a).argmax()))
+                        content.append(covers.tobytes())
+                    ids = (pa.array(np.full(len(at), v, np.int64)) for v in (of, doc))
+                    cols = [pa.array(anchor), *ids, pa.array(start), pa.array(n), pa.array(at, pa.int32()), pa.array(content, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return listed.mapInArrow(run, CONTEXT)
+
+
+def smallest_grams(grams: np.ndarray, n: int, k: int) -> np.ndarray:
+    """For each of n windows a hash of the k smallest hashes of its grams."""
+    per = len(grams) - n + 1
+    view = np.lib.stride_tricks.sliding_window_view(grams, per)
+    k = min(k, per)
+    low = np.sort(view if k == per else np.partition(view, k - 1, axis=1)[:, :k], axis=1)
+    return mix(low @ Powers.of(per + 1)[0][1 : k + 1])
+
+
+def lengthened(contexts: DataFrame, kind: Kind, k: int) -> DataFrame:
+    """The runs of the contexts' windows by their k smallest grams, with the hash of what they cover as `context`."""
+    w = kind.window
+    size = np.dtype(kind.dtype).itemsize
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            _, of, doc, start, count, at, content = (c.to_pylist() for c in b.columns)
+            for i, d, x, n, a, raw in zip(of, doc, start, count, at, content, strict=True):
+                u = np.frombuffer(raw, kind.dtype)
+                keys = smallest_grams(kind.grams(kind.base(u)), n, k)
+                begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True):
+                    part = raw[lo * size : (hi + w - 1) * size]
+                    out.append((keys[lo], xxhash.xxh64_intdigest(part), i, d, x + lo, hi - lo, a - lo, part))
+            if out:
+                key, context, *rest, parts = zip(*out, strict=True)
+                of_rest = [pa.array(v, t) for v, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                cols = [signed(np.array(key, np.uint64)), signed(np.array(context, np.uint64)), *of_rest, pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "context", "id", "doc", "start", "n", "at", "content"])
+
+    return contexts.mapInArrow(run, CONTEXT.replace("key long,", "key long, context long,"))
+
+
+def small_groups(contexts: Stash, kind: Kind, later: bool) -> tuple[list[DataFrame], list[Stash], list[DataFrame]]:
+    """Contexts whose keys have at most CONTEXTS of them (parts to unite), tables these read, and stretches found on the way."""
+    parts, tables, found = [], [contexts], []
+    k = 4
+    while True:
+        sizes = Stash(tables[-1].df.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CONTEXTS))
+        tables.append(sizes)
+        if sizes.df.isEmpty() or k > 4 * kind.window:
+            parts.append(tables[-2].df)
+            return parts, tables, found
+        rows, hot = tables[-2].df, sizes.df
+        parts.append(rows.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "key", "left_anti"))
+        longer = Stash(lengthened(join_counted(rows, hot, ["key"], "k").drop("k"), kind, k))
+        first = F.min(F.struct("id", "doc", "start", "n", "at", "content")).alias("first")
+        equal = Stash(longer.df.groupBy("key", "context").agg(F.count(F.lit(1)).alias("k"), first))
+        place = F.struct("first.id", "first.doc", "first.start").alias("first")
+        whole = join_counted(longer.df.drop("content"), equal.df.where("k > 1").select("key", "context", "k", place), ["key", "context"], "k")
+        if later:
+            whole = whole.where(F.struct("id", "doc", "start") > F.col("first"))
+        found.append(whole.select("doc", "start", "n"))
+        tables += [longer, equal, Stash(equal.df.select("key", "first.*"))]
+        k *= 4
+
+
+class Laid:
+    """Contexts laid over each other at their anchors: units to the right of its start, and to the left in reverse."""
+
+    def __init__(self, kind: Kind, key: np.ndarray, at: np.ndarray, n: np.ndarray, contents: list[bytes]):
+        self.w, self.key, self.at, self.n = kind.window, key, at.astype(np.int64), n.astype(np.int64)
+        size = np.dtype(kind.dtype).itemsize
+        length = np.array([len(c) // size for c in contents], np.int64)
+        flat = np.frombuffer(b"".join(contents), kind.dtype)
+        begin = np.cumsum(length) - length + self.at
+        self.left_n, self.right_n = self.at, length - self.at
+        self.right = self.spread(flat, begin, self.right_n, kind.window, 1)
+        self.left = self.spread(flat, begin - 1, self.left_n, kind.window - kind.gram, -1)
 
-def open_contexts(listed: DataFrame) -> DataFrame:
-    """(anchor, doc, start, n, content): the bytes that the listed runs cover."""
+    @staticmethod
+    def spread(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+        k = np.arange(width)
+        if not len(begin):
+            return np.zeros((0, width), flat.dtype)
+        out = flat[np.clip(begin[:, None] + step * k, 0, len(flat) - 1)]
+        out[k >= length[:, None]] = 0
+        return out
+
+    def order(self) -> np.ndarray:
+        """Keys and the units to the right as strings that compare like them (bytes only)."""
+        if not len(self.key):
+            return np.zeros(0, f"S{8 + self.w}")
+        keys = self.key.view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+        return np.ascontiguousarray(np.concatenate([keys, self.right], 1)).view(f"S{8 + self.w}").ravel()
+
+    def take(self, rows: np.ndarray) -> Laid:
+        out = object.__new__(Laid)
+        out.w = self.w
+        for c in ("key", "at", "n", "left_n", "right_n", "right", "left"):
+            setattr(out, c, getattr(self, c)[rows])
+        return out
+
+    def common(self, side: str, i: np.ndarray, other: Laid, j: np.ndarray) -> np.ndarray:
+        """How many units to a side of the anchors of self[i] and other[j] are equal, from the anchor on."""
+        a, b = getattr(self, side), getattr(other, side)
+        least = np.minimum(getattr(self, side + "_n")[i], getattr(other, side + "_n")[j])
+        out = np.empty(len(i), np.int64)
+        for lo in range(0, len(i), PAIRS):
+            differ = a[i[lo : lo + PAIRS]] != b[j[lo : lo + PAIRS]]
+            first = differ.argmax(1)
+            out[lo : lo + PAIRS] = np.where(differ[np.arange(len(differ)), first], first, a.shape[1])
+        return np.minimum(out, least)
+
+    def extend(self, i: np.ndarray, other: Laid, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ways from the anchors of self[i] and other[j]: units in common to the right, to the left, and whether a window fits."""
+        right = self.common("right", i, other, j)
+        left = np.zeros(len(i), np.int64)
+        some = np.flatnonzero(right + np.minimum(self.left_n[i], other.left_n[j]) >= self.w)
+        left[some] = self.common("left", i[some], other, j[some])
+        return right, left, left + right >= self.w
+
+
+class Marks:
+    """Which windows of some contexts repeat: stretches are added one by one and united at the end."""
+
+    def __init__(self, laid: Laid):
+        self.laid = laid
+        self.step = np.zeros((len(laid.n), int(laid.n.max(initial=0)) + 1), np.int32)
+
+    def add(self, i: np.ndarray, right: np.ndarray, left: np.ndarray) -> None:
+        """Windows of context i (which may stand there more than once) in the match that goes `left` and `right` from the anchor."""
+        lo = np.maximum(0, self.laid.at[i] - left)
+        hi = np.minimum(self.laid.n[i] - 1, self.laid.at[i] + right - self.laid.w)
+        ok = lo <= hi
+        np.add.at(self.step, (i[ok], lo[ok]), 1)
+        np.add.at(self.step, (i[ok], hi[ok] + 1), -1)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, first window, windows) of maximal stretches."""
+        hit = (np.cumsum(self.step, axis=1) > 0).astype(np.int8)
+        edge = np.diff(hit, axis=1, prepend=0)
+        row, lo = np.nonzero(edge == 1)
+        return row, lo, np.nonzero(edge == -1)[1] - lo
+
+
+def stretch_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "start", "n"])
+
+
+def seed_and_extend(contexts: DataFrame) -> DataFrame:
+    """(doc, start, n): stretches of windows that an earlier context of the same key holds too. Words only."""
+    d = contexts.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), lists(b.column(3)), strict=True):
-                raw = text.encode()
-                for k in range(0, len(found["start"]), 4000):
-                    anchor, start, n = (found[c][k : k + 4000] for c in ("anchor", "start", "n"))
-                    content = [raw[x : x + y + 199] for x, y in zip(start.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(start), doc, np.int64)), pa.array(start), pa.array(n), pa.array(content, pa.binary())], names=["anchor", "doc", "start", "n", "content"])
+        for t in whole_groups(batches, ["key"]):
+            key, of, doc, start, n, at = (t.column(c).to_numpy() for c in ("key", "id", "doc", "start", "n", "at"))
+            order = np.lexsort((start + at, doc, of, key))
+            contents = t.column("content").to_pylist()
+            laid = Laid(Words, key[order], at[order], n[order], [contents[k] for k in order])
+            doc, start, marks = doc[order], start[order], Marks(laid)
+            seed = start + laid.at
+            step, i = 1, np.arange(len(key))
+            while len(i := i[i >= step]) and len(i := i[laid.key[i] == laid.key[i - step]]):
+                other = (doc[i] != doc[i - step]) | (seed[i] != seed[i - step])  # a repeated row doesn't precede itself
+                p = i[other]
+                right, left, fits = laid.extend(p, laid, p - step)
+                marks.add(p[fits], right[fits], left[fits])
+                step += 1
+            row, lo, count = marks.stretches()
+            if len(row):
+                yield stretch_rows(doc[row], start[row] + lo, count)
 
-    return listed.mapInArrow(run, "anchor long, doc long, start int, n int, content binary")
+    return d.mapInArrow(run, "doc long, start int, n int")
 
 
-class SuffixArray:
-    """The windows of some contexts in the order of their content, with the windows found more than once.
+def scan(a: Laid, a_marks: Marks, b: Laid, b_marks: Marks, place: np.ndarray) -> None:
+    """Walk with each suffix of b through the sorted ones of a, from its place there, and mark the matches of both.
 
-    text holds the contexts one after the other, place the windows' starts in text by content, owner
-    each window's number. twice marks numbers of windows whose content has been seen elsewhere.
+    What a suffix has in common with others of its key falls with the distance in the order, so a walk ends where
+    the left side can't make up for it. If a is b, only the way up is walked.
     """
-
-    def __init__(self, text: np.ndarray, place: np.ndarray, owner: np.ndarray, twice: np.ndarray):
-        self.text, self.twice = text, twice
-        words = [text[k : k + (len(text) - k) // 8 * 8].view(">u8") for k in range(8)]
-        padded = np.zeros(len(text), np.uint64)
-        for k, x in enumerate(words):
-            padded[k : k + 8 * len(x) : 8] = x
-        order = np.argsort(padded[place], kind="stable")
-        place, owner = place[order], owner[order]
-        key = padded[place]
-        same = np.r_[False, key[1:] == key[:-1]]
-        # open: places in the order where runs of equal prefixes stand; only they are sorted further
-        for k in range(8, Bytes.window, 8):
-            at = np.flatnonzero(same | np.r_[same[1:], False])
-            if not len(at):
+    for way in (1,) if a is b else (1, -1):
+        i, at = np.arange(len(b.key)), place + 1 if a is b else place if way > 0 else place - 1
+        while True:
+            ok = (at >= 0) & (at < len(a.key))
+            i, at = i[ok], at[ok]
+            ok = a.key[at] == b.key[i]
+            i, at = i[ok], at[ok]
+            if not len(i):
                 break
-            begin = np.flatnonzero(~same[at])
-            size = np.diff(np.r_[begin, len(at)])
-            key = padded[place[at] + k]
-            differ = np.repeat(np.logical_or.reduceat(key != np.repeat(key[begin], size), begin), size)
-            if not differ.any():
-                continue
-            group = np.cumsum(~same[at])[differ]
-            at, key = at[differ], key[differ]
-            order = np.lexsort((key, group))
-            place[at], owner[at], key = place[at][order], owner[at][order], key[order]
-            same[at] = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
-        self.place, self.owner = place, owner
-        twice[owner[same | np.r_[same[1:], False]]] = True
-
-
-class LogarithmicFamily:
-    """Suffix arrays of geometrically growing sizes.
-
-    A new batch becomes an array of its own; while the last two are of about equal size they are
-    merged, and the merge scans neighbours for equal windows. At the end the rest is merged from
-    the smallest up, so that every two windows have stood in one array.
+            right, left, fits = b.extend(i, a, at)
+            b_marks.add(i[fits], right[fits], left[fits])
+            a_marks.add(at[fits], right[fits], left[fits])
+            on = right + b.left_n[i] >= b.w
+            i, at = i[on], at[on] + way
+
+
+def merged(a: np.ndarray, a_rows: np.ndarray, b: np.ndarray, b_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of strings, and the rows they stand for, merged."""
+    at = np.searchsorted(a, b) + np.arange(len(b))
+    rest = np.ones(len(a) + len(b), bool)
+    rest[at] = False
+    strings, rows = np.empty(len(rest), b.dtype), np.empty(len(rest), np.int64)
+    strings[at], strings[rest] = b, a
+    rows[at], rows[rest] = b_rows, a_rows
+    return strings, rows
+
+
+class SuffixArrays:
+    """A logarithmic family of suffix arrays in the shared folder.
+
+    The suffixes are those that begin at the anchors of the contexts, sorted by key and bytes to the right; a level is
+    a table of them in buckets of whole keys, in their order. A new batch gets suffix arrays of its own and is merge-scanned
+    against all levels for windows that both hold; then the last levels that aren't over twice as large as
+    what comes in are merged with it, sorted list by sorted list. So there are at most about log2 of the batches levels, and a
+    suffix is written as often. Each call is one job over the batch and the levels; a bucket's rows meet in a task.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[SuffixArray] = []
-
-    @staticmethod
-    def merged(a: SuffixArray, b: SuffixArray) -> SuffixArray:
-        n = len(a.twice)
-        return SuffixArray(np.concatenate([a.text, b.text]), np.concatenate([a.place, b.place + len(a.text)]), np.concatenate([a.owner, b.owner + n]), np.concatenate([a.twice, b.twice]))
-
-    def add(self, contents: list[bytes], counts: np.ndarray) -> None:
-        text = np.frombuffer(b"".join(contents) + bytes(8), np.uint8)
-        ends = np.cumsum([len(c) for c in contents])
-        first = np.r_[0, ends[:-1]]
-        total = int(counts.sum())
-        place = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total)
-        self.levels.append(SuffixArray(text, place, np.arange(total), np.zeros(total, bool)))
-        while len(self.levels) > 1 and len(self.levels[-2].place) <= 2 * len(self.levels[-1].place):
-            b = self.levels.pop()
-            self.levels[-1] = self.merged(self.levels[-1], b)
-
-    def repeated(self) -> np.ndarray:
-        """Which windows, in the order they were added, have equals."""
-        while len(self.levels) > 1:
-            b = self.levels.pop()
-            self.levels[-1] = self.merged(self.levels[-1], b)
-        return self.levels[0].twice if self.levels else np.zeros(0, bool)
-
-
-def by_suffix_arrays(contexts: DataFrame) -> DataFrame:
-    """(doc, start, n): stretches of repeated windows of the contexts. An anchor's contexts meet in one task."""
-    d = contexts.repartition("anchor").sortWithinPartitions("anchor")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # equal windows have equal anchors, so a family is closed whenever it is large and an anchor ends
-        for t in whole_groups(batches, ["anchor"]):
-            family = LogarithmicFamily()
-            doc, start, n = (t.column(c).to_numpy() for c in ("doc", "start", "n"))
-            contents = t.column("content").to_pylist()
-            for k in range(0, len(contents), BATCH):
-                family.add(contents[k : k + BATCH], n[k : k + BATCH].astype(np.int64))
-            hit = family.repeated()
-            if hit.any():
-                ends = np.cumsum(n, dtype=np.int64)
-                which = np.repeat(np.arange(len(n)), n)
-                begins = np.flatnonzero(hit & ~(np.r_[False, hit[:-1]] & np.r_[False, which[1:] == which[:-1]]))
-                stops = np.flatnonzero(hit & ~(np.r_[hit[1:], False] & np.r_[which[1:] == which[:-1], False]))
-                o = which[begins]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array((start[o] + begins - (ends[o] - n[o])).astype(np.int32)), pa.array((stops - begins + 1).astype(np.int32))], names=["doc", "start", "n"])
-
-    return d.mapInArrow(run, "doc long, start int, n int")
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.levels: list[tuple[Stash, int]] = []
+
+    def add(self, batch: DataFrame) -> Stash:
+        """Take in rows of CONTEXT; returns the stretches (doc, start, n) of windows found twice in the batch, or in it and a level."""
+        size, new = batch.count(), len(self.levels)
+        keep = new
+        while keep and self.levels[keep - 1][1] <= 2 * size:
+            keep -= 1
+            size += self.levels[keep][1]
+        names = [f.split()[0] for f in CONTEXT.split(", ")]
+        rows = batch.select(*names, F.lit(new).alias("level"), F.lit(0).cast("long").alias("place"))
+        for k, (table, _) in enumerate(self.levels):
+            rows = rows.unionAll(table.df.where("hit = false").select(*names, F.lit(k).alias("level"), "place"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "level", "place")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in whole_groups(batches, ["bucket"]):
+                bucket = whole.column("bucket").to_numpy()
+                ends = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                    yield from take_in(whole.slice(lo, hi - lo), new, keep)
+
+        table = Stash(rows.select("bucket", "level", "place", *names).mapInArrow(run, f"hit boolean, place long, {CONTEXT}"))
+        hits = Stash(table.df.where("hit").select("doc", "start", "n"))
+        for old, _ in self.levels[keep:]:
+            old.drop()
+        self.levels[keep:] = [(table, size)]
+        return hits
+
+    def drop(self) -> None:
+        for table, _ in self.levels:
+            table.drop()
+        self.levels = []
+
+
+def take_in(t: pa.Table, new: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """One bucket of a batch (level `new`) and the levels, these in their order: the merged level of those from `keep` on, and hits."""
+    level, contents = t.column("level").to_numpy(), t.column("content").to_pylist()
+    col = {c: t.column(c).to_numpy() for c in ("key", "id", "doc", "start", "n", "at")}
+
+    def out(hit: bool, rows: np.ndarray, place: np.ndarray, start: np.ndarray, n: np.ndarray, content: list[bytes]) -> pa.RecordBatch:
+        change = {"start": start.astype(np.int32), "n": n.astype(np.int32)}
+        cols = [pa.array(change[c] if c in change else v[rows]) for c, v in col.items()]
+        head = [pa.array(np.full(len(rows), hit)), pa.array(place.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*head, *cols, pa.array(content, pa.binary())], names=["hit", "place", *col, "content"])
+
+    rows = [np.flatnonzero(level == k) for k in range(new + 1)]
+    laid = [Laid(Bytes, col["key"][r], col["at"][r], col["n"][r], [contents[x] for x in r]) for r in rows]
+    order = np.argsort(laid[new].order(), kind="stable")
+    rows[new], laid[new] = rows[new][order], laid[new].take(order)
+    strings, marks = [x.order() for x in laid], [Marks(x) for x in laid]
+    for k in range(new + 1):
+        place = np.arange(len(order)) if k == new else np.searchsorted(strings[k], strings[new])
+        scan(laid[k], marks[k], laid[new], marks[new], place)
+    for m, r in zip(marks, rows, strict=True):
+        row, lo, count = m.stretches()
+        if len(row):
+            yield out(True, r[row], np.zeros(len(row)), col["start"][r[row]] + lo, count, [b""] * len(row))
+    s, r = strings[new], rows[new]
+    for k in range(new - 1, keep - 1, -1):
+        s, r = merged(strings[k], rows[k], s, r)
+    for x in range(0, len(r), 20_000):
+        some = r[x : x + 20_000]
+        yield out(False, some, np.arange(x, x + len(some)), col["start"][some], col["n"][some], [contents[y] for y in some])
 
 
 def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFrame, list[Stash]]:
-    """(doc, start, n): n windows from `start` on that repeat (later: an earlier window).
+    """(doc, found): the stretches of windows, as (first window, how many), that repeat (later: an earlier window).
 
     docs has id (long), doc (long: stands for the id and text, so that every row has the text of its doc) and
     text; rows are earlier by (id, doc, start). Returns also the tables in the shared folder that the result reads.
@@ -336,48 +501,51 @@ def repeated_stretches(docs: DataFrame, kind: Kind, later: bool) -> tuple[DataFr
     spark = docs.sparkSession
     runs = Stash(find_runs(docs, kind))
     shared = runs.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("context") != F.max("context")).alias("open")).where("k > 1")
-    shared = Stash(shared.select("anchor", "open"))  # a table, so that the join has its own exchanges and skew can be split
+    shared = Stash(shared)
     release(spark)
-    found = Stash(runs.df.join(shared.df, "anchor"))
+    found = Stash(join_counted(runs.df, shared.df, ["anchor"], "k").drop("k"))
     runs.drop()
     shared.drop()
     release(spark)
     equal = Stash(found.df.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "doc", "start", "n")).alias("first"), F.max("open").alias("open")))
-    several = equal.df.where("k > 1").select("anchor", "context", F.struct("first.id", "first.doc", "first.start").alias("first"))
-    whole = found.df.join(several, ["anchor", "context"])
+    several = equal.df.where("k > 1").select("anchor", "context", "k", F.struct("first.id", "first.doc", "first.start").alias("first"))
+    whole = join_counted(found.df, several, ["anchor", "context"], "k")
     if later:
         whole = whole.where(F.struct("id", "doc", "start") > F.col("first"))
-    whole = whole.select("doc", "start", "n")
+    whole = Stash(whole.select("doc", "start", "n"))
+    found.drop()
     left = equal.df.where("open").select("anchor", "first.doc", "first.start", "first.n")
-    if kind is Bytes:
-        many = left.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-        left = left.join(many, "anchor", "left")
-        runs_left = Stash(left.select("anchor", "doc", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot")))
-    else:
-        runs_left = Stash(left.select("anchor", "doc", "start", "n", F.lit(True).alias("hot")))
-
-    def listed(hot: bool) -> DataFrame:
-        of = runs_left.df.where(F.col("hot") == hot).groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
-        return docs.join(of, "doc").select("id", "doc", "text", "found")
-
-    windows = Stash(open_windows(listed(True), kind))
+    listed = left.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
+    contexts = Stash(open_contexts(docs.join(listed, "doc").select("id", "doc", "text", "found"), kind))
+    equal.drop()
     release(spark)
-    first = windows.df.groupBy("anchor", "hash").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = Stash(first.select("anchor", "hash", "first"))
-    some = windows.df.join(first.df, ["anchor", "hash"])
-    if later:
-        some = some.where(F.struct("id", "doc", "start") > F.col("first"))
-    out = whole.unionAll(some.select("doc", "start", F.lit(1).alias("n")))
-    kept = [found, equal, runs_left, windows, first]
+    parts, tables, more = small_groups(contexts, kind, later)
+    out = [whole.df, *more]
     if kind is Bytes:
-        out = out.unionAll(by_suffix_arrays(open_contexts(listed(False))))
-    done = Stash(out.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("found")))
-    for s in kept:
+        size = contexts.df.agg(F.sum(F.length("content"))).first()[0] or 0
+        family = SuffixArrays(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+        every = unite_all(parts)
+        for k in range(BATCHES):
+            tables.append(family.add(every.where(F.pmod(F.xxhash64("doc"), F.lit(BATCHES)) == k)))
+            out.append(tables[-1].df)
+            release(spark)
+        family.drop()
+    else:
+        out.append(seed_and_extend(unite_all(parts)))
+    done = Stash(unite_all(out).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("found")))
+    for s in [whole, *tables]:
         s.drop()
     release(spark)
     return done.df, [done]
 
 
+def unite_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 Found = dict[str, np.ndarray]
 
 

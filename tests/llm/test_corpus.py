@@ -398,19 +398,6 @@ def test_repeated_bytes(spark, odd, empty, monkeypatch, contexts):
     assert {r.text for r in cut.where("doc_id = 13").collect()} == {""} or "é" in cut.where("doc_id = 13").first().text
 
 
-def test_logarithmic_family():
-    rnd = random.Random(1)
-    contents = ["".join(rnd.choice("ab") for _ in range(rnd.randint(200, 230))).encode() for _ in range(30)]
-    contents += [contents[3], contents[4][:205] + b"zz", b"a" * 220]
-    n = np.array([len(c) - 199 for c in contents])
-    family = repeats.LogarithmicFamily()
-    for k in range(0, len(contents), 4):
-        family.add(contents[k : k + 4], n[k : k + 4])
-    windows = [c[s : s + 200] for c, m in zip(contents, n, strict=True) for s in range(m)]
-    count = Counter(windows)
-    assert family.repeated().tolist() == [count[w] > 1 for w in windows]
-
-
 def test_long_texts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 64)
     u = np.frombuffer(b"".join(bytes([k % 251, k % 7]) for k in range(900)), np.uint8)
