@@ -180,9 +180,9 @@ RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 LETTER = "UNNEST(range(1, length(seq) + 1))"
 
 
-@query("f6_n_filter", with_views("seq40", "SELECT seq_id, seq FROM seq40 WHERE NOT contains(seq, 'N')"))
+@query("f6_n_filter", with_views("seqs", "SELECT seq_id, seq FROM seqs WHERE NOT contains(seq, 'N')"))
 def f6(s, d):
-    return sq.drop_n(fx.seq40(s, d))
+    return sq.drop_n(fx.seqs(s, d))
 
 
 @query("f7_gc", with_views("seqs", "SELECT seq_id, length(regexp_replace(seq, '[^CG]', '', 'g')) AS gc, round(length(regexp_replace(seq, '[^CG]', '', 'g')) / nullif(length(seq), 0), 6) AS share FROM seqs"))
@@ -206,21 +206,21 @@ def e1(s, d):
     return x.select("seq_id", F.array_join(F.transform(F.flatten("x"), lambda v: v.cast("int").cast("string")), "").alias("bits"))
 
 
-@query("e3_decode", with_views("seq40", "SELECT seq_id, replace(seq, 'N', 'A') AS seq FROM seq40"))
+@query("e3_decode", with_views("seqs", "SELECT seq_id, replace(seq, 'N', 'A') AS seq FROM seqs"))
 def e3(s, d):
-    return fx.seq40(s, d).select("seq_id", sq.decode(sq.one_hot(F.col("seq"), unknown="uniform")).alias("seq"))
+    return fx.seqs(s, d).select("seq_id", sq.decode(sq.one_hot(F.col("seq"), unknown="uniform")).alias("seq"))
 
 
-@query("e4_shuffle", with_views("seq40", "SELECT seq_id, array_to_string(list_sort(string_split(seq, '')), '') AS letters, length(seq) AS n FROM seq40"))
+@query("e4_shuffle", with_views("seqs", "SELECT seq_id, array_to_string(list_sort(string_split(seq, '')), '') AS letters, length(seq) AS n FROM seqs"))
 def e4(s, d):
-    x = fx.seq40(s, d).select("seq_id", sq.shuffled(F.col("seq"), F.col("seq_id"), 7).alias("t"))
+    x = fx.seqs(s, d).select("seq_id", sq.shuffled(F.col("seq"), F.col("seq_id"), 7).alias("t"))
     return x.select("seq_id", F.array_join(F.array_sort(F.filter(F.split("t", ""), lambda c: c != "")), "").alias("letters"), F.length("t").cast("long").alias("n"))
 
 
-@query("e5_klet_shuffle", with_views("seq40", "SELECT seq_id, k, count(*) AS n FROM (SELECT seq_id, substr(seq, i, 2) AS k FROM (SELECT seq_id, seq, UNNEST(range(1, 40)) AS i FROM seq40)) GROUP BY seq_id, k"))
+@query("e5_klet_shuffle", with_views("seqs", "SELECT seq_id, k, count(*) AS n FROM (SELECT seq_id, substr(seq, i, 2) AS k FROM (SELECT seq_id, seq, UNNEST(range(1, length(seq))) AS i FROM seqs)) GROUP BY seq_id, k"))
 def e5(s, d):
-    x = sq.klet_shuffle(fx.seq40(s, d), "seq_id", k=2, seed=3)
-    k = F.transform(F.sequence(F.lit(1), F.lit(39)), lambda i: F.substr("shuffled", i, F.lit(2)))
+    x = sq.klet_shuffle(fx.seqs(s, d), "seq_id", k=2, seed=3).where(F.length("shuffled") > 1)
+    k = F.transform(F.sequence(F.lit(1), F.length("shuffled") - 1), lambda i: F.substr("shuffled", i, F.lit(2)))
     return x.select("seq_id", F.explode(k).alias("k")).groupBy("seq_id", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -229,57 +229,56 @@ def e6(s, d):
     return sq.mutants(fx.seq40(s, d)).select("seq_id", "pos", "nt", "mutant")
 
 
-@query("s10_augmented", with_views("seq40", f"SELECT seq_id, seq, false AS is_rc FROM seq40 UNION ALL SELECT seq_id, {RC}, true FROM seq40"))
+@query("s10_augmented", with_views("seqs", f"SELECT seq_id, seq, false AS is_rc FROM seqs UNION ALL SELECT seq_id, {RC}, true FROM seqs"))
 def s10(s, d):
-    return sq.with_reverse_complements(fx.seq40(s, d))
+    return sq.with_reverse_complements(fx.seqs(s, d))
 
 
 @query("j3_get_sequences", with_views("near genome", f"SELECT peak_id, CASE WHEN strand = '-' THEN {RC} ELSE seq END AS seq FROM g", "g AS (SELECT peak_id, strand, substr(seq, start_pos + 1, end_pos - start_pos) AS seq FROM near JOIN genome USING (chrom) WHERE end_pos <= length(seq))"))
 def j3(s, d):
-    return genome.get_sequences(fx.near_peaks(s, d), genome.tile(fx.genome(s, d), 512), "peak_id", 512).select("peak_id", "seq")
+    return genome.get_sequences(fx.near_peaks(s, d), genome.tile(fx.genome(s, d), 2048, 1150), "peak_id", 2048, reach=1150).select("peak_id", "seq")
 
 
-@query("j4_align", with_views("seq40", "SELECT s.seq_id, seq, quality FROM seq40 s JOIN labels l ON s.seq_id = l.doc_id"))
+@query("j4_align", with_views("seqs", "SELECT s.seq_id, seq, quality FROM seqs s JOIN labels l ON s.seq_id = l.doc_id"))
 def j4(s, d):
     """Every listed score must have its sequence's row; sequences without scores are left out first."""
     scores = fx.table(s, d, "labels").select(F.col("doc_id").alias("seq_id"), "quality")
-    x = fx.seq40(s, d).join(scores.select("seq_id"), "seq_id", "left_semi").join(scores, "seq_id", "left")
+    x = fx.seqs(s, d).join(scores.select("seq_id"), "seq_id", "left_semi").join(scores, "seq_id", "left")
     return x.where(F.assert_true(F.col("quality").isNotNull()).isNull()).select("seq_id", "seq", "quality")
 
 
-GC40 = "g AS (SELECT seq_id, CAST(length(regexp_replace(seq, '[^CG]', '', 'g')) AS INT) AS gc FROM seq40)"
+GC40 = f"""g AS (SELECT seq_id, CAST(length(regexp_replace(seq, '[^CG]', '', 'g')) AS INT) AS gc, coalesce(lang = 'en', false) AS is_pos
+    FROM seq40 JOIN (SELECT doc_id, lang FROM documents) ON doc_id = seq_id // {fx.WINDOWS})"""
 
 
-def gc40(s, d):
-    return fx.seq40(s, d).select("seq_id", sq.gc_count(F.col("seq")).alias("gc"))
+def sides(s, d):
+    """seq_id, gc of the windows of English documents, and of all others."""
+    g = fx.seq40(s, d, "lang").select("seq_id", sq.gc_count(F.col("seq")).alias("gc"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_pos"))
+    return g.where("is_pos").drop("is_pos"), g.where("not is_pos").drop("is_pos")
 
 
-@query("j5_nearest_gc", with_views("seq40", "SELECT p.seq_id, p.gc, n.gc AS nearest, n.m AS match_id FROM (SELECT * FROM g WHERE seq_id % 3 = 0) p CROSS JOIN (SELECT gc, min(seq_id) AS m FROM g WHERE seq_id % 3 = 1 GROUP BY gc) n QUALIFY row_number() OVER (PARTITION BY p.seq_id ORDER BY abs(p.gc - n.gc), n.gc DESC) = 1", GC40))
+@query("j5_nearest_gc", with_views("seq40", "SELECT p.seq_id, p.gc, n.gc AS nearest, n.m AS match_id FROM (SELECT * FROM g WHERE is_pos) p CROSS JOIN (SELECT gc, min(seq_id) AS m FROM g WHERE NOT is_pos GROUP BY gc) n QUALIFY row_number() OVER (PARTITION BY p.seq_id ORDER BY abs(p.gc - n.gc), n.gc DESC) = 1", GC40))
 def j5(s, d):
-    g = gc40(s, d)
-    return balance.match_gc(g.where("seq_id % 3 = 0"), g.where("seq_id % 3 = 1"), "seq_id").select("seq_id", "gc", "nearest", "match_id")
+    return balance.match_gc(*sides(s, d), "seq_id").select("seq_id", "gc", "nearest", "match_id")
 
 
 @query("a18_kde", with_views("seq40", """SELECT gc, round(w / (SELECT sum(w * n) FROM k JOIN (SELECT gc, count(*) AS n FROM b GROUP BY gc) USING (gc)), 6) AS weight FROM k""", GC40,
-    "a AS (SELECT gc / 40 AS x FROM g WHERE seq_id % 3 = 0)", "b AS (SELECT gc FROM g WHERE seq_id % 3 = 1)", "h AS (SELECT pow(count(*), -0.2) * stddev_samp(x) AS h FROM a)",
+    "a AS (SELECT gc / 40 AS x FROM g WHERE is_pos)", "b AS (SELECT gc FROM g WHERE NOT is_pos)", "h AS (SELECT pow(count(*), -0.2) * stddev_samp(x) AS h FROM a)",
     "k AS (SELECT gc, sum(exp(-0.5 * pow((gc / 40 - x) / h, 2))) AS w FROM (SELECT DISTINCT gc FROM b) CROSS JOIN a CROSS JOIN h GROUP BY gc)"))
 def a18(s, d):
-    g = gc40(s, d)
-    return balance.kde_weights(g.where("seq_id % 3 = 0"), g.where("seq_id % 3 = 1"), 40).select("gc", r6("weight").alias("weight"))
+    return balance.kde_weights(*sides(s, d), 40).select("gc", r6("weight").alias("weight"))
 
 
-@query("w18_weighted_sample", with_views("seq40", "SELECT CAST(least(count(*) FILTER (seq_id % 3 = 0) // 2, count(*) FILTER (seq_id % 3 = 1)) AS BIGINT) AS n, true AS all_there FROM g", GC40))
+@query("w18_weighted_sample", with_views("seq40", "SELECT CAST(least(count(*) FILTER (is_pos) // 2, count(*) FILTER (NOT is_pos)) AS BIGINT) AS n, true AS all_there FROM g", GC40))
 def w18(s, d):
-    g = gc40(s, d)
-    pos, neg = g.where("seq_id % 3 = 0"), g.where("seq_id % 3 = 1")
-    x = balance.sample_like(pos, neg, 40, "seq_id", n=pos.count() // 2)
-    return x.agg(F.count_distinct("seq_id").alias("n"), F.bool_and(F.col("seq_id") % 3 == 1).alias("all_there"))
+    pos, neg = sides(s, d)
+    x = balance.sample_like(pos, neg, 40, "seq_id", n=pos.count() // 2).join(neg.select("seq_id", F.lit(True).alias("there")), "seq_id", "left")
+    return x.agg(F.count_distinct("seq_id").alias("n"), F.bool_and(F.coalesce("there", F.lit(False))).alias("all_there"))
 
 
-@query("w19_balance", with_views("seq40", "SELECT count(*) AS n FROM g WHERE seq_id % 4 = 0", GC40))
+@query("w19_balance", with_views("seq40", "SELECT least(count(*) FILTER (is_pos), count(*) FILTER (NOT is_pos)) AS n FROM g", GC40))
 def w19(s, d):
-    g = gc40(s, d)
-    return balance.down_sample(g.where("seq_id % 4 = 0"), g.where("seq_id % 4 <> 0"), "seq_id").agg(F.least(F.count(F.lit(1)), F.lit(1 << 40)).alias("n"))
+    return balance.down_sample(*sides(s, d), "seq_id").agg(F.least(F.count(F.lit(1)), F.lit(1 << 40)).alias("n"))
 
 
 @query("w16_chrom_split", with_views("peaks", "SELECT peak_id, CASE WHEN chrom IN ('chr3', 'chr4') THEN 'test' WHEN chrom IN ('chr2', 'chr3') THEN 'valid' ELSE 'train' END AS split FROM peaks"))
@@ -384,9 +383,9 @@ def a5(s, d):
     return metrics.r_squared_origin(fx.long_preds(s, d), ["task"]).select("task", r6("slope").alias("slope"), r6("rsquare").alias("rsquare"))
 
 
-@query("a6_suite", with_views("long", f"SELECT metric, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM (SELECT 'auroc' AS metric, auroc AS v FROM ({AUC.format(**LONG)}) UNION ALL SELECT 'average_precision', average_precision FROM ({AP.format(**LONG)}) UNION ALL SELECT 'rsquare', rsquare FROM ({R2})) GROUP BY metric"))
+@query("a6_suite", with_views("long", f"SELECT metric, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM (SELECT 'auroc' AS metric, auroc AS v FROM ({AUC.format(**LONG)}) UNION ALL SELECT 'average_precision', average_precision FROM ({AP.format(**LONG)}) UNION ALL SELECT 'rsquare', rsquare FROM ({R2}) UNION ALL SELECT 'accuracy', avg(CAST(label = round_even(score, 0) AS INT)) FROM long GROUP BY task UNION ALL SELECT 'pearson', corr(score, label) FROM long GROUP BY task) GROUP BY metric"))
 def a6(s, d):
-    return metrics.evaluate(fx.long_preds(s, d), "task", ["auroc", "average_precision", "rsquare"]).select("metric", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+    return metrics.evaluate(fx.long_preds(s, d), "task", ["auroc", "average_precision", "rsquare", "accuracy", "pearson"]).select("metric", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
 @query("a17_standardize", with_views("preds", "SELECT doc_id, round((score - avg(score) OVER ()) / stddev_pop(score) OVER (), 5) AS score FROM preds"))
@@ -403,15 +402,15 @@ def a14(s, d):
 
 PPM = """w AS (SELECT CAST(seq_id % 8 AS INT) AS filter, seq FROM seq40 WHERE NOT contains(seq, 'N')),
     cnt AS (SELECT filter, count(*) AS n FROM w GROUP BY filter),
-    obs AS (SELECT filter, pos, substr(seq, pos + 1, 1) AS nt, count(*) AS c FROM (SELECT filter, seq, CAST(UNNEST(range(0, 20)) AS INT) AS pos FROM w) GROUP BY 1, 2, 3),
-    grid AS (SELECT filter, n, CAST(p.pos AS INT) AS pos, nt FROM cnt CROSS JOIN (SELECT UNNEST(range(0, 20)) AS pos) p CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(nt)),
+    obs AS (SELECT filter, pos, substr(seq, pos + 1, 1) AS nt, count(*) AS c FROM (SELECT filter, seq, CAST(UNNEST(range(0, 40)) AS INT) AS pos FROM w) GROUP BY 1, 2, 3),
+    grid AS (SELECT filter, n, CAST(p.pos AS INT) AS pos, nt FROM cnt CROSS JOIN (SELECT UNNEST(range(0, 40)) AS pos) p CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(nt)),
     ppm AS (SELECT filter, pos, nt, coalesce(c, 0) / n AS prob FROM grid LEFT JOIN obs USING (filter, pos, nt))"""
 IC = "ic AS (SELECT filter, pos, 2 + sum(prob * log2(prob + 1e-7)) AS ic FROM ppm GROUP BY filter, pos)"
 
 
 def ppm(s, d):
-    w = sq.drop_n(fx.seq40(s, d)).select((F.col("seq_id") % 8).cast("int").alias("filter"), F.substr("seq", F.lit(1), F.lit(20)).alias("window"))
-    return motif.position_probabilities(w, "filter", "window", 20)
+    w = sq.drop_n(fx.seq40(s, d)).select((F.col("seq_id") % 8).cast("int").alias("filter"), F.col("seq").alias("window"))
+    return motif.position_probabilities(w, "filter", "window", 40)
 
 
 @query("a7_ppm", with_views("seq40", "SELECT filter, pos, nt, round(prob, 6) AS prob FROM ppm", PPM))
@@ -430,7 +429,7 @@ def a9(s, d):
     return h.select("filter", "pos", F.posexplode("height").alias("k", "height")).select("filter", "pos", F.substr(F.lit("ACGT"), F.col("k") + 1, F.lit(1)).alias("nt"), F.round("height", 5).alias("height"))
 
 
-@query("k8_meme", with_views("seq40", "SELECT filter AS motif, 'MOTIF filter' || filter || chr(10) || 'letter-probability matrix: alength= 4 w= 20 nsites= 20' || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) AS text FROM (SELECT filter, pos, string_agg(printf('%.4f', CAST(prob AS DOUBLE)), ' ' ORDER BY nt) AS line FROM ppm GROUP BY filter, pos) GROUP BY filter", PPM))
+@query("k8_meme", with_views("seq40", "SELECT filter AS motif, 'MOTIF filter' || filter || chr(10) || 'letter-probability matrix: alength= 4 w= 40 nsites= 40' || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) AS text FROM (SELECT filter, pos, string_agg(printf('%.4f', CAST(prob AS DOUBLE)), ' ' ORDER BY nt) AS line FROM ppm GROUP BY filter, pos) GROUP BY filter", PPM))
 def k8(s, d):
     return motif.meme_text(motif.matrix_rows(ppm(s, d), "filter"), "filter")
 
@@ -478,13 +477,13 @@ def a10(s, d):
     return attribution.interpretability(fx.maps(s, d), "map_id", threshold=0.3).select("map_id", r6("auroc").alias("auroc"), r6("pr_auc").alias("pr_auc"))
 
 
-SN = "sn AS (SELECT map_id, avg(score) FILTER (ic > 0.3) AS signal, max(score) FILTER (score > 0 AND ic = low) AS mx, avg(score) FILTER (score > 0 AND ic = low) AS mean, count(*) FILTER (score > 0 AND ic = low) AS n FROM maps JOIN (SELECT map_id, min(ic) AS low FROM maps GROUP BY map_id) USING (map_id) GROUP BY map_id)"
+SN = "sn AS (SELECT map_id, avg(score) FILTER (ic > 0.3) AS signal, list_avg(max(score, 3) FILTER (score > 0 AND ic = low)) AS top3, max(score) FILTER (score > 0 AND ic = low) AS mx, avg(score) FILTER (score > 0 AND ic = low) AS mean, count(*) FILTER (score > 0 AND ic = low) AS n FROM maps JOIN (SELECT map_id, min(ic) AS low FROM maps GROUP BY map_id) USING (map_id) GROUP BY map_id)"
 
 
-@query("a11_signal_noise", with_views("maps", "SELECT map_id, round(CASE WHEN n >= 3 THEN signal ELSE 0 END, 6) AS signal, round(CASE WHEN n >= 3 THEN mx ELSE 0 END, 6) AS noise_max, round(CASE WHEN n >= 3 THEN mean ELSE 0 END, 6) AS noise_mean FROM sn", SN))
+@query("a11_signal_noise", with_views("maps", "SELECT map_id, round(CASE WHEN n >= 3 THEN signal ELSE 0 END, 6) AS signal, round(CASE WHEN n >= 3 THEN mx ELSE 0 END, 6) AS noise_max, round(CASE WHEN n >= 3 THEN mean ELSE 0 END, 6) AS noise_mean, round(CASE WHEN n >= 3 THEN top3 ELSE 0 END, 6) AS noise_top FROM sn", SN))
 def a11(s, d):
     x = attribution.signal_noise(fx.maps(s, d), "map_id", threshold=0.3, k=3)
-    return x.select("map_id", *(r6(c).alias(c) for c in ("signal", "noise_max", "noise_mean")))
+    return x.select("map_id", *(r6(c).alias(c) for c in ("signal", "noise_max", "noise_mean", "noise_top")))
 
 
 @query("a12_snr", with_views("maps", "SELECT map_id, round(CASE WHEN n >= 3 THEN signal / mean ELSE 0 END + 1e-9, 5) AS snr FROM sn", SN))
@@ -547,7 +546,7 @@ def m4(s, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Target 0 against target 1 as background: a labelled, GC-matched dataset with its split."""
     p = fx.near_peaks(spark, d)
-    x = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), genome.tile(fx.genome(spark, d), 512), "peak_id", 100, 1000, width=512)
+    x = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), genome.tile(fx.genome(spark, d), 512, 128), "peak_id", 100, 1000, width=512, reach=128)
     return pipelines.split_by_chromosome(x, ["chr2"], ["chr3", "chr4"]).select("peak_id", "chrom", "start_pos", "end_pos", "gc", "label", "split")
 
 

@@ -23,27 +23,43 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def letters(docs: DataFrame) -> DataFrame:
+#: Numbers for the windows of a document; its letters are fewer than 40 times as many.
+WINDOWS = 1_000_000
+
+
+def letters(docs: DataFrame, *more: str) -> DataFrame:
     """seq_id, seq: the letters A C G T of the texts, Z as N."""
-    return docs.select(F.col("doc_id").alias("seq_id"), F.translate(F.regexp_replace(F.upper("text"), "[^ACGTZ]", ""), "Z", "N").alias("seq"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.translate(F.regexp_replace(F.upper("text"), "[^ACGTZ]", ""), "Z", "N").alias("seq"), *more)
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
     return letters(table(spark, d, "documents"))
 
 
-def seq40(spark: SparkSession, d: str) -> DataFrame:
-    return seqs(spark, d).where(F.length("seq") >= 40).select("seq_id", F.substr("seq", F.lit(1), F.lit(40)).alias("seq"))
+def seq40(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """seq_id, seq: all letters of the sequences as consecutive windows of 40, the last one filled up with N.
+
+    seq_id: the document's times WINDOWS, and the window's number. more: further columns of documents.
+    """
+    docs = table(spark, d, "documents")
+    x = letters(docs, *more).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 40).cast("int")))).where("length(seq) > 0")
+    return x.select((F.col("seq_id") * WINDOWS + F.col("k")).alias("seq_id"), F.rpad(F.substr("seq", F.col("k") * 40 + 1, F.lit(40)), 40, "N").alias("seq"), *more)
+
+
+def chrom_of(seq_id: F.Column) -> F.Column:
+    return F.concat(F.lit("chr"), (seq_id % 22 + 1).cast("string"))
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
-    g = seqs(spark, d).groupBy(F.concat(F.lit("chr"), (F.col("seq_id") % 22 + 1).cast("string")).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("s"))
+    g = seqs(spark, d).groupBy(chrom_of(F.col("seq_id")).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("s"))
     return g.select("chrom", F.array_join(F.transform("s", lambda x: x["seq"]), "").alias("seq"))
 
 
 def near_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks moved into the derived genome."""
-    return peaks(spark, d).withColumn("_n", F.col("end_pos") - F.col("start_pos")).withColumn("start_pos", F.col("start_pos") % 4000).withColumn("end_pos", F.col("start_pos") + F.col("_n")).drop("_n")
+    """Peaks folded into the derived genome, each by its chromosome's length; some reach over the end."""
+    sizes = seqs(spark, d).groupBy(chrom_of(F.col("seq_id")).alias("chrom")).agg(F.sum(F.length("seq")).alias("_len")).where("_len > 0")  # 22 rows
+    p = peaks(spark, d).join(F.broadcast(sizes), "chrom").withColumns({"_n": F.col("end_pos") - F.col("start_pos"), "start_pos": F.col("start_pos") % F.col("_len")})
+    return p.withColumn("end_pos", F.col("start_pos") + F.col("_n")).select("peak_id", "chrom", "start_pos", "end_pos", "strand", "target_idx")
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +102,9 @@ SQL = {
         l_partkey * 97 + (l_orderkey * 131) % 50000 + CAST(l_quantity * 23 AS BIGINT) AS end_pos,
         CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '.' ELSE '+' END AS strand, CAST(l_linenumber - 1 AS INT) AS target_idx FROM lineitem)""",
     "seqs": "seqs AS (SELECT doc_id AS seq_id, replace(regexp_replace(upper(text), '[^ACGTZ]', '', 'g'), 'Z', 'N') AS seq FROM documents)",
-    "seq40": "seq40 AS (SELECT seq_id, substr(seq, 1, 40) AS seq FROM seqs WHERE length(seq) >= 40)",
+    "seq40": f"seq40 AS (SELECT seq_id * {WINDOWS} + k AS seq_id, rpad(substr(seq, CAST(k * 40 + 1 AS BIGINT), 40), 40, 'N') AS seq FROM (SELECT seq_id, seq, UNNEST(range(0, (length(seq) + 39) // 40)) AS k FROM seqs))",
     "genome": "genome AS (SELECT 'chr' || (seq_id % 22 + 1) AS chrom, string_agg(seq, '' ORDER BY seq_id) AS seq FROM seqs GROUP BY 1)",
-    "near": "near AS (SELECT peak_id, chrom, start_pos % 4000 AS start_pos, start_pos % 4000 + end_pos - start_pos AS end_pos, strand, target_idx FROM peaks)",
+    "near": "near AS (SELECT peak_id, chrom, start_pos % length(seq) AS start_pos, start_pos % length(seq) + end_pos - start_pos AS end_pos, strand, target_idx FROM peaks JOIN genome USING (chrom) WHERE length(seq) > 0)",
     "preds": "preds AS (SELECT doc_id, quality, toxic, (n_chars % 1000) / 1000 AS score FROM labels JOIN documents USING (doc_id))",
     "long": "long AS (SELECT 'quality' AS task, quality AS label, score FROM preds UNION ALL SELECT 'toxic', toxic, score FROM preds)",
     "maps": "maps AS (SELECT l_orderkey % 500 AS map_id, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS pos, CAST(CAST(l_quantity AS BIGINT) % 5 AS DOUBLE) / 4 AS ic, CAST(l_partkey % 97 AS DOUBLE) / 97 AS score FROM lineitem)",
@@ -97,7 +113,7 @@ SQL = {
         p_type || '-human' AS target, p_name AS biosample, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_type END AS lab, 'https://files.example.org/' || p_partkey || '.bed.gz' AS url, p_partkey AS row_no FROM part)""",
     "hits": "hits AS (SELECT 'filter' || (o_orderkey % 40) AS query_id, 'MA00' || lpad(CAST(50 + o_custkey % 50 AS VARCHAR), 2, '0') || '.' || (o_orderkey % 3 + 1) AS target_id, CAST(o_orderkey % 1009 AS DOUBLE) / 1009 AS q FROM orders)",
 }
-NEEDS = {"seq40": ["seqs"], "genome": ["seqs"], "near": ["peaks"], "long": ["preds"]}
+NEEDS = {"seq40": ["seqs"], "genome": ["seqs"], "near": ["peaks", "seqs", "genome"], "long": ["preds"]}
 
 
 def with_views(names: str, body: str, *more: str) -> str:

@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sequor.functions.models import Model
 from sequor.operators.metrics import auroc, pr_trapezoid
 
 
-def interpretability(df: DataFrame, by: str, ic: str = "ic", score: str = "score", threshold: float = 0.1) -> DataFrame:
+def interpretability(df: DataFrame, by: str, ic: str = "ic", score: str = "score", threshold: float = 0.01) -> DataFrame:
     """by, auroc, pr_auc of telling places with ic > threshold from those with the smallest ic, by score."""
     low = df.groupBy(by).agg(F.min(ic).alias("_low"))
     d = df.join(low, by).where((F.col(ic) > threshold) | (F.col(ic) == F.col("_low")))
@@ -22,16 +22,17 @@ def interpretability(df: DataFrame, by: str, ic: str = "ic", score: str = "score
     return auroc(d, [by]).join(pr_trapezoid(d, [by]), by)
 
 
-def signal_noise(df: DataFrame, by: str, ic: str = "ic", score: str = "score", threshold: float = 0.1, k: int = 10) -> DataFrame:
+def signal_noise(df: DataFrame, by: str, ic: str = "ic", score: str = "score", threshold: float = 0.01, k: int = 10) -> DataFrame:
     """by, signal, noise_max, noise_mean, noise_top: all 0 with under k places of positive score and smallest ic."""
     low = df.groupBy(by).agg(F.min(ic).alias("_low"))
     s = F.col(score)
     noise = F.when((s > 0) & (F.col(ic) == F.col("_low")), s)
-    g = df.join(low, by).groupBy(by).agg(F.avg(F.when(F.col(ic) > threshold, s)).alias("signal"), F.sort_array(F.collect_list(noise), asc=False).alias("_n"))
-    enough = F.size("_n") >= k
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), F.size(a))
-    zero = lambda c: F.when(enough, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
-    return g.select(by, zero(F.col("signal")).alias("signal"), zero(F.get("_n", 0)).alias("noise_max"), zero(mean(F.col("_n"))).alias("noise_mean"), zero(mean(F.slice("_n", 1, k))).alias("noise_top"))
+    d = df.join(low, by).select(by, F.when(F.col(ic) > threshold, s).alias("_s"), noise.alias("_n"))
+    g = d.groupBy(by).agg(F.avg("_s").alias("signal"), F.max("_n").alias("noise_max"), F.avg("_n").alias("noise_mean"), F.count("_n").alias("_k"))
+    best = Window.partitionBy(by).orderBy(F.desc("_n"))  # ranked in part before the shuffle: k rows a group and task
+    top = d.where("_n is not null").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy(by).agg(F.avg("_n").alias("noise_top"))
+    zero = lambda c: F.when(F.col("_k") >= k, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0)).alias(c)
+    return g.join(top, by, "left").select(by, *map(zero, ("signal", "noise_max", "noise_mean", "noise_top")))
 
 
 def snr(signal: Column, noise: Column) -> Column:

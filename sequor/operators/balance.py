@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sequor.functions.seq import uniform
 from sequor.operators.rank import ranked
@@ -31,6 +32,22 @@ def match_gc(positives: DataFrame, negatives: DataFrame, id_col: str, col: str =
     return positives.join(F.broadcast(table), col)
 
 
+def matched_times(df: DataFrame, id_col: str, label: str = "label", col: str = "gc") -> DataFrame:
+    """(id, label 0, times): how often match_gc picks each negative of df for its positives (label 1).
+
+    The driver gets a row per label and count, 2 * (length + 1) at most, and so has the result.
+    """
+    rows = df.groupBy(label, col).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")).collect()
+    there = {r[col]: r["first"] for r in rows if r[label] == 0}
+    times: dict = {}
+    for r in rows:
+        if r[label] == 1 and there:
+            near = min(there, key=lambda c: (abs(c - r[col]), -c))
+            times[there[near]] = times.get(there[near], 0) + r["n"]
+    kinds = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(label, T.IntegerType()), T.StructField("times", T.LongType())])
+    return df.sparkSession.createDataFrame([(k, 0, n) for k, n in sorted(times.items())], kinds)
+
+
 def kde_weights(a: DataFrame, b: DataFrame, length: int, col: str = "gc") -> DataFrame:
     """(gc, weight): the Gaussian density (Scott's width) of a's GC shares at b's, normalised over b's rows.
 

@@ -10,21 +10,33 @@ from sequor.functions.seq import reverse_complement
 TILE = 1 << 16
 
 
-def tile(genome: DataFrame, width: int = TILE) -> DataFrame:
-    """(chrom, seq) -> (chrom, tile, part): no row holds a whole chromosome.
+def tile(genome: DataFrame, width: int = TILE, reach: int = 0) -> DataFrame:
+    """(chrom, seq) -> (chrom, tile, part): tiles of `width` letters, and the first `reach` of the next one.
 
     One pass cuts all parts; taking substrings would look for each tile's start from the beginning.
     """
-    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    return genome.select("chrom", F.posexplode(parts).alias("tile", "part"))
+    if reach > width:
+        raise ValueError("a tile reaches into the next one only")
+    d = genome.select("chrom", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("_p"))
+    more = lambda p, i: F.concat(p, F.substr(F.coalesce(F.get("_p", i + 1), F.lit("")), F.lit(1), F.lit(reach)))
+    return d.select("chrom", F.posexplode(F.transform("_p", more) if reach else F.col("_p")).alias("tile", "part"))
 
 
-def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TILE, strand: bool = True) -> DataFrame:
+def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TILE, strand: bool = True, reach: int = 0) -> DataFrame:
     """Add seq, the genome's letters of each interval, reverse-complemented on strand '-'.
 
-    Intervals that leave their chromosome, or are empty, are dropped. Each interval meets the few tiles
-    it touches in an equi-join and their parts are put together by tile.
+    Intervals that leave their chromosome, or are empty, are dropped. With tiles that reach into the next one by `reach`,
+    an interval of up to reach + 1 letters lies in the tile of its start: one equi-join; longer ones raise an
+    error. Without, each interval meets the tiles it touches and their parts are put together by tile.
     """
+    if reach:
+        size = F.col("end_pos") - F.col("start_pos")
+        ok = F.assert_true(size <= reach + 1, F.lit(f"an interval is longer than {reach + 1}"))
+        d = df.where("start_pos >= 0 and end_pos > start_pos").where(ok.isNull()).withColumn("tile", F.floor(F.col("start_pos") / width).cast("int"))
+        d = d.join(tiles, ["chrom", "tile"])
+        d = d.withColumn("seq", F.substr("part", (F.col("start_pos") - F.col("tile") * F.lit(width) + 1).cast("int"), size.cast("int")))
+        d = d.where(F.length("seq") == size).select(*df.columns, "seq")
+        return _on_strand(d) if strand else d
     first, last = F.floor(F.col("start_pos") / width).cast("int"), F.floor((F.col("end_pos") - 1) / width).cast("int")
     d = df.where("start_pos >= 0 and end_pos > start_pos").withColumn("tile", F.explode(F.sequence(first, last)))
     d = d.join(tiles, ["chrom", "tile"])
@@ -34,4 +46,8 @@ def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TIL
     keys = [c for c in df.columns]
     g = d.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "_piece"))), lambda s: s["_piece"]), "").alias("seq"))
     g = g.where(F.length("seq") == F.col("end_pos") - F.col("start_pos"))
-    return g.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))) if strand else g
+    return _on_strand(g) if strand else g
+
+
+def _on_strand(df: DataFrame) -> DataFrame:
+    return df.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")))

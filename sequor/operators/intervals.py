@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -135,23 +136,43 @@ def merge_at_once(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
 
 
 def greedy_merge_island(peaks: list[tuple[float, float, frozenset[int]]], length: int, overlap: float, size: float | None) -> list[tuple[float, float, frozenset[int]]]:
-    """Merge the neighbours that overlap most, the first on ties, while they overlap by at least `overlap`."""
-    out = list(peaks)
-    while len(out) > 1:
-        reach = [a[1] - b[0] for a, b in zip(out, out[1:], strict=False)]
-        most = max(reach)
-        if most < overlap:
-            break
-        k = reach.index(most)
-        a, b = out[k], out[k + 1]
+    """Merge the neighbours that overlap most, the first on ties, while they overlap by at least `overlap`.
+
+    The merged region takes the left one's place in a linked list; a heap holds the overlaps, and those of
+    regions that have changed since are passed over.
+    """
+    out: list = list(peaks)
+    n = len(out)
+    left, right, version = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+    heap: list[tuple] = []
+
+    def push(k: int) -> None:
+        if 0 <= k and right[k] < n:
+            reach = out[k][1] - out[right[k]][0]
+            if reach >= overlap:
+                heapq.heappush(heap, (-reach, k, version[k], right[k], version[right[k]]))
+
+    for k in range(n - 1):
+        push(k)
+    while heap:
+        _, k, vk, j, vj = heapq.heappop(heap)
+        if out[k] is None or out[j] is None or version[k] != vk or version[j] != vj or right[k] != j:
+            continue
+        a, b = out[k], out[j]
         wa, wb = 1 + len(a[2]), 1 + len(b[2])
         mid = int(0.5 + (wa * int((a[0] + a[1]) / 2) + wb * int((b[0] + b[1]) / 2)) / (wa + wb))
         start = max(0.0, mid - length / 2)
         end = start + length
         if size is not None and end > size:
             start, end = size - length, size
-        out[k : k + 2] = [(start, end, a[2] | b[2])]
-    return out
+        out[k], out[j] = (start, end, a[2] | b[2]), None
+        version[k] += 1
+        right[k] = right[j]
+        if right[j] < n:
+            left[right[j]] = k
+        push(left[k])
+        push(k)
+    return [x for x in out if x is not None]
 
 
 def greedy_merge(df: DataFrame, length: int, overlap: int, by: list[str], sizes: DataFrame | None = None) -> DataFrame:

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Score stretches in which running sums start anew; sums of the stretches before are carried on.
-STRETCHES = 1024
+STRETCHES = 64
 
 
 def _curve(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """A row per distinct score: pos, neg, and tp, fp: positives and negatives with at least that score.
 
     Rows are first summed by score (partial aggregation). The running sums are then taken
-    within stretches of the score, so that no window holds all scores of a label.
+    within stretches of the score, which lie between approximate quantiles of its distinct values, so that no
+    window holds all scores of a label. Rows without a score are left out.
     """
+    df = df.where(F.col(score).isNotNull())
     g = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    g = g.withColumn("_st", F.floor(F.col("s") * STRETCHES))
+    at = F.percentile_approx("s", [k / STRETCHES for k in range(1, STRETCHES)], 1000)
+    g = g.join(g.groupBy(*by).agg(at.alias("_q")), by)
+    g = g.withColumn("_st", F.size(F.filter("_q", lambda q: q < F.col("s")))).drop("_q")
     up = Window.partitionBy(*by).orderBy(F.desc("_st")).rowsBetween(Window.unboundedPreceding, -1)
     base = g.groupBy(*by, "_st").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     base = base.select(*by, "_st", F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_bn"))
@@ -29,8 +33,9 @@ def auroc(df: DataFrame, by: list[str], label: str = "label", score: str = "scor
     """by.., auroc: the chance that a positive scores above a negative, ties half; null with one class only."""
     c = _curve(df, by, label, score)
     # each positive beats the negatives below its score and halves those at it
-    d = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.lit(2) * F.col("fp") - F.col("neg"))).alias("_lost"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return d.select(*by, F.try_divide(2 * F.col("_p") * F.col("_n") - F.col("_lost"), 2 * F.col("_p") * F.col("_n")).alias("auroc"))
+    lost = F.col("pos").cast("double") * (F.lit(2) * F.col("fp") - F.col("neg"))
+    d = c.groupBy(*by).agg(F.sum(lost).alias("_lost"), F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"))
+    return d.select(*by, (1 - F.try_divide("_lost", 2 * F.col("_p") * F.col("_n"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
@@ -41,10 +46,10 @@ def average_precision(df: DataFrame, by: list[str], label: str = "label", score:
 
 
 def pr_trapezoid(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """by.., pr_auc by trapezoids from (recall 0, precision 1)."""
+    """by.., pr_auc by trapezoids from (recall 0, precision 1); the precision before a score is that of the sums without it."""
     c = _curve(df, by, label, score).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
-    w = Window.partitionBy(*by).orderBy(F.desc("s"))
-    d = c.withColumn("_q", F.coalesce(F.lag("precision").over(w), F.lit(1.0)))
+    before = F.try_divide(F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg"))
+    d = c.withColumn("_q", F.coalesce(before, F.lit(1.0)))
     d = d.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("precision") + F.col("_q")) / 2).alias("_s"), F.sum("pos").alias("_p"))
     return d.select(*by, F.try_divide("_s", "_p").alias("pr_auc"))
 
@@ -54,24 +59,19 @@ def accuracy(df: DataFrame, by: list[str], label: str = "label", score: str = "s
     return df.groupBy(*by).agg(F.avg((F.col(label) == F.bround(score)).cast("double")).alias("accuracy"))
 
 
-def _sums(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
-
-
 def pearson(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """by.., pearson; null if a side is constant."""
-    d = _sums(df, by, score, label)
-    n = F.col("n")
-    vx, vy = F.greatest(n * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0)), F.greatest(n * F.col("syy") - F.col("sy") * F.col("sy"), F.lit(0.0))
-    return d.select(*by, F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(vx) * F.sqrt(vy)).alias("pearson"))
+    """by.., pearson from centred sums; null if a side is constant."""
+    a, b = F.col(score).cast("double"), F.col(label).cast("double")
+    return df.groupBy(*by).agg(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("pearson"))
 
 
 def r_squared_origin(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """by.., slope of the fit of the labels through the origin, and its rsquare."""
-    d = _sums(df, by, score, label).withColumn("slope", F.try_divide("sxy", "sxx"))
+    a, b = F.col(score).cast("double"), F.col(label).cast("double")
+    d = df.groupBy(*by).agg((F.count(F.lit(1)) * F.var_pop(b)).alias("sst"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
+    d = d.withColumn("slope", F.try_divide("sxy", "sxx"))
     sse = F.col("syy") - 2 * F.col("slope") * F.col("sxy") + F.col("slope") * F.col("slope") * F.col("sxx")
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("sst")
     return d.select(*by, "slope", (1 - F.try_divide(sse, sst)).alias("rsquare"))
 
 

@@ -35,7 +35,7 @@ def windows_at(df: DataFrame, seq: str, pos: str, width: int) -> DataFrame:
     return df.where(ok).withColumn("window", F.substr(seq, start + 1, F.lit(width)))
 
 
-def position_probabilities(df: DataFrame, by: str, window: str, width: int, least: int = 1, alphabet: str = "ACGT") -> DataFrame:
+def position_probabilities(df: DataFrame, by: str, window: str, width: int, least: int = 2, alphabet: str = "ACGT") -> DataFrame:
     """by, pos, nt, prob: letter shares at each place; uniform if the group has under `least` windows."""
     n = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     seen = df.select(by, F.posexplode(F.filter(F.split(window, ""), lambda c: c != "")).alias("pos", "nt")).groupBy(by, "pos", "nt").agg(F.count(F.lit(1)).alias("_c"))

@@ -1,4 +1,4 @@
-"""The library's end-to-end plans: single-task and multi-task datasets. All lazy."""
+"""The library's end-to-end plans: single-task and multi-task datasets."""
 
 from __future__ import annotations
 
@@ -11,28 +11,32 @@ from sequor.operators.genome import TILE, get_sequences
 from sequor.operators.intervals import extend, greedy_merge, intersect, keep_chromosomes, max_length, normal_strand, resize, to_points
 
 
-def single_task(positives: DataFrame, background: DataFrame, tiles: DataFrame, id_col: str, window: int = 200, limit: int = 300, balance_by: str = "nearest", seed: int = 0, width: int = TILE) -> DataFrame:
+def single_task(positives: DataFrame, background: DataFrame, tiles: DataFrame, id_col: str, window: int = 200, limit: int = 300, balance_by: str = "nearest", seed: int = 0, width: int = TILE, reach: int = 0) -> DataFrame:
     """id, chrom, start_pos, end_pos, seq, gc, label: positives and composition-matched negatives.
 
     Positives are filtered by length; negatives are background intervals that overlap no raw
     positive. Both are resized, looked up and freed of N. balance_by: nearest (with replacement),
-    density (sampled like the positives), uniform or none.
-    """
-
-    def sequences(df: DataFrame) -> DataFrame:
-        d = drop_n(get_sequences(resize(df, window), tiles, id_col, width))
-        return d.select(id_col, "chrom", "start_pos", "end_pos", "seq", gc_count(F.col("seq")).alias("gc"))
+    density (sampled like the positives), uniform or none. reach: that of the tiles, if they overlap.
 
-    pos = sequences(max_length(positives, limit))
-    neg = sequences(intersect(background, positives, id_col, nonoverlap=True))
+    Both sides are looked up together. nearest runs that twice: for the histogram of the counts, of which the driver
+    gets a row per label and count (window + 1 at most each), and for the rows.
+    """
+    names = [id_col, "chrom", "start_pos", "end_pos", "strand"]
+    pos = max_length(positives, limit).select(*names, F.lit(1).alias("label"))
+    neg = intersect(background, positives, id_col, nonoverlap=True).select(*names, F.lit(0).alias("label"))
+    d = drop_n(get_sequences(resize(pos.unionByName(neg), window), tiles, id_col, width, reach=reach))
+    d = d.select(id_col, "chrom", "start_pos", "end_pos", "seq", gc_count(F.col("seq")).alias("gc"), "label")
     if balance_by == "nearest":
-        picked = balance.match_gc(pos.select("gc"), neg, id_col).select(F.col("match_id").alias(id_col))
-        neg = neg.join(picked, id_col)
-    elif balance_by == "density":
+        times = balance.matched_times(d, id_col)
+        d = d.join(F.broadcast(times), [id_col, "label"], "left")
+        n = F.when(F.col("label") == 1, F.lit(1)).otherwise(F.coalesce("times", F.lit(0)))
+        return d.where(n > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("times", "_k")
+    pos, neg = d.where("label = 1"), d.where("label = 0")
+    if balance_by == "density":
         neg = balance.sample_like(pos, neg, window, id_col, seed=seed)
     elif balance_by == "uniform":
         neg = balance.down_sample(pos, neg, id_col, seed)
-    return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
+    return pos.unionByName(neg)
 
 
 def split_by_chromosome(df: DataFrame, valid: list[str], test: list[str]) -> DataFrame:
