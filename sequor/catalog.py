@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sequor import fixtures as fx
 from sequor.fixtures import with_views
 from sequor.functions import seq as sq
-from sequor.functions.models import Linear
+from sequor.functions.models import Linear, LinearClasses, Logistic, get_model
 from sequor.operators import attribution, balance, genome, intervals, metadata, metrics, motif, split
 from sequor.plans import pipelines
 
@@ -317,6 +317,18 @@ def f11(s, d):
     return metadata.select_experiments(fx.metadata(s, d), ["Brand#1", "Brand#2", "Brand#7", "Brand#16"], "GRCh38", {"replicates": "1, 2"}, "row_no").select("experiment", "file")
 
 
+@query("f11_selected_files", with_views("metadata", """SELECT experiment, path, label FROM (SELECT experiment, replace(concat_ws('_', file_type, target, biosample, coalesce(lab, 'nan'), experiment), ' ', '-') AS label,
+    CASE WHEN row_no % 2 = 0 THEN '/data/' || file || '.bed' WHEN row_no % 5 = 0 THEN '/data/' || file || '.bed.gz' END AS path
+    FROM metadata WHERE assembly = 'GRCh38' AND starts_with(file_type, 'bed') AND replicates = '1, 2' QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY row_no) = 1) WHERE path IS NOT NULL"""))
+def f11_files(s, d):
+    """Of all experiments, those whose chosen file is there."""
+    m = fx.metadata(s, d)
+    there = m.where("row_no % 2 = 0").selectExpr("concat('/data/', file, '.bed') as path").unionAll(m.where("row_no % 5 = 0").selectExpr("concat('/data/', file, '.bed.gz') as path"))
+    names = [r[0] for r in m.select("experiment").distinct().collect()]  # brands: at most a few dozen
+    x = metadata.selected_files(m, names, "GRCh38", {"replicates": "1, 2"}, "row_no", there, ["file_type", "target", "biosample", "lab", "experiment"])
+    return x.where("path is not null").select("experiment", "path", "label")
+
+
 @query("f12_label", with_views("metadata", "SELECT file, replace(concat_ws('_', file_type, target, biosample, coalesce(lab, 'nan'), experiment), ' ', '-') AS label FROM metadata"))
 def f12(s, d):
     return fx.metadata(s, d).select("file", metadata.label("file_type", "target", "biosample", "lab", "experiment").alias("label"))
@@ -527,9 +539,51 @@ WEIGHTS = np.array([[(p % 5) * 0.25 + k * 0.5 for k in range(4)] for p in range(
 
 @query("a20_mutation_effect", with_views("seq40", "SELECT seq_id, pos, nt, round((strpos('ACGT', nt) - strpos('ACGT', substr(seq, pos + 1, 1))) * 0.5, 4) AS effect FROM (SELECT seq_id, seq, CAST(UNNEST(range(0, 40)) AS INT) AS pos FROM seq40 WHERE NOT contains(seq, 'N')) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(nt)"))
 def a20(s, d):
-    v = sq.mutants(sq.drop_n(fx.seq40(s, d))).withColumn("x", sq.one_hot(F.col("mutant")))
-    v = attribution.predict(v, Linear(WEIGHTS), out="score")
-    return attribution.mutation_scores(v, "seq_id", "seq", "score").select("seq_id", "pos", "nt", (F.round("effect", 4) + 0.0).alias("effect"))
+    return effects(attribution.mutagenesis(encoded(s, d), Linear(WEIGHTS), class_index=0))
+
+
+def encoded(s, d):
+    return sq.drop_n(fx.seq40(s, d)).withColumn("x", sq.one_hot(F.col("seq")))
+
+
+def effects(x):
+    """seq_id, pos, nt, effect of a map of effects."""
+    rows = x.select("seq_id", F.posexplode("effect").alias("pos", "row")).select("seq_id", "pos", F.posexplode("row").alias("k", "e"))
+    return rows.select("seq_id", "pos", F.substr(F.lit("ACGT"), F.col("k") + 1, F.lit(1)).alias("nt"), (F.round("e", 4) + 0.0).alias("effect"))
+
+
+@query("m6_mutagenesis", with_views("seq40", "SELECT seq_id, pos, nt, round((strpos('ACGT', nt) - strpos('ACGT', substr(seq, pos + 1, 1))) * 0.5 * sqrt(5), 4) AS effect FROM (SELECT seq_id, seq, CAST(UNNEST(range(0, 40)) AS INT) AS pos FROM seq40 WHERE NOT contains(seq, 'N')) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(nt)"))
+def m6(s, d):
+    """Two outputs, of which the second is twice the first: their norm is the first times the root of five."""
+    return effects(attribution.mutagenesis(encoded(s, d), LinearClasses(np.stack([WEIGHTS, 2 * WEIGHTS]))))
+
+
+@query("m7_explainer", with_views("seq40", "SELECT seq_id, round(2 * sum((pos % 5) * 0.25 + (strpos('ACGT', substr(seq, pos + 1, 1)) - 1) * 0.5), 4) AS total FROM (SELECT seq_id, seq, UNNEST(range(0, 40)) AS pos FROM seq40 WHERE NOT contains(seq, 'N')) GROUP BY seq_id"))
+def m7(s, d):
+    """The second class from a zero baseline: attributions add up to its prediction."""
+    e = attribution.Explainer(LinearClasses(np.stack([WEIGHTS, 2 * WEIGHTS])), class_index=1)
+    t = e.integrated_grad(encoded(s, d), baseline="zero", num_steps=4)
+    return t.select("seq_id", F.round(F.aggregate(F.flatten("integrated"), F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+DOT = "SELECT vec_id, sum(embedding[i] * ((i - 1) % 5 - 2) * 0.25) AS z FROM (SELECT vec_id, embedding, UNNEST(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY vec_id"
+
+
+@query("m2_hessian", f"SELECT vec_id, round(p * (1 - p) * (1 - 2 * p) * 0.0625, 4) + 0.0 AS first, round(p * (1 - p) * (1 - 2 * p) * 0.125, 4) + 0.0 AS mixed FROM (SELECT vec_id, 1 / (1 + exp(-z)) AS p FROM ({DOT}))")
+def m2(s, d):
+    """Of a logistic model the second derivatives are known: two of them, for dimensions 1 and 0."""
+    x = fx.table(s, d, "embeddings").select("vec_id", F.array(F.col("embedding").cast("array<double>")).alias("x"))
+    h = attribution.hessian(x, Logistic(np.array([[(k % 5 - 2) * 0.25 for k in range(64)]])))
+    at = lambda i, j: F.round(F.get(F.get("hessian", i), j), 4) + 0.0
+    return h.select("vec_id", at(1, 1).alias("first"), at(1, 0).alias("mixed"))
+
+
+@query("m12_registry", with_views("seq40", "SELECT seq_id, model, round(CASE model WHEN 'LINEAR' THEN z ELSE 1 / (1 + exp(-z / 100)) END, 5) AS pred FROM (SELECT seq_id, sum((pos % 5) * 0.25 + (strpos('ACGT', substr(seq, pos + 1, 1)) - 1) * 0.5) AS z FROM (SELECT seq_id, seq, UNNEST(range(0, 40)) AS pos FROM seq40 WHERE NOT contains(seq, 'N')) GROUP BY seq_id) CROSS JOIN (VALUES ('LINEAR'), ('Logistic')) v(model)"))
+def m12(s, d):
+    """Models by name, in any case."""
+    x = encoded(s, d)
+    one = lambda name, w: attribution.predict(x, get_model(name)(w)).select("seq_id", F.lit(name).alias("model"), F.round("pred", 5).alias("pred"))
+    return one("LINEAR", WEIGHTS).unionAll(one("Logistic", WEIGHTS / 100))
 
 
 @query("m4_integrated_gradients", with_views("seq40", "SELECT seq_id, round(sum((pos % 5) * 0.25 + (strpos('ACGT', substr(seq, pos + 1, 1)) - 1) * 0.5), 4) AS total FROM (SELECT seq_id, seq, UNNEST(range(0, 40)) AS pos FROM seq40 WHERE NOT contains(seq, 'N')) GROUP BY seq_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
-from sequor.catalog import GC40, PPM, TRUTH, WEIGHTS, ppm, query
+from sequor.catalog import ORACLE, PPM, TRUTH, WEIGHTS, encoded, f11_files, ppm, query
 from sequor.fixtures import with_views
 from sequor.functions import seq as sq
 from sequor.functions.models import Linear
@@ -22,6 +22,8 @@ from sequor.session import shared_folder
 from sequor.sources import sinks, text, tfrecord
 from sequor.streaming import streams
 
+F11_SQL = ORACLE["f11_selected_files"]
+
 
 def place(s: SparkSession, name: str) -> str:
     return f"{shared_folder(s)}/files-{uuid.uuid4().hex}/{name}"
@@ -146,6 +148,15 @@ def s14(s, d):
     return metadata.with_files(m.select("file"), found, "file")
 
 
+@query("k4_selection", "WITH " + F11_SQL.split("WITH ", 1)[1].replace("SELECT experiment, path, label FROM (", "SELECT label, path, label AS subset_label FROM (", 1))
+def k4(s, d):
+    """The sample sheet and the metadata of the selection, written and read again."""
+    sheet, subset = place(s, "samples.txt"), place(s, "subset.csv")
+    sinks.write_selection(f11_files(s, d), sheet, subset)
+    back = text.read_metadata(s, subset).select("path", F.col("label").alias("subset_label"))
+    return text.read_sample_sheet(s, sheet, 0).select("label", "path").join(back, "path")
+
+
 @query("k9_filtered_metadata", with_views("metadata", "SELECT file, CAST(row_no AS VARCHAR) AS row_no FROM metadata WHERE output_type = 'IDR thresholded peaks' AND assembly = 'GRCh38' AND replicates = '1, 2'"))
 def k9(s, d):
     at = place(s, "metadata_filtered.tsv")
@@ -187,10 +198,6 @@ def e7(s, d):
     return x.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.forall("p", lambda v: (v >= 0) & (v <= 1)).alias("inside"))
 
 
-def encoded(s: SparkSession, d: str) -> DataFrame:
-    return sq.drop_n(fx.seq40(s, d)).withColumn("x", sq.one_hot(F.col("seq")))
-
-
 def total(c: str) -> F.Column:
     return F.round(F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v), 4) + 0.0
 

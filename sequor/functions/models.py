@@ -8,13 +8,31 @@ import numpy as np
 
 
 class Model(Protocol):
+    """One output, or several: those take `class_index` in gradient, and without it give the gradient of their mean."""
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """(n, length, letters) -> (n,)"""
+        """(n, length, letters) -> (n,), or (n, outputs)"""
 
     def gradient(self, x: np.ndarray) -> np.ndarray:
         """d predict / d x, shaped as x"""
 
 
+class Output:
+    """A model of several outputs seen as one: a class, or the mean of a row's outputs."""
+
+    def __init__(self, model: Model, class_index: int | None = None):
+        self.model, self.class_index = model, class_index
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        p = self.model.predict(x)
+        if p.ndim == 1:
+            return p
+        return p.mean(1) if self.class_index is None else p[:, self.class_index]
+
+    def gradient(self, x: np.ndarray) -> np.ndarray:
+        return self.model.gradient(x) if self.class_index is None else self.model.gradient(x, self.class_index)
+
+
 class Linear:
     """Sum of weights over places and letters; weights of a shorter sequence are cut."""
 
@@ -37,6 +55,20 @@ class Logistic(Linear):
         return p * (1 - p) * super().gradient(x)
 
 
+class LinearClasses:
+    """Several linear outputs; weights are (outputs, length, letters)."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = np.asarray(weights, float)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.einsum("nij,kij->nk", x, self.weights[:, : x.shape[1]])
+
+    def gradient(self, x: np.ndarray, class_index: int | None = None) -> np.ndarray:
+        w = self.weights.mean(0) if class_index is None else self.weights[class_index]
+        return np.broadcast_to(w[: x.shape[1]], x.shape).copy()
+
+
 class MotifScan:
     """Soft maximum over places of a kernel's sum."""
 
@@ -62,7 +94,7 @@ class MotifScan:
         return out
 
 
-MODELS = {"linear": Linear, "logistic": Logistic, "motif_scan": MotifScan}
+MODELS = {"linear": Linear, "logistic": Logistic, "linear_classes": LinearClasses, "motif_scan": MotifScan}
 
 
 def get_model(name: str) -> type:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequor.functions.models import Model
+from sequor.functions.models import Model, Output
 from sequor.operators.metrics import auroc, pr_trapezoid
 
 
@@ -104,6 +104,52 @@ def _integrated(model: Model, b: np.ndarray, base: np.ndarray, steps: int) -> np
     return ((g[:-1] + g[1:]) / 2).mean(0) * (b - base)
 
 
+def hessian(df: DataFrame, model: Model, x: str = "x", eps: float = 1e-4, out: str = "hessian") -> DataFrame:
+    """Second derivatives by central differences of the gradient: a row and a column per place and letter, letters fastest."""
+
+    def f(b: np.ndarray, _: dict[str, np.ndarray]) -> np.ndarray:
+        n, length, letters = b.shape
+        got = np.empty((n, length * letters, length * letters))
+        for k in range(length * letters):
+            step = np.zeros((length, letters))
+            step.flat[k] = eps
+            got[:, k] = ((model.gradient(b + step) - model.gradient(b - step)) / (2 * eps)).reshape(n, -1)
+        return got
+
+    return _apply(df, x, out, MAP, f)
+
+
+#: Values of mutants that one call of a model gets, about.
+MUTANT_VALUES = 1 << 21
+
+
+def mutagenesis(df: DataFrame, model: Model, x: str = "x", class_index: int | None = None, out: str = "effect") -> DataFrame:
+    """Per place and letter: the score with that letter there less the score as it is.
+
+    The score is the class's output, or without class_index the L2 norm of all outputs.
+    """
+
+    def score(b: np.ndarray) -> np.ndarray:
+        p = model.predict(b)
+        if p.ndim == 1:
+            return np.abs(p) if class_index is None else p
+        return np.sqrt((p * p).sum(1)) if class_index is None else p[:, class_index]
+
+    def f(b: np.ndarray, _: dict[str, np.ndarray]) -> np.ndarray:
+        n, length, letters = b.shape
+        got, step = np.empty_like(b), max(1, MUTANT_VALUES // max(1, letters * length * letters))
+        for r in range(n):
+            for lo in range(0, length, step):
+                at = np.arange(min(step, length - lo))
+                v = np.broadcast_to(b[r], (len(at), letters, length, letters)).copy()
+                v[at, :, lo + at] = np.eye(letters)
+                got[r, lo : lo + len(at)] = score(v.reshape(-1, length, letters)).reshape(len(at), letters)
+            got[r] -= score(b[r : r + 1])[0]
+        return got
+
+    return _apply(df, x, out, MAP, f)
+
+
 def integrated_gradients(df: DataFrame, model: Model, x: str = "x", steps: int = 20, out: str = "integrated") -> DataFrame:
     """From a zero baseline, steps + 1 points, by trapezoids."""
     return _apply(df, x, out, MAP, lambda b, _: _integrated(model, b, np.zeros_like(b), steps))
@@ -153,3 +199,36 @@ def mutation_scores(variants: DataFrame, by: str, seq: str, score: str) -> DataF
     """variants(by, seq, pos, nt, mutant, score) -> score of each variant less that of the unchanged letter."""
     wild = variants.where(F.col("mutant") == F.col(seq)).groupBy(by).agg(F.min(score).alias("_wild"))
     return variants.join(wild, by).withColumn("effect", F.col(score) - F.col("_wild")).drop("_wild")
+
+
+class Explainer:
+    """The attribution methods of one model and class (or of the mean of its outputs), by name.
+
+    Noise and random baselines depend on seed and the row's key alone. baseline: random (the row's places shuffled) or zero.
+    """
+
+    def __init__(self, model: Model, class_index: int | None = None, key: str = "seq_id", x: str = "x", seed: int = 0):
+        self.model, self.class_index, self.key, self.x, self.seed = model, class_index, key, x, seed
+        self.one = Output(model, class_index)
+
+    def saliency_maps(self, df: DataFrame, out: str = "saliency") -> DataFrame:
+        return saliency(df, self.one, self.x, out)
+
+    def hessian(self, df: DataFrame, out: str = "hessian") -> DataFrame:
+        return hessian(df, self.one, self.x, out=out)
+
+    def smoothgrad(self, df: DataFrame, num_samples: int = 50, stddev: float = 0.1, out: str = "smoothgrad") -> DataFrame:
+        return smoothgrad(df, self.one, self.key, self.x, num_samples, stddev, self.seed, out)
+
+    def integrated_grad(self, df: DataFrame, baseline: str = "random", num_steps: int = 25, out: str = "integrated") -> DataFrame:
+        return self.expected_integrated_grad(df, 1, baseline, num_steps, out)
+
+    def expected_integrated_grad(self, df: DataFrame, num_baseline: int = 25, baseline: str = "random", num_steps: int = 25, out: str = "expected") -> DataFrame:
+        if baseline == "random":
+            return expected_gradients(df, self.one, self.key, self.x, num_baseline, num_steps, self.seed, out)
+        if baseline != "zero":
+            raise ValueError(f"baseline is random or zero, not {baseline}")
+        return integrated_gradients(df, self.one, self.x, num_steps, out)  # zeros don't differ from one another
+
+    def mutagenesis(self, df: DataFrame, out: str = "effect") -> DataFrame:
+        return mutagenesis(df, self.model, self.x, self.class_index, out)

@@ -27,15 +27,15 @@ def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TIL
 
     Intervals that leave their chromosome, or are empty, are dropped. With tiles that reach into the next one by `reach`,
     an interval of up to reach + 1 letters lies in the tile of its start: one equi-join; longer ones raise an
-    error. Without, each interval meets the tiles it touches and their parts are put together by tile.
+    error (letters are ASCII here, so that a tile's bytes tell its length). Without, each interval meets the tiles it touches and their parts are put together by tile.
     """
     if reach:
         size = F.col("end_pos") - F.col("start_pos")
         ok = F.assert_true(size <= reach + 1, F.lit(f"an interval is longer than {reach + 1}"))
         d = df.where("start_pos >= 0 and end_pos > start_pos").where(ok.isNull()).withColumn("tile", F.floor(F.col("start_pos") / width).cast("int"))
-        d = d.join(tiles, ["chrom", "tile"])
-        d = d.withColumn("seq", F.substr("part", (F.col("start_pos") - F.col("tile") * F.lit(width) + 1).cast("int"), size.cast("int")))
-        d = d.where(F.length("seq") == size).select(*df.columns, "seq")
+        at = F.col("start_pos") - F.col("tile") * F.lit(width)
+        d = d.join(tiles, ["chrom", "tile"]).where(at + size <= F.octet_length("part"))
+        d = d.withColumn("seq", F.substr("part", (at + 1).cast("int"), size.cast("int"))).select(*df.columns, "seq")
         return _on_strand(d) if strand else d
     first, last = F.floor(F.col("start_pos") / width).cast("int"), F.floor((F.col("end_pos") - 1) / width).cast("int")
     d = df.where("start_pos >= 0 and end_pos > start_pos").withColumn("tile", F.explode(F.sequence(first, last)))

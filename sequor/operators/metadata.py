@@ -14,6 +14,12 @@ def select_experiments(meta: DataFrame, accessions: list[str], assembly: str, cr
     return first_of_group(d, "experiment", [order])
 
 
+def selected_files(meta: DataFrame, accessions: list[str], assembly: str, criteria: dict[str, str], order: str, listing: DataFrame, label_cols: list[str], name: str = "file") -> DataFrame:
+    """select_experiments with label and path. Where path is null the file isn't there: leave such rows out, and warn of them."""
+    chosen = select_experiments(meta, accessions, assembly, criteria, order).withColumn("label", label(*label_cols))
+    return with_files(chosen, listing, name)
+
+
 def first_of_group(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
 

@@ -51,3 +51,10 @@ def write_meme(rows: DataFrame, by: str, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.csv(path, sep=sep, header=True)
+
+
+def write_selection(selected: DataFrame, sheet: str, subset: str) -> None:
+    """The sample sheet (label, path) of the experiments whose file is there, and their metadata with label and path."""
+    there = selected.where("path is not null")
+    there.select(F.concat_ws("\t", "label", "path").alias("value")).coalesce(1).write.text(sheet)  # a row an experiment
+    write_table(there, subset, sep=",")

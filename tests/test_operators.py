@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
 from sequor.functions import seq as sq
-from sequor.functions.models import Linear, Logistic, MotifScan, get_model
-from sequor.operators import attribution, balance, genome, intervals, metadata, split
+from sequor.functions.models import Linear, LinearClasses, Logistic, MotifScan, get_model
+from sequor.operators import attribution, balance, genome, intervals, metadata, metrics, split
 from sequor.plans import pipelines
 from tests.conftest import SF
 
@@ -161,6 +161,59 @@ def test_models(spark):
     assert abs(sum(g) - 1) < 1e-9
 
 
+def test_explainer_and_several_outputs(spark):
+    rng = np.random.default_rng(1)
+    w = rng.random((3, 6, 4))
+    d = spark.createDataFrame([(i, "ACGTAC") for i in range(3)], "seq_id long, seq string").withColumn("x", sq.one_hot(F.col("seq")))
+    m = LinearClasses(w)
+    x = np.array(d.first().x)
+    assert np.allclose(attribution.Explainer(m, 2).saliency_maps(d).first().saliency, w[2])
+    assert np.allclose(attribution.Explainer(m).smoothgrad(d, 3).first().smoothgrad, w.mean(0))
+    e = attribution.Explainer(m, 1)
+    assert np.allclose(np.sum(e.integrated_grad(d, "zero").first().integrated), (w[1] * x).sum())
+    assert e.expected_integrated_grad(d, 2).count() == 3
+    with pytest.raises(ValueError):
+        e.integrated_grad(d, "ones")
+    one = np.array(e.mutagenesis(d).first().effect)
+    norm = np.array(attribution.Explainer(m).mutagenesis(d).first().effect)
+    for k in range(6):
+        for a in range(4):
+            y = x.copy()
+            y[k] = np.eye(4)[a]
+            p, q = m.predict(np.stack([x, y]))
+            assert np.isclose(one[k, a], q[1] - p[1]) and np.isclose(norm[k, a], np.linalg.norm(q) - np.linalg.norm(p))
+    v = attribution.predict(sq.mutants(d).withColumn("x", sq.one_hot(F.col("mutant"))), Linear(w[1]), out="score")
+    for r in attribution.mutation_scores(v, "seq_id", "seq", "score").collect():
+        assert np.isclose(r.effect, one[r.pos, "ACGT".index(r.nt)])
+    g = Logistic(w[0])
+    p = g.predict(x[None])[0]
+    assert np.allclose(attribution.hessian(d, g).first().hessian, p * (1 - p) * (1 - 2 * p) * np.outer(w[0], w[0]), atol=1e-6)
+
+
+def test_metrics_at_odd_scales(spark):
+    rnd = random.Random(5)
+    rows = [("a", int(rnd.random() < 0.3), 1e-6 * rnd.randint(0, 500)) for _ in range(3000)] + [("b", k % 2, 1e8 + k % 3) for k in range(90)] + [("c", 1, 0.5), ("c", 0, None)]
+    d = spark.createDataFrame(rows, "t string, label int, score double")
+    got = {r.t: r.auroc for r in metrics.auroc(d, ["t"]).collect()}
+    for t in "ab":
+        pos, neg = ([s for x, y, s in rows if x == t and y == v] for v in (1, 0))
+        assert abs(got[t] - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-9
+    assert got["c"] is None
+    r = {x.t: x.pearson for x in metrics.pearson(d.where("t = 'b'"), ["t"]).collect()}
+    y, s = np.array([x[1:] for x in rows if x[0] == "b"]).T
+    assert abs(r["b"] - np.corrcoef(s - 1e8, y)[0, 1]) < 1e-6
+
+
+def test_tiles_that_overlap(spark):
+    letters = "ACGT" * 300
+    g = spark.createDataFrame([("chr7", letters)], "chrom string, seq string")
+    b = bed(spark, [(0, 8), (1190, 1200), (1195, 1205), (-5, 5), (500, 560), (511, 576)])
+    got = {r.peak_id: r.seq for r in genome.get_sequences(b, genome.tile(g, 512, 64), "peak_id", 512, reach=64).collect()}
+    assert got == {0: letters[:8], 1: letters[1190:], 4: letters[500:560], 5: letters[511:576]}
+    with pytest.raises(Exception, match="longer than"):
+        genome.get_sequences(bed(spark, [(0, 66)]), genome.tile(g, 512, 64), "peak_id", 512, reach=64).collect()
+
+
 def test_files_of_experiments(spark):
     m = spark.createDataFrame([("a",), ("b",), ("c",)], "file string")
     f = spark.createDataFrame([("/x/a.bed.gz",), ("/x/b.bed",), ("/x/b.bed.gz",)], "path string")
