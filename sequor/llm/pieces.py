@@ -67,6 +67,9 @@ class DoubleArray:
         self.check += [-1] * 257
         self.value += [-1] * 257
 
+#: What an id that is none stands for, and the number that such ids get.
+NO_PIECE, BEYOND = "\ufffd".encode(), (1 << 32) - 1
+
 
 class PieceCodec:
     """Ids of text and text of ids.
@@ -182,7 +185,14 @@ class PieceCodec:
         return ids
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
+        """The text of any list of ids. Only the marker of a text's first word is dropped, if the list begins with it;
+        an id that is none, and bytes that are no character (of one that is cut), become U+FFFD."""
+        at = np.frombuffer(ids, "<u4")
+        if len(at) and at.max() >= len(self.text_of):
+            raw = b"".join(self.text_of[k] if k < len(self.text_of) else NO_PIECE for k in at.tolist())
+        else:
+            raw = b"".join(map(self.text_of.__getitem__, at.tolist()))
+        return raw.removeprefix(b" ").decode(errors="replace")
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -201,14 +211,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of encoded documents; null ids give an empty text."""
+    """doc_id and text of encoded documents, or of any part of their ids; a null list is an empty text, a null id U+FFFD."""
     path = path or vocabulary("piece_bpe_32k.model")
     prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec.of(path)
         for b in batches:
-            texts = [codec.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()]
+            texts = [codec.decode(np.array([BEYOND if k is None or not 0 <= k < BEYOND else k for k in x or []], "<u4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kinds = T.StructType([T.StructField("doc_id", encoded.schema["doc_id"].dataType), T.StructField("text", T.StringType())])

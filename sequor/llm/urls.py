@@ -59,10 +59,10 @@ def lexical(df: DataFrame, url_col: str) -> DataFrame:
 
 
 class UrlModel:
-    """Trees as a column expression, and the block rate of each suffix seen in training."""
+    """Trees as a column expression, and the block rate of each suffix seen in training. fitted: the model they are of."""
 
-    def __init__(self, suffixes: DataFrame, rate: float, margin: Column):
-        self.suffixes, self.rate, self.margin = suffixes, rate, margin
+    def __init__(self, suffixes: DataFrame, rate: float, margin: Column, fitted=None):
+        self.suffixes, self.rate, self.margin, self.fitted = suffixes, rate, margin, fitted
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Add `blocked`. The suffix table has at most SAMPLE rows, so it is broadcast."""
@@ -105,30 +105,30 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     margin = F.lit(0.0)
     for weight, tree in zip(model.treeWeights, model._java_obj.trees(), strict=True):
         margin = margin + F.lit(float(weight)) * tree_column(tree.rootNode())
-    return UrlModel(suffixes, rate, margin)
+    return UrlModel(suffixes, rate, margin, model)
 
 
 def weak_labels(urls: DataFrame) -> DataFrame:
     """(url, blocked): a host label holding one of TERMS marks a URL to block, its lack one to allow.
 
-    Stands in for labels given by hand. Equal numbers of both, at most SAMPLE / 2 each, by hash.
+    Stands in for labels given by hand, of which the tables have none: what the trees learn from it is this list. Equal numbers of both, at most SAMPLE / 2 each, by hash.
     """
     d = urls.where("host <> ''").select("url", F.when(F.col("host").rlike("|".join(TERMS)), 1.0).otherwise(0.0).alias("blocked")).distinct()
     pick = lambda v: d.where(F.col("blocked") == v).orderBy(F.xxhash64("url"), "url").limit(SAMPLE // 2)
     return pick(1.0).unionAll(pick(0.0))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row; the rule's verdict, else the model's.
 
-    Without a model, one is trained on weak_labels of the pages. A null URL or
+    labelled (url, blocked 0.0 or 1.0) trains the model if none is given; without both, weak_labels of the pages do. A null URL or
     one without :// has an empty host and path, fits no rule and is judged by its features.
     """
     prepare(pages.sparkSession)
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns(url_parts(F.col("url")))
     d = d.withColumns({"rule": rule_column(rules, F.col("host"), F.col("path"), "rule"), "_verdict": rule_column(rules, F.col("host"), F.col("path"), "verdict")})
     if model is None:
-        model = train(weak_labels(d.select("url", "host")))
+        model = train(weak_labels(d.select("url", "host")) if labelled is None else labelled.select("url", "blocked"))
     d = model.apply(lexical(d, "url"))
     return d.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 

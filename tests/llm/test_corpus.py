@@ -615,3 +615,54 @@ def test_queries_match_their_sql(spark):
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
         assert sorted(a[cols].astype(str).itertuples(index=False, name=None)) == sorted(b[cols].astype(str).itertuples(index=False, name=None)), name
+
+
+def test_url_trees_on_other_hosts(spark):
+    """Labels from a rule over shapes, not words: held-out hosts, and the expression against the model itself."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rnd = random.Random(9)
+
+    def url(bad):
+        name = "".join(rnd.choice("abcdefghij") for _ in range(6))
+        if bad:
+            return f"http://{name}-{rnd.randint(100, 999)}-{name[:3]}.example.com/{rnd.randint(10**6, 10**7)}?a={rnd.randint(0, 9999)}&b=1&c={name}"
+        return f"https://www.{name}.example.org/{name[:4]}/{name[2:]}.html"
+
+    rows = [(url(k % 2), float(k % 2)) for k in range(600)]
+    d = spark.createDataFrame(rows, "url string, blocked double")
+    model = urls.train(d.limit(300))
+    rest = spark.createDataFrame([(k, *r) for k, r in enumerate(rows[300:])] + [(-1, None, 0.0), (-2, "", 0.0)], "page_id long, url string, blocked double")
+    got = model.apply(urls.lexical(rest.withColumnRenamed("blocked", "label").withColumns(urls.url_parts(F.col("url"))), "url")).cache()
+    right = got.where("page_id >= 0").agg(F.avg((F.col("blocked") == (F.col("label") == 1)).cast("int"))).first()[0]
+    assert right >= 0.95
+    whole = VectorAssembler(inputCols=list(urls.FEATURES), outputCol="features").transform(got.na.drop(subset=["url"]))
+    assert model.fitted.transform(whole).where((F.col("prediction") == 1) != F.col("blocked")).count() == 0
+    verdicts = {r.page_id: r.verdict for r in urls.judge(rest, [], labelled=d).collect()}
+    assert len(verdicts) == 302 and set(verdicts.values()) == {"allow", "block"}
+
+
+def test_pieces_of_any_ids(spark):
+    c = pieces.PieceCodec.of(pieces.vocabulary("piece_bpe_32k.model"))
+    for text in ("hello", " two  spaces ", "né 語 \U0001f600!"):
+        ids = np.frombuffer(c.encode(text), "<u4")
+        whole = b"".join(c.text_of[k] for k in ids.tolist())
+        for lo in range(len(ids) + 1):
+            for hi in range(lo, len(ids) + 1):
+                raw = b"".join(c.text_of[k] for k in ids[lo:hi].tolist())
+                assert c.decode(ids[lo:hi].tobytes()) == raw.removeprefix(b" ").decode(errors="replace")
+        assert c.decode(ids.tobytes()) == text and whole == b" " + text.encode()
+    first = int(np.frombuffer(c.encode("a"), "<i4")[0])
+    d = spark.createDataFrame([(1, [first, None, -5, 10**9]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode_documents(d).collect()} == {1: "a" + "\ufffd" * 3, 2: "", 3: ""}
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 16))
+    x[30:] = x[:30] + 0.05 * rng.standard_normal((30, 16))
+    scale = [1e200, 1e-200, 1.0, 3e-5]
+    d = spark.createDataFrame([(k, [float(a) for a in v * scale[k % 4]], "a") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.98).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in vectors.near_vectors(d).collect()} == dict(enumerate(want.tolist())) and want.sum() > 20
