@@ -15,8 +15,8 @@ from sequor.llm.common import blocked, connected_components, cut, prepare, unite
 #: Rows of a cell that one task compares; larger cells are split into blocks.
 BLOCK = 4096
 TILE = 256
-#: Leading PCA dimensions that make the cells.
-GRID = 3
+#: Leading PCA dimensions that make the cells, and the width of a cell in distances that links can span.
+GRID, CELL = 3, 3
 #: Slack for rounding in bounds; the decision itself is made on the given components.
 SLACK = 1e-9
 
@@ -83,8 +83,8 @@ def links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(rep, other, n): n > 0 counts linked vectors of rep; rows with other form a spanning forest.
 
     Unit vectors with cosine >= t are at most sqrt(2 - 2 t) apart in every orthogonal direction, so linked
-    vectors lie in the same or neighbouring cells of that width over the leading PCA dimensions. A vector
-    goes to its own cell and as a guest to the neighbours that follow it.
+    vectors lie in the same or neighbouring cells over the leading PCA dimensions. A vector
+    goes to its own cell and as a guest to those neighbours that follow it and are within that distance.
     """
     axes = principal_axes(classes, dim)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-9
@@ -93,16 +93,18 @@ def links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     for _ in range(grid):
         around = [(*p, s) for p in around for s in (-1, 0, 1)]
     around = [p for p in around if p >= (0,) * grid]
-    fields = "label string, cell long, home boolean, rep long, copies long, embedding array<double>"
+    cell_width = max(CELL * width, 1 / 1024)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    fields = f"label string, cell long, home boolean, rep long, copies long, embedding {kind}"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit(matrix(b.column(3), dim)) @ axes[:, :grid]
-            at = np.floor(x / width).astype(np.int64) + 64
-            # a guest is only needed where the neighbour is within reach
-            low, high = x - (at - 64) * width, (at - 63) * width - x
+            at = np.floor(x / cell_width).astype(np.int64)
+            low, high = x - at * cell_width, (at + 1) * cell_width - x
             for p in around:
                 ok = np.ones(len(x), bool)
                 for k, s in enumerate(p):
@@ -110,12 +112,12 @@ def links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
                     ok &= gap <= width
                 cell = np.zeros(len(x), np.int64)
                 for k in range(grid):
-                    cell = cell * 4096 + at[:, k] + p[k]
+                    cell = cell * 4096 + at[:, k] + p[k] + 2048
                 take = pa.array(np.flatnonzero(ok))
                 home = not any(p)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cell[ok]), pa.array(np.full(ok.sum(), home)), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take)], names=["label", "cell", "home", "rep", "copies", "embedding"])
 
-    d = classes.where(F.size("embedding") == dim).select(F.col("label").cast("string").alias("label"), F.col("rep").cast("long").alias("rep"), "copies", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(spread, fields)
+    d = classes.where(F.size("embedding") == dim).select(F.col("label").cast("string").alias("label"), F.col("rep").cast("long").alias("rep"), "copies", F.col("embedding").cast(kind).alias("embedding")).mapInArrow(spread, fields)
     d = blocked(cut(d), ["label", "cell"], F.col("rep"), BLOCK)
     keys = ["label", "cell", "_i", "_j"]
     d = d.repartition(*keys).sortWithinPartitions(*keys)
@@ -138,6 +140,7 @@ def links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             return
         raw = matrix(t.column("embedding").combine_chunks(), dim)
         x = unit(raw) @ axes
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # by a power of two: squares stay in range, no digit changes
         norm = np.sqrt((raw * raw).sum(1))
         order = np.argsort(x[:, 0], kind="stable")
         count = np.zeros(len(rep), np.int64)
