@@ -24,9 +24,16 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one if none is named."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The checkpoint folder that driver and executors share: spark.checkpoint.dir, which a cluster must name.
+
+    Without it a session of one machine gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequor-checkpoint-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sequor-checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
     return held.get()
