@@ -8,7 +8,6 @@ aggregates partially before the shuffle or splits groups that exceed a stated si
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sequor.session import shared_folder
+
 #: Rows in one Arrow batch handed to a Python worker, at most. Texts can be long.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
@@ -26,14 +27,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own, or a temporary one if none is set."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sequor-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The shared checkpoint folder: the cluster's own; on one machine a temporary one if none is set."""
+    return shared_folder(spark)
 
 
 def prepare(spark: SparkSession) -> None:
