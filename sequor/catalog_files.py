@@ -260,13 +260,27 @@ def stream_features(s, d):
     return s.read.schema(out.schema).parquet(f"{at}out")
 
 
+def event_stream(s: SparkSession, d: str) -> DataFrame:
+    return s.readStream.schema(fx.table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+def finished(s: SparkSession, out: DataFrame) -> DataFrame:
+    """The state of a stream's aggregation once all there is has been read."""
+    at = place(s, "")
+    s.createDataFrame([], out.schema).write.parquet(f"{at}out")
+    w = out.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}out"))
+    w.option("checkpointLocation", f"{at}state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{at}out")
+
+
 @query("stream_windows", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_windows(s, d):
-    return streams.windowed_counts(fx.table(s, d, "events"), "ts", "event_type").select("start", "event_type", "n", F.round("total", 2).alias("total"))
+    x = streams.windowed_counts(event_stream(s, d), "ts", "event_type")
+    return finished(s, x.select("start", "event_type", "n", "total")).select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
     SELECT min(ts) AS start, user_id, count(*) AS n FROM g GROUP BY user_id, k""")
 def stream_sessions(s, d):
-    return streams.session_counts(fx.table(s, d, "events"), "ts", "user_id").select("start", "user_id", "n")
+    return finished(s, streams.session_counts(event_stream(s, d), "ts", "user_id").select("start", "user_id", "n"))
