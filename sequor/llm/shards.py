@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequor.llm.common import cut, gapless_rank, prepare
+from sequor.llm.common import cut, gapless_rank, join_counted, prepare
+from sequor.operators.rank import ranked
 
-#: Groups of at least total / RESOLUTION bytes are items of their own (so at most RESOLUTION of
-#: them); smaller ones are first joined by a hash into RESOLUTION bundles. This bounds what the
-#: driver packs at 2 * RESOLUTION items, whatever the input.
-RESOLUTION = 32768
+#: Neighbouring places of groups whose runs are looked up together.
+CHUNK = 64
 
-
-#: Rows of a placement table that are broadcast, at most; beyond it Spark chooses the join.
-BROADCAST_ROWS = 2 * RESOLUTION
-#: Bundles of small groups for each shard of a fixed capacity, on average: what the driver packs per shard.
-BUNDLES = 8
+#: (which size, how many of its items, their bin); runs of one size are in the order of its items.
+Run = tuple[int, int, int]
 
 
 class RoomTree:
@@ -61,49 +58,58 @@ class RoomTree:
             self.tops[k] = leaf[-1]
 
 
-def best_fit(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
-    """The bin of each item (given in decreasing size), or None if they don't fit.
+def best_fit_runs(sizes: Sequence[int], counts: Sequence[int], bins: int, capacity: int) -> list[Run] | None:
+    """Best-fit decreasing of counts[k] items of sizes[k] (decreasing), or None if they don't fit.
 
-    Each item enters the bin with the least room that holds it; ties go to the lowest bin.
+    Each item enters the bin with the least room that holds it; ties go to the lowest bin. A bin that took
+    an item stays the tightest as long as it holds one more of that size, so it takes a run of them at
+    once. A run ends its size or leaves its bin with less than half of its room, so there are at most
+    len(sizes) + bins * log2(capacity) runs, however many items there are.
     """
     tree = RoomTree([(capacity, b) for b in range(bins)])
     out = []
-    for s in sizes:
-        found = tree.take(s)
-        if found is None:
-            return None
-        tree.put(found[0] - s, found[1])
-        out.append(found[1])
+    for k, (size, left) in enumerate(zip(sizes, counts, strict=True)):
+        while left:
+            found = tree.take(size)
+            if found is None:
+                return None
+            n = min(left, found[0] // size)
+            tree.put(found[0] - n * size, found[1])
+            out.append((k, n, found[1]))
+            left -= n
     return out
 
 
-def fewest_bins(sizes: list[int], capacity: int) -> list[int]:
+def fewest_bins_runs(sizes: Sequence[int], counts: Sequence[int], capacity: int) -> list[Run]:
     """Best-fit decreasing into bins of one capacity, opened as needed; a larger item gets one of its own."""
     tree = RoomTree([])
     out, bins = [], 0
-    for s in sizes:
-        found = tree.take(s) if s <= capacity else None
-        room, b = found or (capacity, bins)
-        bins += found is None
-        if s <= capacity:
-            tree.put(room - s, b)
-        out.append(b)
+    for k, (size, left) in enumerate(zip(sizes, counts, strict=True)):
+        while left:
+            found = tree.take(size) if size <= capacity else None
+            room, b = found or (capacity, bins)
+            bins += found is None
+            n = min(left, max(1, room // size))
+            if size <= capacity:
+                tree.put(room - n * size, b)
+            out.append((k, n, b))
+            left -= n
     return out
 
 
-def least_capacity(sizes: list[int], bins: int) -> list[int]:
+def least_capacity_runs(sizes: Sequence[int], counts: Sequence[int], bins: int) -> list[Run]:
     """Best-fit decreasing at the smallest capacity for which the items fit into the bins."""
     if not sizes:
         return []
-    low = max(sizes[0], -(-sum(sizes) // bins))
+    low = max(sizes[0], -(-sum(x * n for x, n in zip(sizes, counts, strict=True)) // bins))
     high = low + sizes[0]
-    best = best_fit(sizes, bins, high)
+    best = best_fit_runs(sizes, counts, bins, high)
     while best is None:
         high *= 2
-        best = best_fit(sizes, bins, high)
+        best = best_fit_runs(sizes, counts, bins, high)
     while low < high:
         mid = (low + high) // 2
-        found = best_fit(sizes, bins, mid)
+        found = best_fit_runs(sizes, counts, bins, mid)
         if found is None:
             low = mid + 1
         else:
@@ -111,6 +117,23 @@ def least_capacity(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
+def by_item(runs: list[Run] | None) -> list[int] | None:
+    return None if runs is None else [b for _, n, b in runs for _ in range(n)]
+
+
+def best_fit(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
+    """The bin of each item (given in decreasing size), or None if they don't fit."""
+    return by_item(best_fit_runs(sizes, [1] * len(sizes), bins, capacity))
+
+
+def fewest_bins(sizes: list[int], capacity: int) -> list[int]:
+    return by_item(fewest_bins_runs(sizes, [1] * len(sizes), capacity))
+
+
+def least_capacity(sizes: list[int], bins: int) -> list[int]:
+    return by_item(least_capacity_runs(sizes, [1] * len(sizes), bins))
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, size, text_crc32 and _key, the digest of the text; materialised."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,34 +147,40 @@ def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def pack(rows: DataFrame, plan: Callable[[list[int]], list[int]], capacity: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard: groups of equal _key placed by plan(decreasing sizes).
+def pack(rows: DataFrame, plan: Callable[[Sequence[int], Sequence[int]], list[Run]]) -> DataFrame:
+    """doc_id, size, text_crc32, shard: groups of equal _key placed by plan(decreasing sizes, groups of each).
 
-    With a capacity there are more bundles than RESOLUTION if that many shards need them.
+    The driver packs every group, but sees only the different sizes: n of them need n * (n + 1) / 2 bytes
+    of text, so 100 TB have 14 million at most and texts below a megabyte a million. Groups of one size
+    are interchangeable; they take its runs in the order of their keys.
     """
     spark = rows.sparkSession
-    groups = cut(rows.groupBy("_key").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(RESOLUTION, BUNDLES * -(-total // capacity)) if capacity else RESOLUTION
-    least = max(1, -(-total // parts))
-    bundle = F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")
-    small = groups.where(F.col("bytes") < least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()
-    alone = F.col("bytes") >= least
-    if over := [r["bundle"] for r in small if capacity and r["bytes"] > capacity]:  # by chance, so few: their groups go alone
-        small = [r for r in small if r["bytes"] <= capacity]
-        alone |= bundle.isin(over)
-    large = groups.where(alone).orderBy(F.desc("bytes"), "_key").collect()
-    items = sorted([(-r["bytes"], 0, bytes(r["_key"]), None) for r in large] + [(-r["bytes"], 1, b"", r["bundle"]) for r in small], key=lambda x: (x[0], x[1], x[2], x[3] or 0))
-    placed = plan([-i[0] for i in items])
-    of_large = spark.createDataFrame([(bytearray(i[2]), b) for i, b in zip(items, placed, strict=True) if not i[1]], "_key binary, _large int")
-    of_small = spark.createDataFrame([(i[3], b) for i, b in zip(items, placed, strict=True) if i[1]], "_bundle int, _small int")
-    send = F.broadcast if len(items) <= BROADCAST_ROWS else lambda x: x
-    return (
-        rows.withColumn("_bundle", bundle)
-        .join(send(of_large), "_key", "left")
-        .join(send(of_small), "_bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_large", "_small").alias("shard"))
-    )
+    groups = cut(rows.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    found = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("bytes", "descending")])
+    sizes, counts = found["bytes"].to_pylist(), found["n"].to_pylist()
+    runs = plan(sizes, counts)
+    whole = [(sizes[k], b) for k, n, b in runs if n == counts[k]]
+    firsts, parts, at, last = [], [], 0, None
+    for k, n, b in runs:
+        if n < counts[k]:
+            if k != last:
+                firsts.append(sizes[k])
+            parts.append((at, at + n, b))
+            at, last = at + n, k
+    of_size = table(spark, whole, {"bytes": pa.int64(), "shard": pa.int32()})
+    placed = groups.join(of_size, "bytes").select("_key", "n", "shard")
+    if parts:
+        places = ranked(groups.join(table(spark, [(x,) for x in firsts], {"bytes": pa.int64()}), "bytes"), [F.desc("bytes"), "_key"], "_at")
+        of_part = table(spark, parts, {"_from": pa.int64(), "_to": pa.int64(), "shard": pa.int32()})
+        of_part = of_part.withColumn("_chunk", F.explode(F.expr(f"sequence(_from div {CHUNK}, (_to - 1) div {CHUNK})")))
+        split = places.withColumn("_chunk", F.expr(f"_at div {CHUNK}")).join(of_part, "_chunk").where("_at >= _from and _at < _to")
+        placed = placed.unionByName(split.select("_key", "n", "shard"))
+    return join_counted(rows, cut(placed), ["_key"], "n").select("doc_id", "size", "text_crc32", "shard")
+
+
+def table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
@@ -163,7 +192,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows like any other. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    out = pack(sized(docs, id_col, text_col), lambda sizes: least_capacity(sizes, shards))
+    out = pack(sized(docs, id_col, text_col), lambda sizes, counts: least_capacity_runs(sizes, counts, shards))
     out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
     return gapless_rank(cut(out), "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32")], "slot", salts=256)
 
@@ -172,13 +201,13 @@ def shard_by_capacity(docs: DataFrame, capacity: int, id_col: str = "doc_id", te
     """doc_id, size, text_crc32, shard: as few shards of at most `capacity` bytes as best-fit decreasing needs.
 
     Rows of equal texts are indivisible; such a group of more than `capacity` bytes gets a shard of its own,
-    the only kind that exceeds it. Small groups are joined by hash first if there are over RESOLUTION
-    groups, so the driver packs at most 2 * max(RESOLUTION, BUNDLES x shards) items. Null texts count as empty.
+    the only kind that exceeds it. The driver holds the different sizes and some runs per shard, at most
+    log2(capacity) and one for each size. Null texts count as empty.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     prepare(docs.sparkSession)
-    return pack(sized(docs, id_col, text_col), lambda sizes: fewest_bins(sizes, capacity), capacity)
+    return pack(sized(docs, id_col, text_col), lambda sizes, counts: fewest_bins_runs(sizes, counts, capacity))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

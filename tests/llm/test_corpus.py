@@ -263,6 +263,11 @@ def test_fewest_shards(spark, odd, empty):
             room[b] -= x
             want.append(b)
         assert shards.fewest_bins(sizes, capacity) == want
+        sizes, counts = sorted(rnd.sample(range(1, 6000), 30), reverse=True), [rnd.randint(1, 50) for _ in range(30)]
+        alone = [x for x, n in zip(sizes, counts, strict=True) for _ in range(n)]
+        assert shards.by_item(shards.fewest_bins_runs(sizes, counts, capacity)) == shards.fewest_bins(alone, capacity)
+        runs = shards.least_capacity_runs(sizes, counts, 8)
+        assert shards.by_item(runs) == shards.least_capacity(alone, 8) and len(runs) <= 30 + 8 * 20
     assert shards.fewest_bins([30, 5, 4], 10) == [0, 1, 1]
     rows = shards.shard_by_capacity(odd, 5000).collect()
     assert len(rows) == odd.count()
@@ -302,10 +307,28 @@ def test_shards(spark, odd, empty):
     for s, b in zip(sizes, shards.least_capacity(sizes, 4), strict=True):
         load[b] += s
     assert max(load.values()) - min(load.values()) <= 3
-    got = Counter()
+    got, of = Counter(), defaultdict(Counter)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in shards.op3_sharding(spark, SF).collect():
         got[r.shard] += r.size
+        of[docs[r.doc_id]][r.shard] += r.size
     assert len(got) == 8 and max(got.values()) < 1.05 * min(got.values())
+    assert all(len(x) == 1 for x in of.values())
+    groups = sorted((sum(x.values()) for x in of.values()), reverse=True)
+    want = Counter()
+    for size, b in zip(groups, shards.least_capacity(groups, 8), strict=True):  # every group on its own
+        want[b] += size
+    assert got == want
+
+
+def test_shards_of_one_size(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "lpad(string(id % 4000), 9, '0') as text")
+    got, of = Counter(), defaultdict(set)
+    for r in shards.shard_documents(docs).collect():
+        got[r.shard] += r.size
+        of[r.doc_id % 4000].add(r.shard)
+    assert sorted(got) == list(range(8)) and all(len(x) == 1 for x in of.values())
+    assert sum(got.values()) == 50_000 and max(got.values()) - min(got.values()) <= 20
 
 
 # urls
