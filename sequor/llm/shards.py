@@ -151,7 +151,7 @@ def pack(rows: DataFrame, plan: Callable[[Sequence[int], Sequence[int]], list[Ru
     """doc_id, size, text_crc32, shard: groups of equal _key placed by plan(decreasing sizes, groups of each).
 
     The driver packs every group, but sees only the different sizes: n of them need n * (n + 1) / 2 bytes
-    of text, so 100 TB have 14 million at most and texts below a megabyte a million. Groups of one size
+    of text, so 100 TB have 14 million at most, and a million if no group has over a megabyte. Groups of one size
     are interchangeable; they take its runs in the order of their keys.
     """
     spark = rows.sparkSession
