@@ -9,10 +9,11 @@ from sequor.llm.quality import op1_quality_rules
 from sequor.llm.repeats import op5_substring_dedup, op7_suffix_dedup
 from sequor.llm.shards import op3_sharding
 from sequor.llm.simhash import op6_simhash
+from sequor.llm.spelling import op12_spelling_variants
 from sequor.llm.urls import op4_url_filter
 from sequor.llm.vectors import op2_embedding_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op4_url_filter, op5_substring_dedup, op6_simhash, op7_suffix_dedup, op8_html_extraction, op9_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op4_url_filter, op5_substring_dedup, op6_simhash, op7_suffix_dedup, op8_html_extraction, op9_packing, op10_sentencepiece, op12_spelling_variants)}
 
 ORACLE_SQL = {
     "op2_embedding_dedup": """
@@ -37,4 +38,22 @@ ORACLE_SQL = {
         r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        r AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY id, run),
+        h AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM r),
+        c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: strpos('123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + strpos('123456789ABCDEF', substr(x, 2 * i + 2, 1)))),
+            lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM h, crc),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        d AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+        one AS (SELECT DISTINCT word, n, k FROM d),
+        near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.k = b.k AND a.p = b.p AND a.word <> b.word
+            UNION ALL SELECT a.word, b.word, b.n FROM one a JOIN w b ON a.k = b.word UNION ALL SELECT b.word, a.word, a.n FROM one a JOIN w b ON a.k = b.word),
+        best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -m, other := other)) AS t FROM near GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -t.less >= 5 * w.n THEN t.other END AS form, CASE WHEN -t.less >= 5 * w.n THEN -t.less END AS form_n FROM w LEFT JOIN best USING (word)),
+        up AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.top WHERE f.form IS NOT NULL),
+        root AS (SELECT word, arg_max(top, step) AS root FROM up GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)""",
 }
