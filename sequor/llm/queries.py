@@ -10,10 +10,12 @@ from sequor.llm.repeats import op5_substring_dedup, op7_suffix_dedup
 from sequor.llm.shards import op3_sharding
 from sequor.llm.simhash import op6_simhash
 from sequor.llm.spelling import op12_spelling_variants
+from sequor.llm.toxicity import op13_toxicity
 from sequor.llm.urls import op4_url_filter
 from sequor.llm.vectors import op2_embedding_dedup
+from sequor.llm.whitening import op11_embedding_whitening
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op4_url_filter, op5_substring_dedup, op6_simhash, op7_suffix_dedup, op8_html_extraction, op9_packing, op10_sentencepiece, op12_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op4_url_filter, op5_substring_dedup, op6_simhash, op7_suffix_dedup, op8_html_extraction, op9_packing, op10_sentencepiece, op11_embedding_whitening, op12_spelling_variants, op13_toxicity)}
 
 ORACLE_SQL = {
     "op2_embedding_dedup": """
