@@ -110,16 +110,16 @@ def f16(s, d):
     return p.select("peak_id", F.array_join(intervals.parse_activity(F.col("a")).cast("array<string>"), "-").alias("targets"))
 
 
-@query("j1_overlap", with_views("peaks", "SELECT a.peak_id, b.peak_id AS b_peak_id FROM peaks a JOIN peaks b ON a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos WHERE a.target_idx = 0 AND b.target_idx = 1"))
+@query("j1_overlap", with_views("peaks", "SELECT a.peak_id, b.peak_id AS b_peak_id FROM peaks a JOIN peaks b ON a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos WHERE a.strand = '-' AND b.strand <> '-'"))
 def j1(s, d):
     p = fx.peaks(s, d)
-    return intervals.overlap_join(p.where("target_idx = 0"), p.where("target_idx = 1")).select("peak_id", "b_peak_id")
+    return intervals.overlap_join(p.where("strand = '-'"), p.where("strand <> '-'")).select("peak_id", "b_peak_id")
 
 
-@query("j2_anti", with_views("peaks", "SELECT peak_id, chrom, start_pos, end_pos FROM peaks a WHERE target_idx = 0 AND NOT EXISTS (SELECT 1 FROM peaks b WHERE b.target_idx = 1 AND a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos)"))
+@query("j2_anti", with_views("peaks", "SELECT peak_id, chrom, start_pos, end_pos FROM peaks a WHERE strand = '-' AND NOT EXISTS (SELECT 1 FROM peaks b WHERE b.strand <> '-' AND a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos)"))
 def j2(s, d):
     p = fx.peaks(s, d)
-    return intervals.intersect(p.where("target_idx = 0"), p.where("target_idx = 1"), "peak_id", nonoverlap=True).select(*BED)
+    return intervals.intersect(p.where("strand = '-'"), p.where("strand <> '-'"), "peak_id", nonoverlap=True).select(*BED)
 
 
 @query("w1_islands", with_views("peaks", "SELECT peak_id, chrom, CAST(max(nw) OVER (PARTITION BY chrom ORDER BY st, peak_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM o",
@@ -130,7 +130,27 @@ def w1(s, d):
     return intervals.islands(intervals.extend(fx.peaks(s, d), 200), 50, ["chrom"], ["peak_id"]).select("peak_id", "chrom", "island")
 
 
-@query("w2_greedy_merge")
+def greedy_sql(length: int, overlap: int, sized: bool) -> str:
+    """Regions about all peaks, merged one pair after another: the largest overlap of each island, the first on ties."""
+    moved = f"CASE WHEN s + {length} > size THEN CAST(size - {length} AS DOUBLE) ELSE s END"
+    mid = lambda x: f"trunc(({x}.s + {x}.e) / 2)"
+    a, b = "p[i]", "p[i + 1]"
+    middle = f"trunc(0.5 + ((1 + len({a}.a)) * {mid(a)} + (1 + len({b}.a)) * {mid(b)}) / (2 + len({a}.a) + len({b}.a)))"
+    start = f"greatest(0.0, {middle} - {length / 2})"
+    kept = f"CASE WHEN {start} + {length} > size THEN CAST(size - {length} AS DOUBLE) ELSE {start} END"
+    return with_views("peaks", "SELECT chrom, '+' AS strand, CAST(trunc(x.s) AS BIGINT) AS start_pos, CAST(trunc(x.e) AS BIGINT) AS end_pos, array_to_string(x.a, ',') AS activity FROM (SELECT chrom, unnest(p) AS x FROM step)",
+        SIZES if sized else "sizes AS (SELECT DISTINCT chrom, CAST(NULL AS BIGINT) AS length FROM peaks)",
+        f"base AS (SELECT chrom, length AS size, greatest(0.0, trunc((start_pos + end_pos) / 2) - {length / 2}) AS s, target_idx FROM peaks JOIN sizes USING (chrom))",
+        f"ext AS (SELECT chrom, size, CAST(trunc({moved}) AS BIGINT) AS s, CAST(trunc({moved} + {length}) AS BIGINT) AS e, target_idx FROM base)",
+        "reached AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ext)",
+        f"isl AS (SELECT *, max(CASE WHEN reach IS NULL OR reach - {overlap} <= s THEN s END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM reached)",
+        "whole AS (SELECT chrom, island, any_value(size) AS size, list(struct_pack(s := CAST(s AS DOUBLE), e := CAST(e AS DOUBLE), a := [target_idx]) ORDER BY s, e, target_idx) AS p FROM isl GROUP BY chrom, island)",
+        f"""step(chrom, island, size, p) USING KEY (chrom, island) AS (SELECT * FROM whole UNION
+        SELECT chrom, island, size, list_concat(p[:i - 1], [struct_pack(s := {kept}, e := {kept} + {length}, a := list_sort(list_distinct(list_concat({a}.a, {b}.a))))], p[i + 2:])
+        FROM (SELECT *, list_position(o, m) AS i FROM (SELECT *, list_max(o) AS m FROM (SELECT *, list_transform(range(1, len(p)), lambda k: p[k].e - p[k + 1].s) AS o FROM step WHERE len(p) > 1)) WHERE m >= {overlap}))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("w2_greedy_merge", greedy_sql(200, 50, True))
 def w2(s, d):
     return pipelines.multi_task(fx.peaks(s, d), 200, 50, sizes(s, d)).withColumn("activity", F.array_join(F.col("activity").cast("array<string>"), ","))
 
@@ -297,10 +317,10 @@ def w15(s, d):
     return split.by_count(fx.table(s, d, "documents").select("doc_id"), "doc_id", 0.1, 0.15, batch=16, seed=42).groupBy("split").agg(F.count_distinct("doc_id").alias("n"))
 
 
-@query("w11_union", with_views("peaks", "SELECT chrom, label, count(*) AS n FROM (SELECT chrom, 1 AS label FROM peaks WHERE target_idx = 0 UNION ALL SELECT chrom, 0 FROM peaks WHERE target_idx = 1) GROUP BY chrom, label"))
+@query("w11_union", with_views("peaks", "SELECT chrom, label, count(*) AS n FROM (SELECT chrom, 1 AS label FROM peaks WHERE strand = '-' UNION ALL SELECT chrom, 0 FROM peaks WHERE strand <> '-') GROUP BY chrom, label"))
 def w11(s, d):
     p = fx.peaks(s, d)
-    return p.where("target_idx = 0").withColumn("label", F.lit(1)).unionByName(p.where("target_idx = 1").withColumn("label", F.lit(0))).groupBy("chrom", "label").agg(F.count(F.lit(1)).alias("n"))
+    return p.where("strand = '-'").withColumn("label", F.lit(1)).unionByName(p.where("strand <> '-'").withColumn("label", F.lit(0))).groupBy("chrom", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w12_symmetric_difference", "SELECT doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")

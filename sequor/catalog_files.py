@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
-from sequor.catalog import ORACLE, PPM, TRUTH, WEIGHTS, encoded, f11_files, ppm, query
+from sequor.catalog import ORACLE, PPM, TRUTH, WEIGHTS, encoded, f11_files, greedy_sql, ppm, query
 from sequor.fixtures import with_views
 from sequor.functions import seq as sq
 from sequor.functions.models import Linear
@@ -243,9 +243,9 @@ def m8(s, d):
 # plans and streams
 
 
-@query("multi_task_dataset")
+@query("multi_task_dataset", greedy_sql(1000, 200, False))
 def multi_task(s, d):
-    """Regions merged over all targets; the greedy merge depends on order, which SQL can't express."""
+    """Regions merged over all targets."""
     return pipelines.multi_task(fx.peaks(s, d), 1000, 200).withColumn("activity", F.array_join(F.transform("activity", lambda x: x.cast("string")), ","))
 
 

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequor.operators.rank import ranked
+from sequor.session import shared_folder
+
 #: Width of the bins by which overlaps are joined; about the length of common intervals.
 BIN = 1024
+#: Each level of bins is so many times as wide as the one before; five levels reach over 10^9 letters.
+FAN, LEVELS = 32, 5
+#: Rows of one island that a task merges at once.
+BLOCK = 1 << 15
 #: Width of the stretches in which sorted passes run before their results are carried on.
 STRETCH = 1 << 16
 
@@ -73,22 +83,60 @@ def parse_activity(text: Column) -> Column:
     return F.when(text == ".", F.array().cast("array<int>")).otherwise(F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast("int")))
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    first, last = F.floor(F.col("start_pos") / width), F.floor((F.col("end_pos") - 1) / width)
-    return df.where("end_pos > start_pos").withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
+def _level(width: int) -> Column:
+    """The bin level of an interval: the first one whose bins are as wide as it is long."""
+    n = F.col("end_pos") - F.col("start_pos")
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(n <= width * FAN**k, F.lit(k)).otherwise(level)
+    return level
+
+
+def _levels(df: DataFrame, width: int) -> list[int]:
+    """The levels in use, LEVELS numbers at most."""
+    return sorted(r[0] for r in df.where("end_pos > start_pos").select(_level(width).alias("l")).distinct().collect())
+
+
+def _place(kind: int, place: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), place.alias("bin"))
+
+
+def _binned(df: DataFrame, width: int, roles: list[tuple[int, str, int]]) -> DataFrame:
+    """A row for each bin that the interval touches on its level or, of wider bins, on others.
+
+    roles: (role, comparison of a level with the interval's own, level).
+    """
+    parts = []
+    for role, compare, k in roles:
+        w = width * FAN**k
+        bins = F.sequence(F.floor(F.col("start_pos") / w), F.floor((F.col("end_pos") - 1) / w))
+        rows = F.transform(bins, functools.partial(_place, 2 * k + role))
+        parts.append(F.when(F.expr(f"{k} {compare} _level"), rows).otherwise(F.array().cast("array<struct<kind:int,bin:bigint>>")))
+    d = df.where("end_pos > start_pos").withColumn("_level", _level(width))
+    return d.withColumn("_at", F.explode(F.concat(*parts))).withColumns({"_kind": F.col("_at.kind"), "_bin": F.col("_at.bin")}).drop("_at", "_level")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     """Every pair of overlapping intervals of a chromosome; b's columns get the prefix b_.
 
-    Equi-join on (chrom, bin); a pair that shares several bins is kept in the first one, so no
-    distinct is needed. Empty intervals overlap nothing.
+    Bins have levels, each FAN times as wide as the one before, and an interval lies in the one or two bins of the first level that is as
+    wide as it is long. A pair meets on the level of the longer one: each side probes the wider levels that
+    the other has intervals on, so an interval of any length has at most two rows a level. A pair that shares two bins is
+    kept in the first one, so no distinct is needed. Empty intervals overlap nothing. Both sides are read once more
+    beforehand (two columns) for the levels in use.
     """
-    right = _binned(b, width)
-    right = right.select(*(F.col(c).alias(c if c in ("chrom", "_bin") else f"b_{c}") for c in right.columns))
-    d = _binned(a, width).join(right, ["chrom", "_bin"])
-    ok = (F.col("start_pos") < F.col("b_end_pos")) & (F.col("b_start_pos") < F.col("end_pos")) & (F.col("_bin") == F.greatest("_first", "b__first"))
-    return d.where(ok).drop("_bin", "_first", "b__first")
+    of_a, of_b = _levels(a, width), _levels(b, width)
+    if not of_a or not of_b:
+        of_a = of_b = [0]
+    # Kind 0 of a level: a's own intervals with b's shorter or equal ones. Kind 1: b's own with a's shorter ones.
+    left = _binned(a, width, [(0, "=", k) for k in of_a] + [(1, ">", k) for k in of_b])
+    right = _binned(b, width, [(0, ">=", k) for k in of_a] + [(1, "=", k) for k in of_b])
+    right = right.select(*(F.col(c).alias(c if c in ("chrom", "_kind", "_bin") else f"b_{c}") for c in right.columns))
+    d = left.join(right, ["chrom", "_kind", "_bin"])
+    wide = F.element_at(F.array(*(F.lit(width * FAN**k) for k in range(LEVELS))), F.floor(F.col("_kind") / 2).cast("int") + 1)
+    first = F.floor(F.greatest("start_pos", "b_start_pos") / wide)
+    ok = (F.col("start_pos") < F.col("b_end_pos")) & (F.col("b_start_pos") < F.col("end_pos")) & (F.col("_bin") == first)
+    return d.where(ok).drop("_kind", "_bin")
 
 
 def intersect(a: DataFrame, b: DataFrame, id_col: str, nonoverlap: bool = False, width: int = BIN) -> DataFrame:
@@ -135,57 +183,121 @@ def merge_at_once(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
     return g.select(*keys, start.cast("long").alias("start_pos"), (start + length).cast("long").alias("end_pos"), "activity")
 
 
-def greedy_merge_island(peaks: list[tuple[float, float, frozenset[int]]], length: int, overlap: float, size: float | None) -> list[tuple[float, float, frozenset[int]]]:
+Region = tuple[float, float, frozenset[int]]
+
+
+def merge_two(a: Region, b: Region, length: int, size: float | None) -> Region:
+    """The region of `length` about the mean of both midpoints, weighted by 1 + number of targets, kept in the chromosome."""
+    wa, wb = 1 + len(a[2]), 1 + len(b[2])
+    mid = int(0.5 + (wa * int((a[0] + a[1]) / 2) + wb * int((b[0] + b[1]) / 2)) / (wa + wb))
+    start = max(0.0, mid - length / 2)
+    end = start + length
+    if size is not None and end > size:
+        start, end = size - length, size
+    return start, end, a[2] | b[2]
+
+
+def greedy_merge_block(peaks: list[Region], length: int, overlap: float, size: float | None, before: tuple[float, float] | None = None, after: tuple[float, float] | None = None) -> tuple[list[tuple[int, Region]], bool]:
     """Merge the neighbours that overlap most, the first on ties, while they overlap by at least `overlap`.
 
     The merged region takes the left one's place in a linked list; a heap holds the overlaps, and those of
     regions that have changed since are passed over.
+
+    The peaks may be a block of an island. before: the largest end and midpoint of the regions in front of it, after: the smallest
+    start and midpoint of those behind it, None if there are none. Midpoints of merged regions lie between those of their parts, so
+    these bound how far anything from outside, merged or not, can ever reach into the block. A merge is done only if
+    no such region could come first in the whole island's order; else the outermost region is given up to the outside and
+    bounds the rest. A merged region that could overlap with the outside by more than was merged for would come
+    too early for the regions there, and ends the block's turn; with regions of one length that is rare, with others it is common.
+    Returns (place, region) of what is left, and whether anything may be left to merge.
     """
     out: list = list(peaks)
     n = len(out)
     left, right, version = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
     heap: list[tuple] = []
+    low, high = 0, n - 1  # regions in front of low and behind high belong to the outside
+    reach = back = None  # the largest end of anything in front of low, the smallest start of anything behind high
+
+    def forward(end: float, mid: float) -> float:
+        return max(end, mid + length / 2, length)
+
+    def backward(start: float, mid: float) -> float:
+        return min(start, mid - length / 2, start if size is None else size - length - 1)
+
+    middle = [int((x[0] + x[1]) / 2) for x in peaks]
+    front, behind = [], []  # bounds for anything in front of, or behind, each place
+    if before:
+        reach = forward(*before)
+        front = list(itertools.accumulate((forward(x[1], m) for x, m in zip(peaks, middle, strict=True)), max, initial=reach))
+    if after:
+        back = backward(*after)
+        behind = list(itertools.accumulate((backward(x[0], m) for x, m in zip(peaks[::-1], middle[::-1], strict=True)), min, initial=back))[::-1]
 
     def push(k: int) -> None:
         if 0 <= k and right[k] < n:
-            reach = out[k][1] - out[right[k]][0]
-            if reach >= overlap:
-                heapq.heappush(heap, (-reach, k, version[k], right[k], version[right[k]]))
+            beyond = out[k][1] - out[right[k]][0]
+            if beyond >= overlap:
+                heapq.heappush(heap, (-beyond, k, version[k], right[k], version[right[k]]))
 
     for k in range(n - 1):
         push(k)
+    pending, lowest = False, math.inf
     while heap:
-        _, k, vk, j, vj = heapq.heappop(heap)
+        o, k, vk, j, vj = heap[0]
         if out[k] is None or out[j] is None or version[k] != vk or version[j] != vj or right[k] != j:
-            continue
-        a, b = out[k], out[j]
-        wa, wb = 1 + len(a[2]), 1 + len(b[2])
-        mid = int(0.5 + (wa * int((a[0] + a[1]) / 2) + wb * int((b[0] + b[1]) / 2)) / (wa + wb))
-        start = max(0.0, mid - length / 2)
-        end = start + length
-        if size is not None and end > size:
-            start, end = size - length, size
-        out[k], out[j] = (start, end, a[2] | b[2]), None
-        version[k] += 1
-        right[k] = right[j]
-        if right[j] < n:
-            left[right[j]] = k
-        push(left[k])
-        push(k)
-    return [x for x in out if x is not None]
-
-
-def greedy_merge(df: DataFrame, length: int, overlap: int, by: list[str], sizes: DataFrame | None = None) -> DataFrame:
-    """Regions (by.., start_pos, end_pos, activity) merged within islands.
-
-    Order-dependent, so islands of two and more go to a Python function, many rows of one island each
-    in a batch; an island is short, unlike a chromosome. Single intervals pass by.
+            heapq.heappop(heap)
+        elif k < low or j > high:
+            pending = True
+            heapq.heappop(heap)
+        elif reach is not None and -o <= reach - out[low][0]:
+            reach = max(reach, forward(out[low][1], int((out[low][0] + out[low][1]) / 2)))
+            low, pending = right[low], True
+        elif back is not None and -o < out[high][1] - back:
+            back = min(back, backward(out[high][0], int((out[high][0] + out[high][1]) / 2)))
+            high, pending = left[high], True
+        else:
+            new, lowest = merge_two(out[k], out[j], length, size), min(lowest, -o)
+            if (before and front[k] - new[0] > lowest) or (after and new[1] - behind[right[j]] > lowest):
+                pending = True
+                break
+            heapq.heappop(heap)
+            out[k], out[j] = new, None
+            version[k] += 1
+            right[k] = right[j]
+            if right[j] < n:
+                left[right[j]] = k
+            if j == high:
+                high = k
+            push(left[k])
+            push(k)
+    live = [(k, x) for k, x in enumerate(out) if x is not None]
+    if live and reach is not None:
+        pending |= low >= n or reach - out[low][0] >= overlap
+    if live and back is not None:
+        pending |= high < 0 or out[high][1] - back >= overlap
+    return live, pending
+
+
+def greedy_merge_island(peaks: list[Region], length: int, overlap: float, size: float | None) -> list[Region]:
+    """A whole island of greedy_merge_block."""
+    return [x for _, x in greedy_merge_block(peaks, length, overlap, size)[0]]
+
+
+def greedy_merge(df: DataFrame, length: int, overlap: int, by: list[str], sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Regions (by.., start_pos, end_pos, activity) merged within islands, in the order that greedy_merge_block states.
+
+    Islands of up to `block` regions go whole to a Python function, many in a batch; single intervals pass by. Larger
+    ones are merged in rounds of blocks (merge_large_islands). sizes: (chrom, length), a row a chromosome. Starts are 0 or more.
     """
-    d = df.withColumn("length", F.lit(None).cast("long")) if sizes is None else df.join(F.broadcast(sizes.select("chrom", F.col("length").cast("long").alias("length"))), "chrom", "left")
-    d = islands(d, overlap, by, ["end_pos"])
+    shared_folder(df.sparkSession)
+    d = df.withColumn("length", F.lit(None).cast("long")) if sizes is None else df.join(sizes.select("chrom", F.col("length").cast("long").alias("length")), "chrom", "left")
+    d = islands(d.select(*by, "start_pos", "end_pos", F.array_sort("activity").alias("activity"), "length"), overlap, by, ["end_pos"]).checkpoint()
     keys = [*by, "island"]
     schema = d.select(*by, "start_pos", "end_pos", "activity").schema
-    grouped = d.groupBy(*keys).agg(F.max("length").alias("_len"), F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", F.array_sort("activity").alias("activity")))).alias("_peaks"))
+    large = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys).checkpoint()
+    none = large.isEmpty()
+    small = d if none else d.join(large, keys, "left_anti")
+    grouped = small.groupBy(*keys).agg(F.max("length").alias("_len"), F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "activity"))).alias("_peaks"))
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
@@ -196,7 +308,87 @@ def greedy_merge(df: DataFrame, length: int, overlap: int, by: list[str], sizes:
             yield pd.DataFrame(rows, columns=schema.names)
 
     one = grouped.where("size(_peaks) = 1").select(*by, F.col("_peaks")[0]["start_pos"].alias("start_pos"), F.col("_peaks")[0]["end_pos"].alias("end_pos"), F.col("_peaks")[0]["activity"].alias("activity"))
-    return one.unionByName(grouped.where("size(_peaks) > 1").select(*by, "_len", "_peaks").mapInPandas(merge, schema))
+    out = one.unionByName(grouped.where("size(_peaks) > 1").select(*by, "_len", "_peaks").mapInPandas(merge, schema))
+    return out if none else out.unionByName(merge_large_islands(d.join(large, keys, "left_semi"), length, overlap, keys, block).select(*schema.names))
+
+
+def merge_large_islands(d: DataFrame, length: int, overlap: int, keys: list[str], block: int) -> DataFrame:
+    """The greedy merge of islands (keys) that no task should hold: d(keys.., start_pos, end_pos, activity, length).
+
+    A round numbers the regions along the genome, cuts them into blocks of `block` and merges each block as far as nothing outside it can
+    interfere; for that, the ends and midpoints before and behind a block come from a table with a row for each island and block.
+    Islands in which nothing is left to merge leave; for the others the next round's blocks are cut
+    half a block further. Regions shrink with every merge, and an island that fits into a block is done. If a round
+    merges nothing, the largest overlap of each island is merged, which is always right.
+    """
+    names = [*keys, "start_pos", "end_pos", "activity", "length"]
+    doubles = {"start_pos": F.col("start_pos").cast("double"), "end_pos": F.col("end_pos").cast("double")}
+    rest = ranked(d.select(*names).withColumns(doubles), [*keys, "start_pos", "end_pos", "activity"], "place")
+    done: list[DataFrame] = []
+    many, shift, idle = rest.count(), 0, 0
+    while many:
+        rest = rest.withColumn("_block", F.floor((F.col("place") + (shift * (block // 2))) / block)).checkpoint()
+        mid = F.floor((F.col("start_pos") + F.col("end_pos")) / 2)
+        table = rest.groupBy(*keys, "_block").agg(F.max("end_pos").alias("_e"), F.max(mid).alias("_m"), F.min("start_pos").alias("_s"), F.min(mid).alias("_l"))
+        w = Window.partitionBy(*keys).orderBy("_block")
+        past, next_ = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+        table = table.select(*keys, "_block", F.max("_e").over(past).alias("_be"), F.max("_m").over(past).alias("_bm"), F.min("_s").over(next_).alias("_as"), F.min("_l").over(next_).alias("_am"))
+        joined = rest.join(table, [*keys, "_block"])
+        schema = joined.select(*names, "place").withColumn("_open", F.lit(True)).schema
+
+        def merge(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("place", kind="stable")
+            rows = []
+            for head, g in p.groupby(keys, sort=False):
+                peaks = [(s, e, frozenset(a)) for s, e, a in zip(g["start_pos"], g["end_pos"], g["activity"], strict=True)]
+                f = g.iloc[0]
+                size = None if pd.isna(f["length"]) else float(f["length"])
+                before = None if pd.isna(f["_be"]) else (float(f["_be"]), float(f["_bm"]))
+                after = None if pd.isna(f["_as"]) else (float(f["_as"]), float(f["_am"]))
+                kept, pending = greedy_merge_block(peaks, length, overlap, size, before, after)
+                rows += [(*head, s, e, sorted(a), f["length"], g["place"].iat[k], pending) for k, (s, e, a) in kept]
+            got = pd.DataFrame(rows, columns=schema.names)
+            return got.astype({"length": "Int64"})
+
+        merged = joined.groupBy("_block").applyInPandas(merge, schema).checkpoint()
+        now = merged.count()
+        pending = merged.where("_open").select(*keys).distinct().checkpoint()
+        done.append(merged.join(pending, keys, "left_anti").select(*names))
+        rest = ranked(merged.join(pending, keys, "left_semi").drop("_open"), ["place"], "_next").withColumn("place", F.col("_next")).drop("_next").checkpoint()
+        idle = idle + 1 if now == many else 0
+        many, shift = rest.count(), 1 - shift
+        if idle > 1 and many:
+            closest = _closest(rest, keys, overlap)
+            done.append(rest.join(closest.select(*keys), keys, "left_anti").select(*names))
+            rest = _merge_closest(rest.join(closest.select(*keys), keys, "left_semi"), closest, length, keys).checkpoint()
+            many, idle = rest.count(), 0
+    out = done[0].unionByName(d.select(*names).where("false")) if done else d.select(*names)
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.withColumns({"start_pos": F.col("start_pos").cast("long"), "end_pos": F.col("end_pos").cast("long")})
+
+
+def _closest(rest: DataFrame, keys: list[str], overlap: int) -> DataFrame:
+    """keys.., at: the place of the first of each island's pairs of neighbours with the largest overlap, if that is at least `overlap`."""
+    after = rest.select(*keys, (F.col("place") - 1).alias("place"), F.col("start_pos").alias("_s"))
+    beyond = F.col("end_pos") - F.col("_s")
+    return rest.join(after, [*keys, "place"]).where(beyond >= overlap).groupBy(*keys).agg((-F.max(F.struct(beyond, -F.col("place")))["col2"]).alias("at")).checkpoint()
+
+
+def _merge_closest(rest: DataFrame, closest: DataFrame, length: int, keys: list[str]) -> DataFrame:
+    """rest with the regions at `at` and behind it merged in each island."""
+    d = rest.join(closest, keys)
+    pair = d.where("place between at and at + 1").groupBy(*keys, "at", "length").agg(F.array_sort(F.collect_list(F.struct("place", "start_pos", "end_pos", "activity"))).alias("p"))
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = []
+            for (a, b), size in zip(f["p"], f["length"], strict=True):
+                s, e, act = merge_two(*((x["start_pos"], x["end_pos"], frozenset(x["activity"])) for x in (a, b)), length, None if pd.isna(size) else float(size))
+                got.append((s, e, sorted(act)))
+            yield f.drop(columns="p").assign(start_pos=[x[0] for x in got], end_pos=[x[1] for x in got], activity=[x[2] for x in got], place=f["at"]).astype({"length": "Int64"})[rest.columns]
+
+    return d.where("place not between at and at + 1").select(*rest.columns).unionByName(pair.mapInPandas(merge, rest.schema))
 
 
 def activity_row(n_targets: int, activity: Column) -> Column:
