@@ -145,10 +145,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that pass, with all their columns. The texts are read twice: to fit, to filter."""
+    """The documents that pass, with all their columns, of whatever names. The texts are read twice: to fit, to filter."""
     prepare(docs.sparkSession)
     posterior = fit(measures(docs.select(F.col(text_col).alias("_text")), "_text").drop("_text"))
-    return measures(docs, text_col).where((m("row") >= 0) & ~base_failed() & (posterior >= threshold)).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return measures(whole, "_text").where((m("row") >= 0) & ~base_failed() & (posterior >= threshold)).select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sequor.llm.common import WORDS, Stash, join_counted, prepare, release, whole_groups
+from sequor.llm.common import WORDS, Stash, fresh, join_counted, prepare, release, whole_groups
 
 FIND = re.compile(WORDS).findall
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -633,13 +633,14 @@ def without_spans(text: str, found: Found) -> str:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The documents with repeated 200-byte strings taken out of their texts, all columns kept.
+    """The documents with repeated 200-byte strings taken out of their texts, all columns, of whatever names, kept.
 
-    A null text stays null. chars_col, if there, is set to the new length of changed texts.
+    Ids are integers or null; a null text stays null. chars_col, if there, is set to the new length of changed texts.
     """
     prepare(docs.sparkSession)
     found, _ = repeated_stretches(keyed(docs, id_col, text_col), Bytes, False)
-    d = docs.withColumn("_sq_doc", doc_key(id_col, text_col)).join(found.select(F.col("doc").alias("_sq_doc"), F.col("found").alias("_sq_found")), "_sq_doc", "left")
+    key, hit = fresh(docs, "_sq_doc"), fresh(docs, "_sq_found")
+    d = docs.withColumn(key, doc_key(id_col, text_col)).join(found.select(F.col("doc").alias(key), F.col("found").alias(hit)), key, "left")
     names = docs.columns
     at = names.index(text_col)
 
@@ -656,7 +657,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols[k] = pa.array([len(t) if t is not None and len(f["start"]) else n for t, f, n in zip(new, found, old, strict=True)], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return d.select(*names, "_sq_found").mapInArrow(run, docs.schema)
+    return d.select(*names, hit).mapInArrow(run, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sequor.llm.common import WORDS, blocked, connected_components, cut, prepare, unite, whole_groups
+from sequor.llm.common import WORDS, blocked, connected_components, cut, fresh, prepare, unite, whole_groups
 
 #: Rows of one bucket that one task compares; larger buckets are split into blocks.
 BLOCK = 20_000
@@ -348,7 +348,7 @@ NEAR = {"shingle": 5, "words64": 4, "half": 8, "distance": 51, "least": 0.8}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near copies the row with the smallest id (of these, the least text hash), with all columns.
+    """Of each group of near copies the row with the smallest id (of these, the least text hash), with all columns of whatever names.
 
     Rows that repeat an id and text count once; rows of one id with texts of different groups all stay. Rows with a null id can't be named and stay.
     """
@@ -359,7 +359,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key, names = ["doc_id", "_h"], [f"f{k}" for k in range(words64)]
     rows = cut(with_fingerprints(d, "_t", key, shingle, words64, True))
     found = near_copies(rows, d, key, names, shingle, **near)
-    stay = found.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k._h").alias("_sq_hash"))
-    first = Window.partitionBy(id_col, "_sq_hash").orderBy(F.lit(0))
-    kept = docs.withColumn("_sq_hash", F.xxhash64(text_col)).join(stay, [id_col, "_sq_hash"], "left_semi").withColumn("_sq_row", F.row_number().over(first)).where("_sq_row = 1")
+    hashed, number = fresh(docs, "_sq_hash"), fresh(docs, "_sq_row")
+    stay = found.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k._h").alias(hashed))
+    first = Window.partitionBy(id_col, hashed).orderBy(F.lit(0))
+    kept = docs.withColumn(hashed, F.xxhash64(text_col)).join(stay, [id_col, hashed], "left_semi").withColumn(number, F.row_number().over(first)).where(F.col(number) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

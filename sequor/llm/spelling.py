@@ -70,7 +70,7 @@ def _keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Row, key, first and last place of each distinct deletion of words of one length, a word a row."""
     k, n = codes.shape
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]), dtype=np.uint64)
+        power = _powers(n)
         prefix = np.zeros((k, n + 1), np.uint64)
         np.cumsum((codes + np.uint64(1)) * power, axis=1, out=prefix[:, 1:])
         gone = prefix[:, :-1] + (prefix[:, -1:] - prefix[:, 1:]) * INVERSE
@@ -82,6 +82,11 @@ def _keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, _mix(gone[row, lo], n - 1), lo, hi
 
 
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, BASE)), dtype=np.uint64)[:n]
+
+
 def _mix(x: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x + np.uint64(n) * BASE
@@ -93,7 +98,7 @@ def _mix(x: np.ndarray, n: int) -> np.ndarray:
 def _own(codes: np.ndarray) -> np.ndarray:
     k, n = codes.shape
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]), dtype=np.uint64)
+        power = _powers(n)
         return _mix(((codes + np.uint64(1)) * power).sum(1, dtype=np.uint64), n)
 
 
@@ -107,12 +112,12 @@ def deletion_keys(words: DataFrame) -> DataFrame:
         for b in batches:
             ids, text = b.column("id").to_numpy(), np.array(b.column("word").to_pylist(), object)
             length = np.array([len(w) for w in text])
-            for n in np.unique(length[length > 0]):
+            for n in np.unique(length):
                 group = np.flatnonzero(length == n)
-                for at in range(0, len(group), step := max(1, BLOCK // int(n))):
+                for at in range(0, len(group), step := max(1, BLOCK // max(1, int(n)))):
                     g = group[at : at + step]
                     codes = np.frombuffer("".join(text[g]).encode("utf-32-le"), np.uint32).reshape(len(g), n).astype(np.uint64)
-                    row, key, lo, hi = _keys(codes)
+                    row, key, lo, hi = _keys(codes) if n else (np.zeros(0, np.int64),) * 4
                     none = np.full(len(g), -1, np.int32)
                     columns = (np.concatenate([_own(codes), key]), np.concatenate([ids[g], ids[g][row]]), np.concatenate([none, lo.astype(np.int32)]), np.concatenate([none, hi.astype(np.int32)]))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "lo", "hi"])
