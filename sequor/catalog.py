@@ -165,10 +165,7 @@ def w3(s, d):
 
 @query("w4_sort", with_views("peaks", "SELECT peak_id, chrom, CAST(row_number() OVER (PARTITION BY chrom, strand ORDER BY start_pos, end_pos, peak_id) AS BIGINT) AS place FROM peaks"))
 def w4(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom", "strand").orderBy("start_pos", "end_pos", "peak_id")
-    return fx.peaks(s, d).select("peak_id", "chrom", F.row_number().over(w).cast("long").alias("place"))
+    return intervals.sort_places(fx.peaks(s, d), ["chrom", "strand"], ["start_pos", "end_pos", "peak_id"]).select("peak_id", "chrom", "place")
 
 
 @query("k3_activity_matrix", with_views("peaks", "SELECT region || chr(9) || array_to_string(list_transform(range(0, 7), lambda i: CASE WHEN list_contains(acts, i) THEN '1' ELSE '0' END), chr(9)) AS value FROM (SELECT chrom || ':' || (start_pos // 1000 * 1000) || '-' || (start_pos // 1000 * 1000 + 1000) || '(+)' AS region, list(DISTINCT target_idx) AS acts FROM peaks GROUP BY 1)"))
@@ -256,7 +253,7 @@ def s10(s, d):
 
 @query("j3_get_sequences", with_views("near genome", f"SELECT peak_id, CASE WHEN strand = '-' THEN {RC} ELSE seq END AS seq FROM g", "g AS (SELECT peak_id, strand, substr(seq, start_pos + 1, end_pos - start_pos) AS seq FROM near JOIN genome USING (chrom) WHERE end_pos <= length(seq))"))
 def j3(s, d):
-    return genome.get_sequences(fx.near_peaks(s, d), genome.tile(fx.genome(s, d), 2048, 1150), "peak_id", 2048, reach=1150).select("peak_id", "seq")
+    return genome.get_sequences(fx.near_peaks(s, d), fx.tiles(s, d, 2048, 1150), "peak_id", 2048, reach=1150).select("peak_id", "seq")
 
 
 @query("j4_align", with_views("seqs", "SELECT s.seq_id, seq, quality FROM seqs s JOIN labels l ON s.seq_id = l.doc_id"))
@@ -618,9 +615,9 @@ def m4(s, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Target 0 against target 1 as background: a labelled, GC-matched dataset with its split."""
+    """Peaks on the reverse strand against the others as background: a labelled, GC-matched dataset with its split."""
     p = fx.near_peaks(spark, d)
-    x = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), genome.tile(fx.genome(spark, d), 512, 128), "peak_id", 100, 1000, width=512, reach=128)
+    x = pipelines.single_task(p.where("strand = '-'"), p.where("strand <> '-'"), fx.tiles(spark, d, 512, 128), "peak_id", 100, 1000, width=512, reach=128)
     return pipelines.split_by_chromosome(x, ["chr2"], ["chr3", "chr4"]).select("peak_id", "chrom", "start_pos", "end_pos", "gc", "label", "split")
 
 
@@ -629,7 +626,7 @@ SINGLE = with_views("near genome", """SELECT peak_id, chrom, start_pos, end_pos,
     "r AS (SELECT peak_id, chrom, target_idx, end_pos - start_pos AS n, start_pos AS s0, end_pos AS e0, strand, CAST(round_even((start_pos + end_pos) / 2, 0) AS BIGINT) - 50 AS start_pos, CAST(round_even((start_pos + end_pos) / 2, 0) AS BIGINT) + 50 AS end_pos FROM near)",
     "q AS (SELECT r.*, substr(seq, start_pos + 1, 100) AS w FROM r JOIN genome USING (chrom) WHERE start_pos >= 0 AND end_pos <= length(seq) AND NOT contains(substr(seq, start_pos + 1, 100), 'N'))",
     "g AS (SELECT *, CAST(length(regexp_replace(CASE WHEN strand = '-' THEN reverse(translate(w, 'ACGT', 'TGCA')) ELSE w END, '[^CG]', '', 'g')) AS INT) AS gc FROM q)",
-    "pos AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE target_idx = 0 AND n < 1000)",
-    "neg AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE target_idx = 1 AND NOT EXISTS (SELECT 1 FROM near b WHERE b.target_idx = 0 AND b.chrom = g.chrom AND b.start_pos < g.e0 AND g.s0 < b.end_pos))",
+    "pos AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE strand = '-' AND n < 1000)",
+    "neg AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE strand <> '-' AND NOT EXISTS (SELECT 1 FROM near b WHERE b.strand = '-' AND b.chrom = g.chrom AND b.start_pos < g.e0 AND g.s0 < b.end_pos))",
     "byg AS (SELECT gc, min(peak_id) AS m FROM neg GROUP BY gc)")
 query("single_task_dataset", SINGLE)(flagship)

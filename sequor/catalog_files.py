@@ -68,15 +68,18 @@ def s3(s, d):
 @query("s3_genome_tiles", with_views("genome", "SELECT chrom, CAST(t AS INT) AS tile, substr(seq, t * 512 + 1, 512) AS part FROM (SELECT chrom, seq, UNNEST(range(0, (length(seq) + 511) // 512)) AS t FROM genome)"))
 def s3_genome(s, d):
     at = place(s, "genome.fa")
-    lines = F.concat_ws("\n", F.concat(F.lit(">"), "chrom", F.lit(" x")), F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n"))
-    fx.genome(s, d).select(lines).write.text(at)
+    head = F.when(F.col("tile") == 0, F.concat(F.lit(">"), "chrom", F.lit(" x")))
+    lines = F.concat_ws("\n", head, F.array_join(F.regexp_extract_all("part", F.lit(".{1,60}"), F.lit(0)), "\n"))
+    fx.tiles(s, d, 4800).repartition("chrom").sortWithinPartitions("chrom", "tile").select(lines).write.text(at)
     return text.read_genome(s, at, 512)
 
 
 @query("s4_fasta_last", with_views("seq40", "SELECT CAST(seq_id % 50 AS VARCHAR) AS name, arg_max(seq, seq_id) AS seq FROM seq40 GROUP BY 1"))
 def s4(s, d):
     x = fx.seq40(s, d).withColumn("name", (F.col("seq_id") % 50).cast("string")).select("seq_id", fasta())
-    return text.last_by_name(text.read_fasta(s, one_file(x, place(s, "a.fa"), "seq_id"))).select("name", "seq")
+    at = place(s, "a.fa")
+    x.repartitionByRange("seq_id").sortWithinPartitions("seq_id").select("value").write.text(at)
+    return text.last_by_name(text.read_fasta(s, at)).select("name", "seq")
 
 
 @query("s5_k4_metadata", with_views("metadata", "SELECT experiment, assembly, file_type, file, lab, CAST(row_no AS VARCHAR) AS row_no FROM metadata"))
@@ -95,7 +98,8 @@ def s6(s, d):
 @query("s7_chrom_sizes", with_views("genome", "SELECT chrom, length(seq) AS length FROM genome"))
 def s7(s, d):
     at = place(s, "chrom.sizes")
-    fx.genome(s, d).select(F.concat_ws("\t", "chrom", F.length("seq").cast("string")).alias("value")).write.text(at)
+    sizes = fx.pieces(s, d).groupBy("chrom").agg(F.sum(F.length("seq")).cast("string").alias("n"))
+    sizes.select(F.concat_ws("\t", "chrom", "n").alias("value")).write.text(at)
     return text.read_chrom_sizes(s, at)
 
 
@@ -164,9 +168,11 @@ def k9(s, d):
     return text.read_metadata(s, at).select("file", "row_no")
 
 
-@query("m17_motif_catalog", f"WITH {TRUTH} SELECT motif, target_id FROM truth")
+@query("m17_motif_catalog", with_views("hits", "SELECT target_id, motif, count(*) AS n FROM hits LEFT JOIN truth USING (target_id) GROUP BY target_id, motif", TRUTH))
 def m17(s, d):
-    return motif.ground_truth(s).select("motif", "target_id")
+    """The catalog's motif of every matrix that is hit, null if it has none, and the number of hits."""
+    known = motif.ground_truth(s).select("target_id", "motif")
+    return fx.hits(s, d).join(F.broadcast(known), "target_id", "left").groupBy("target_id", "motif").agg(F.count(F.lit(1)).alias("n"))
 
 
 # random operations

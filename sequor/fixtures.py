@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sequor.operators.genome import tile_pieces
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -37,22 +39,26 @@ def seqs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seq40(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    """seq_id, seq: all letters of the sequences as consecutive windows of 40, the last one filled up with N.
+    """seq_id, seq: all letters of the sequences as consecutive windows of 40, the last one filled up with A.
 
     seq_id: the document's times WINDOWS, and the window's number. more: further columns of documents.
     """
     docs = table(spark, d, "documents")
     x = letters(docs, *more).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 40).cast("int")))).where("length(seq) > 0")
-    return x.select((F.col("seq_id") * WINDOWS + F.col("k")).alias("seq_id"), F.rpad(F.substr("seq", F.col("k") * 40 + 1, F.lit(40)), 40, "N").alias("seq"), *more)
+    return x.select((F.col("seq_id") * WINDOWS + F.col("k")).alias("seq_id"), F.rpad(F.substr("seq", F.col("k") * 40 + 1, F.lit(40)), 40, "A").alias("seq"), *more)
 
 
 def chrom_of(seq_id: F.Column) -> F.Column:
     return F.concat(F.lit("chr"), (seq_id % 22 + 1).cast("string"))
 
 
-def genome(spark: SparkSession, d: str) -> DataFrame:
-    g = seqs(spark, d).groupBy(chrom_of(F.col("seq_id")).alias("chrom")).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("s"))
-    return g.select("chrom", F.array_join(F.transform("s", lambda x: x["seq"]), "").alias("seq"))
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """chrom, seq_id, seq: the sequences that a derived chromosome is made of, along seq_id."""
+    return seqs(spark, d).select(chrom_of(F.col("seq_id")).alias("chrom"), "seq_id", "seq")
+
+
+def tiles(spark: SparkSession, d: str, width: int, reach: int = 0) -> DataFrame:
+    return tile_pieces(pieces(spark, d), "seq_id", width, reach)
 
 
 def near_peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +108,7 @@ SQL = {
         l_partkey * 97 + (l_orderkey * 131) % 50000 + CAST(l_quantity * 23 AS BIGINT) AS end_pos,
         CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '.' ELSE '+' END AS strand, CAST(l_linenumber - 1 AS INT) AS target_idx FROM lineitem)""",
     "seqs": "seqs AS (SELECT doc_id AS seq_id, replace(regexp_replace(upper(text), '[^ACGTZ]', '', 'g'), 'Z', 'N') AS seq FROM documents)",
-    "seq40": f"seq40 AS (SELECT seq_id * {WINDOWS} + k AS seq_id, rpad(substr(seq, CAST(k * 40 + 1 AS BIGINT), 40), 40, 'N') AS seq FROM (SELECT seq_id, seq, UNNEST(range(0, (length(seq) + 39) // 40)) AS k FROM seqs))",
+    "seq40": f"seq40 AS (SELECT seq_id * {WINDOWS} + k AS seq_id, rpad(substr(seq, CAST(k * 40 + 1 AS BIGINT), 40), 40, 'A') AS seq FROM (SELECT seq_id, seq, UNNEST(range(0, (length(seq) + 39) // 40)) AS k FROM seqs))",
     "genome": "genome AS (SELECT 'chr' || (seq_id % 22 + 1) AS chrom, string_agg(seq, '' ORDER BY seq_id) AS seq FROM seqs GROUP BY 1)",
     "near": "near AS (SELECT peak_id, chrom, start_pos % length(seq) AS start_pos, start_pos % length(seq) + end_pos - start_pos AS end_pos, strand, target_idx FROM peaks JOIN genome USING (chrom) WHERE length(seq) > 0)",
     "preds": "preds AS (SELECT doc_id, quality, toxic, (n_chars % 1000) / 1000 AS score FROM labels JOIN documents USING (doc_id))",

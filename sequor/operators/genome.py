@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequor.functions.seq import reverse_complement
+from sequor.operators.rank import running_total
 
 TILE = 1 << 16
 
@@ -22,6 +23,21 @@ def tile(genome: DataFrame, width: int = TILE, reach: int = 0) -> DataFrame:
     return d.select("chrom", F.posexplode(F.transform("_p", more) if reach else F.col("_p")).alias("tile", "part"))
 
 
+def tile_pieces(pieces: DataFrame, order: str, width: int = TILE, reach: int = 0) -> DataFrame:
+    """(chrom, tile, part) as tile gives them, of chromosomes that are many pieces: (chrom, order, seq), one after another along order.
+
+    Pieces find their places by a running total of lengths, and each tile is put together from the pieces in it; no row or task holds
+    a chromosome. order tells the pieces of a chromosome apart. A piece is cut where tiles end, so it should not be much longer than one.
+    """
+    d = running_total(pieces.select("chrom", order, "seq", F.length("seq").cast("long").alias("_n")).where("_n > 0"), ["chrom"], [order], "_n", "_at")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("_at") - reach) / width)), F.floor((F.col("_at") + F.col("_n") - 1) / width)
+    d = d.withColumn("tile", F.explode(F.sequence(first, last)))
+    low, high = F.greatest(F.col("_at"), F.col("tile") * width), F.least(F.col("_at") + F.col("_n"), (F.col("tile") + 1) * width + reach)
+    d = d.where(low < high).select("chrom", F.col("tile").cast("int").alias("tile"), low.alias("_low"), F.substr("seq", (low - F.col("_at") + 1).cast("int"), (high - low).cast("int")).alias("_piece"))
+    g = d.groupBy("chrom", "tile").agg(F.array_sort(F.collect_list(F.struct("_low", "_piece"))).alias("_p"))
+    return g.select("chrom", "tile", F.array_join(F.transform("_p", lambda x: x["_piece"]), "").alias("part"))
+
+
 def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TILE, strand: bool = True, reach: int = 0) -> DataFrame:
     """Add seq, the genome's letters of each interval, reverse-complemented on strand '-'.
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequor.operators.rank import ranked
+from sequor.operators.rank import ranked, running_total
 from sequor.session import shared_folder
 
 #: Width of the bins by which overlaps are joined; about the length of common intervals.
@@ -169,6 +169,12 @@ def islands(df: DataFrame, overlap: int, by: list[str], order: list[str], stretc
     return d.withColumn("island", F.coalesce(here, F.col("_from"))).drop("_st", "_carry", "_reach", "_new", "_from")
 
 
+def sort_places(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """Add `out`: the place from 1 of each interval among those of its `by` along order, which should tell them apart."""
+    d = running_total(df.withColumn("_one", F.lit(1)), by, order, "_one", out)
+    return d.withColumn(out, (F.col(out) + 1).cast("long")).drop("_one")
+
+
 def union_activity(activity: Column) -> Column:
     """Aggregate: the sorted set of all targets of a group."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(activity))))

@@ -42,8 +42,8 @@ def target_name(target: Column) -> Column:
 
 
 def with_files(meta: DataFrame, listing: DataFrame, name: str) -> DataFrame:
-    """Add path: <name>.bed if it is listed, else <name>.bed.gz, else null. listing(path)."""
-    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("_file"))
+    """Add path: <name>.bed if it is listed, else <name>.bed.gz, else null. listing(path); of files of one name the first path."""
+    files = listing.groupBy(F.element_at(F.split("path", "/"), -1).alias("_file")).agg(F.min("path").alias("path"))
     plain = files.select(F.col("path").alias("_plain"), F.col("_file"))
     gz = files.select(F.col("path").alias("_gz"), F.col("_file").alias("_file2"))
     d = meta.join(plain, F.concat(F.col(name), F.lit(".bed")) == F.col("_file"), "left").join(gz, F.concat(F.col(name), F.lit(".bed.gz")) == F.col("_file2"), "left")

@@ -66,13 +66,16 @@ def pearson(df: DataFrame, by: list[str], label: str = "label", score: str = "sc
 
 
 def r_squared_origin(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """by.., slope of the fit of the labels through the origin, and its rsquare."""
+    """by.., slope of the fit of the labels through the origin, and its rsquare.
+
+    The errors are taken row by row in a second pass, so that a near-perfect fit doesn't cancel.
+    """
     a, b = F.col(score).cast("double"), F.col(label).cast("double")
-    d = df.groupBy(*by).agg((F.count(F.lit(1)) * F.var_pop(b)).alias("sst"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
-    d = d.withColumn("slope", F.try_divide("sxy", "sxx"))
-    sse = F.col("syy") - 2 * F.col("slope") * F.col("sxy") + F.col("slope") * F.col("slope") * F.col("sxx")
-    sst = F.col("sst")
-    return d.select(*by, "slope", (1 - F.try_divide(sse, sst)).alias("rsquare"))
+    fit = df.groupBy(*by).agg((F.count(F.lit(1)) * F.var_pop(b)).alias("_sst"), F.try_divide(F.sum(a * b), F.sum(a * a)).alias("slope"))
+    off = b - F.col("slope") * a
+    d = df.select(*by, label, score).join(fit, by) if by else df.select(label, score).crossJoin(F.broadcast(fit))  # without groups, fit is one row
+    g = d.groupBy(*by, "slope", "_sst").agg(F.sum(off * off).alias("_sse"))
+    return g.select(*by, "slope", (1 - F.try_divide("_sse", "_sst")).alias("rsquare"))
 
 
 SUITE = {"auroc": auroc, "average_precision": average_precision, "accuracy": accuracy, "pearson": pearson, "rsquare": r_squared_origin}

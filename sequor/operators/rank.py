@@ -22,3 +22,18 @@ def ranked(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_part").orderBy(*order)
     return d.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.row_number().over(inside) - 1).drop("_part", "_base")
+
+
+def running_total(df: DataFrame, by: list[str], order: list[Column | str], value: str, out: str) -> DataFrame:
+    """Add `out`: the sum of value over the rows of the same `by` before each row along `order`, which should tell rows apart.
+
+    Sums run within ranges of (by, order) and are moved up by a table of one row for each range and group in it, so that
+    no task holds a group. The dealt rows are checkpointed.
+    """
+    shared_folder(df.sparkSession)
+    d = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = d.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return d.join(base, [*by, "_part"]).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part", "_base")

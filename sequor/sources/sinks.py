@@ -24,12 +24,10 @@ def activity_lines(df: DataFrame, n_targets: int) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Text files; with a header, one file that begins with it."""
-    if header is None:
-        lines.write.text(path)
-        return
-    h = lines.sparkSession.createDataFrame([(0, header)], "_k int, value string").unionAll(lines.select(F.lit(1).alias("_k"), "value"))
-    h.coalesce(1).sortWithinPartitions("_k").select("value").write.text(path)
+    """Text files in the order of their names; a header is the first one. Lines keep their partitions, so no task has them all."""
+    if header is not None:
+        lines = lines.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).unionAll(lines.select("value"))
+    lines.write.text(path)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:

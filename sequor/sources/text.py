@@ -6,6 +6,7 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +15,26 @@ from sequor.operators.genome import TILE
 BED = ["chrom", "start_pos", "end_pos", "name", "score", "strand"]
 
 
+#: Stores that pyarrow opens by URI; files elsewhere are read by Spark.
+OPENED = ("file", "hdfs", "s3", "gs", "abfs")
+
+
 def is_gzipped(spark: SparkSession, path: str) -> DataFrame:
-    """path, gzipped: by the first two bytes, whatever the name."""
+    """path, gzipped: by the first two bytes, whatever the name. Nothing else is read of files in one of the stores OPENED."""
     d = spark.read.format("binaryFile").load(path)
-    return d.select("path", (F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")).alias("gzipped"))
+    if "://" in path and path.split("://")[0] not in OPENED:
+        return d.select("path", (F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")).alias("gzipped"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            head = []
+            for uri in p["path"]:
+                store, at = FileSystem.from_uri(uri)
+                with store.open_input_stream(at, compression=None) as f:
+                    head.append(f.read(2))
+            yield p.assign(gzipped=[h == b"\x1f\x8b" for h in head])
+
+    return d.select("path").mapInPandas(run, "path string, gzipped boolean")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,24 +66,26 @@ def read_bed(spark: SparkSession, path: str, sniff: bool = False) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """path, rec_no, name, seq: lines joined and upper-cased, blanks ignored; a header alone has an empty sequence.
 
-    One task a file, for files of sequences; read_genome reads chromosomes.
+    Plain files are read in Spark's splits: headers are counted within each block, blocks carry on the number of headers
+    before, and a record's lines meet again by its number, so that a file of any size takes many tasks. A row holds a record; read_genome
+    tiles chromosomes. Gzip files are one block each; those that aren't named .gz, told by their first bytes, are read one a task.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            for path, raw in zip(p["path"], p["content"], strict=True):
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
-                out: list[list] = []
-                for line in text.splitlines():
-                    line = line.strip()
-                    if line.startswith(">"):
-                        out.append([line[1:].strip(), []])
-                    elif line and out:
-                        out[-1][1].append(line.upper())
-                if out:
-                    yield pd.DataFrame({"path": path, "rec_no": range(len(out)), "name": [n for n, _ in out], "seq": ["".join(s) for _, s in out]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rec_no long, name string, seq string")
+    packed = [r.path for r in is_gzipped(spark, path).where("gzipped and not endswith(path, '.gz')").collect()]
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("_v"))
+    if packed:
+        whole = read_lines(spark, path).where(F.col("path").isin(packed)).select("path", F.lit(0).cast("long").alias("_block"), F.col("line_no").alias("_line"), F.trim("line").alias("_v"))
+        d = d.where(~F.col("path").isin(packed)).unionByName(whole)
+    head = F.col("_v").startswith(">")
+    d = d.where("_v <> ''").withColumn("_head", head.cast("long"))
+    sums = d.groupBy("path", "_block").agg(F.sum("_head").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("path", "_block").orderBy("_line")
+    d = d.withColumn("_in", F.sum("_head").over(inside)).join(base, ["path", "_block"]).withColumn("rec_no", F.col("_base") + F.col("_in") - 1).where("rec_no >= 0")
+    name = F.max(F.when(head, F.trim(F.substr("_v", F.lit(2)))))
+    lines = F.array_sort(F.collect_list(F.when(~head, F.struct("_block", "_line", F.upper("_v").alias("_v")))))
+    g = d.groupBy("path", "rec_no").agg(name.alias("name"), lines.alias("_l"))
+    return g.select("path", "rec_no", "name", F.array_join(F.transform("_l", lambda x: x["_v"]), "").alias("seq"))
 
 
 def read_genome(spark: SparkSession, path: str, width: int = TILE) -> DataFrame:
@@ -101,8 +120,11 @@ def read_genome(spark: SparkSession, path: str, width: int = TILE) -> DataFrame:
 
 
 def last_by_name(fasta: DataFrame) -> DataFrame:
-    """One row a name: the last sequence, at the first place; records without a sequence are dropped."""
-    return fasta.where("seq <> ''").groupBy("name").agg(F.max_by("seq", "rec_no").alias("seq"), F.min("rec_no").alias("rec_no"))
+    """One row a name: the last sequence, and the first record's number; records without a sequence are dropped.
+
+    Files follow each other by path.
+    """
+    return fasta.where("seq <> ''").groupBy("name").agg(F.max_by("seq", F.struct("path", "rec_no")).alias("seq"), F.min_by("rec_no", F.struct("path", "rec_no")).alias("rec_no"))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -122,9 +144,9 @@ def read_sample_sheet(spark: SparkSession, path: str, offset: int = 0) -> DataFr
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """target_idx, label: the names in the header of an activity table, which starts with a tab."""
-    d = read_lines(spark, path).where("line_no = 0")
-    return d.select(F.posexplode(F.slice(F.split("line", "\t"), 2, F.size(F.split("line", "\t")))).alias("target_idx", "label"))
+    """target_idx, label: the names in the header of an activity table, the one line that starts with a tab."""
+    f = F.split("value", "\t")
+    return spark.read.text(path).where(F.col("value").startswith("\t")).select(F.posexplode(F.slice(f, 2, F.size(f))).alias("target_idx", "label"))
 
 
 def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:

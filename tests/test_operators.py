@@ -223,7 +223,7 @@ def test_files_of_experiments(spark):
 
 def test_single_task_balances(spark):
     p = fx.near_peaks(spark, SF)
-    t = genome.tile(fx.genome(spark, SF), 512)
+    t = fx.tiles(spark, SF, 512)
     for how in ("nearest", "density", "uniform"):
         d = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), t, "peak_id", 100, 1000, how, width=512)
         n = {r.label: r["count"] for r in d.groupBy("label").count().collect()}
