@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from sequor import catalog_files  # noqa: F401  adds its queries
+    from sequor import catalog_files, catalog_more  # noqa: F401  add their queries
 
     return QUERIES
 

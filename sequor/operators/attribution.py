@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequor.functions.models import Model, Output
+from sequor.functions.models import Model, Output, Reduced
 from sequor.operators.metrics import auroc, pr_trapezoid
 
 
@@ -71,6 +71,8 @@ def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray,
                 got = f(flat.reshape(g.num_rows, int(n), -1), {key: g.column(key).to_numpy(zero_copy_only=False)} if key else {})
                 if got.ndim == 1:
                     col = pa.array(got)
+                elif got.ndim == 2:
+                    col = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], pa.int32()), pa.array(got.ravel()))
                 else:
                     inner = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, max(1, got.shape[2]), dtype=np.int32)), pa.array(got.ravel()))
                     col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, max(1, got.shape[1]), dtype=np.int32)), inner)
@@ -82,8 +84,11 @@ def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray,
 MAP = "array<array<double>>"
 
 
-def predict(df: DataFrame, model: Model, x: str = "x", out: str = "pred") -> DataFrame:
-    return _apply(df, x, out, "double", lambda b, _: model.predict(b))
+def predict(df: DataFrame, model: Model, x: str = "x", out: str = "pred", outputs: bool = False) -> DataFrame:
+    """Add out: the model's prediction, or with outputs the array of all its outputs."""
+    if not outputs:
+        return _apply(df, x, out, "double", lambda b, _: model.predict(b))
+    return _apply(df, x, out, "array<double>", lambda b, _: model.predict(b).reshape(len(b), -1))
 
 
 def saliency(df: DataFrame, model: Model, x: str = "x", out: str = "saliency") -> DataFrame:
@@ -202,14 +207,18 @@ def mutation_scores(variants: DataFrame, by: str, seq: str, score: str) -> DataF
 
 
 class Explainer:
-    """The attribution methods of one model and class (or of the mean of its outputs), by name.
+    """The attribution methods of one model and class (or of the mean of its outputs, or of any function of them), by name.
+
+    reduce: (n, outputs) -> (n,), in place of a class.
 
     Noise and random baselines depend on seed and the row's key alone. baseline: random (the row's places shuffled) or zero.
     """
 
-    def __init__(self, model: Model, class_index: int | None = None, key: str = "seq_id", x: str = "x", seed: int = 0):
+    def __init__(self, model: Model, class_index: int | None = None, key: str = "seq_id", x: str = "x", seed: int = 0, reduce: Callable[[np.ndarray], np.ndarray] | None = None):
+        if reduce is not None and class_index is not None:
+            raise ValueError("a class or a function of the outputs, not both")
         self.model, self.class_index, self.key, self.x, self.seed = model, class_index, key, x, seed
-        self.one = Output(model, class_index)
+        self.one = Output(model, class_index) if reduce is None else Reduced(model, reduce)
 
     def saliency_maps(self, df: DataFrame, out: str = "saliency") -> DataFrame:
         return saliency(df, self.one, self.x, out)
@@ -231,4 +240,6 @@ class Explainer:
         return integrated_gradients(df, self.one, self.x, num_steps, out)  # zeros don't differ from one another
 
     def mutagenesis(self, df: DataFrame, out: str = "effect") -> DataFrame:
+        if isinstance(self.one, Reduced):
+            return mutagenesis(df, self.one, self.x, 0, out)
         return mutagenesis(df, self.model, self.x, self.class_index, out)
