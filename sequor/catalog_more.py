@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
 from sequor.catalog import WEIGHTS, encoded, query, r6
-from sequor.catalog_files import PLACES, PREDICTED
+from sequor.catalog_files import PLACES, PREDICTED, place
 from sequor.fixtures import WINDOWS, with_views
 from sequor.functions import seq as sq
 from sequor.functions.models import LinearClasses, ReverseComplementScan
 from sequor.operators import attribution, compare, motif
+from sequor.sources import tfrecord_source
 
 # motif comparison
 
@@ -75,3 +76,18 @@ def m1(s, d):
     explain = attribution.Explainer(LinearClasses(np.stack([WEIGHTS, OTHER]) / 100), reduce=lambda p: (p * p).sum(1))
     x = explain.saliency_maps(encoded(s, d)).withColumn("t", F.array(attribution.times_input(F.col("x"), F.col("saliency"))))
     return x.select("seq_id", F.round(F.aggregate(F.flatten("t"), F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+
+
+# TFRecord as a data source
+
+
+@query("s11_tfrecord_source", with_views("seq40", "SELECT seq_id, seq, CAST(160 AS INT) AS n FROM seq40"))
+def s11(s, d):
+    """Every value of the examples, written and read through the data source, and decoded again."""
+    tfrecord_source.register(s)
+    at = place(s, "shards")
+    x = fx.seq40(s, d).select(F.flatten(sq.one_hot(F.col("seq"))).alias("feature"), F.array(F.col("seq_id").cast("double")).alias("label"))
+    x.write.format("tfrecord").mode("append").option("feature_dtype", "int8").option("label_dtype", "float64").option("chunk", "1000").save(at)
+    back = s.read.format("tfrecord").option("feature_dtype", "int8").option("label_dtype", "float64").load(at)
+    letters = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.substr(F.lit("NACGT"), F.array_position(F.slice("feature", i * 4 + 1, F.lit(4)), F.lit(1.0)).cast("int") + 1, F.lit(1)))
+    return back.select(F.get("label", 0).cast("long").alias("seq_id"), F.array_join(letters, "").alias("seq"), F.size("feature").alias("n"))

@@ -8,6 +8,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from string import Formatter
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -37,26 +38,71 @@ def crc32c(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-def masked(data: bytes) -> bytes:
-    c = crc32c(data)
-    return struct.pack("<I", ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF)
+#: Fewer records of one length than this are summed one by one.
+TOGETHER = 16
+CRC_TABLE = np.array(TABLE, np.uint32)
+
+
+def crc32c_many(data: list[bytes]) -> np.ndarray:
+    """The checksums of many records: those of one length are columns of a matrix, a byte of all of them at a time."""
+    out = np.empty(len(data), np.uint32)
+    length = np.array([len(x) for x in data], np.int64)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        if len(at) < TOGETHER:
+            out[at] = [crc32c(data[k]) for k in at]
+            continue
+        m = np.frombuffer(b"".join(data[k] for k in at), np.uint8).reshape(len(at), n).T.copy()
+        c = np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for row in m:
+            c = c >> np.uint32(8) ^ CRC_TABLE[(c ^ row) & np.uint32(255)]
+        out[at] = c ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
-def frame(data: bytes) -> bytes:
-    n = struct.pack("<Q", len(data))
-    return n + masked(n) + data + masked(data)
+def masked_many(data: list[bytes]) -> np.ndarray:
+    c = crc32c_many(data)
+    return (c >> np.uint32(15) | c << np.uint32(17)) + np.uint32(0xA282EAD8)
 
 
-def records(raw: bytes) -> Iterator[bytes]:
-    f = io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
-    while head := f.read(12):
-        n = struct.unpack("<Q", head[:8])[0]
-        if masked(head[:8]) != head[8:]:
-            raise ValueError("length of a record is damaged")
-        data = f.read(n)
-        if masked(data) != f.read(4):
+def frames(data: list[bytes]) -> bytes:
+    """Records with their lengths and checksums, one after another."""
+    heads = [struct.pack("<Q", len(x)) for x in data]
+    sums = zip(masked_many(heads).tolist(), masked_many(data).tolist(), strict=True)
+    return b"".join(h + struct.pack("<I", a) + x + struct.pack("<I", b) for h, x, (a, b) in zip(heads, data, sums, strict=True))
+
+
+def batches_of(f: BinaryIO, many: int = 1024, large: int = 64 << 20) -> Iterator[list[bytes]]:
+    """The records of an open file, checked, so many or so large at a time."""
+    heads, lengths, data, sums, held = [], [], [], [], 0
+
+    def checked() -> list[bytes]:
+        if (masked_many(heads) != np.array(lengths, np.uint32)).any() or (masked_many(data) != np.array(sums, np.uint32)).any():
             raise ValueError("a record is damaged")
-        yield data
+        return list(data)
+
+    while head := f.read(12):
+        if len(head) < 12:
+            raise ValueError("the file ends within a record")
+        n, crc = struct.unpack("<QI", head)
+        if n > 1 << 20 and int(masked_many([head[:8]])[0]) != crc:
+            raise ValueError("a record is damaged")  # before so much is read
+        body = f.read(n + 4)
+        if len(body) < n + 4:
+            raise ValueError("the file ends within a record")
+        for to, x in ((heads, head[:8]), (lengths, crc), (data, body[:n]), (sums, struct.unpack("<I", body[n:])[0])):
+            to.append(x)
+        held += n
+        if len(data) >= many or held >= large:
+            yield checked()
+            heads, lengths, data, sums, held = [], [], [], [], 0
+    if data:
+        yield checked()
+
+
+def records(raw: bytes) -> Iterator[bytes]:
+    for found in batches_of(io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)):
+        yield from found
 
 
 def varint(n: int) -> bytes:
@@ -128,6 +174,10 @@ def _varint(data: bytes) -> int:
     return n
 
 
+def opened(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
 def template_keys(template: str) -> list[str]:
     return [k for _, k, _, _ in Formatter().parse(template) if k]
 
@@ -149,8 +199,8 @@ def write_tfrecords(df: DataFrame, template: str, order: str, feature: str, labe
         shard = int(p["_shard"].iloc[0])
         path = template.format(shard=shard)
         stack = lambda v: np.stack(v) if len(v) and isinstance(v[0], np.ndarray) and v.dtype == object else np.asarray(v)
-        data = b"".join(frame(encode_example({"feature": stack(x).astype(feature_dtype), "label": np.asarray(y).astype(label_dtype)})) for x, y in zip(p[feature], p[label], strict=True))
-        store, at = (FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path))
+        data = frames([encode_example({"feature": stack(x).astype(feature_dtype), "label": np.asarray(y).astype(label_dtype)}) for x, y in zip(p[feature], p[label], strict=True)])
+        store, at = opened(path)
         part = f"{at}.{uuid.uuid4().hex}.part"
         with store.open_output_stream(part, compression=None) as f:
             f.write(gzip.compress(data, 6, mtime=0) if compress else data)
@@ -160,19 +210,22 @@ def write_tfrecords(df: DataFrame, template: str, order: str, feature: str, labe
     return d.select("_row", "_shard", feature, label).groupBy("_shard").applyInPandas(write, "shard int, path string, n long")
 
 
+def example_row(record: bytes, feature_dtype: str, label_dtype: str) -> list:
+    """feature, feature_shape, label, label_shape."""
+    e = decode_example(record)
+    row: list = []
+    for name, kind in (("feature", feature_dtype), ("label", label_dtype)):
+        row += [np.frombuffer(e[f"{name}/value"], kind).astype(float).tolist(), [e[f"{name}/shape/{i}"] for i in range(e[f"{name}/ndim"])]]
+    return row
+
+
 def read_tfrecords(spark: SparkSession, path: str, feature_dtype: str = "float32", label_dtype: str = "float32") -> DataFrame:
     """path, rec_no, feature, label (flat arrays of double) and their shapes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             for path, raw in zip(p["path"], p["content"], strict=True):
-                rows = []
-                for k, r in enumerate(records(raw)):
-                    e = decode_example(r)
-                    row: list = [path, k]
-                    for name, kind in (("feature", feature_dtype), ("label", label_dtype)):
-                        row += [np.frombuffer(e[f"{name}/value"], kind).astype(float).tolist(), [e[f"{name}/shape/{i}"] for i in range(e[f"{name}/ndim"])]]
-                    rows.append(row)
+                rows = [(path, k, *example_row(r, feature_dtype, label_dtype)) for k, r in enumerate(records(raw))]
                 yield pd.DataFrame(rows, columns=["path", "rec_no", "feature", "feature_shape", "label", "label_shape"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rec_no long, feature array<double>, feature_shape array<long>, label array<double>, label_shape array<long>")
