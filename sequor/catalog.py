@@ -130,7 +130,7 @@ def w1(s, d):
     return intervals.islands(intervals.extend(fx.peaks(s, d), 200), 50, ["chrom"], ["peak_id"]).select("peak_id", "chrom", "island")
 
 
-def greedy_sql(length: int, overlap: int, sized: bool) -> str:
+def greedy_sql(length: int, overlap: int, sized: bool, strand: str = "'+'", target: str = "target_idx", columns: str = "array_to_string(x.a, ',') AS activity") -> str:
     """Regions about all peaks, merged one pair after another: the largest overlap of each island, the first on ties."""
     moved = f"CASE WHEN s + {length} > size THEN CAST(size - {length} AS DOUBLE) ELSE s END"
     mid = lambda x: f"trunc(({x}.s + {x}.e) / 2)"
@@ -138,15 +138,15 @@ def greedy_sql(length: int, overlap: int, sized: bool) -> str:
     middle = f"trunc(0.5 + ((1 + len({a}.a)) * {mid(a)} + (1 + len({b}.a)) * {mid(b)}) / (2 + len({a}.a) + len({b}.a)))"
     start = f"greatest(0.0, {middle} - {length / 2})"
     kept = f"CASE WHEN {start} + {length} > size THEN CAST(size - {length} AS DOUBLE) ELSE {start} END"
-    return with_views("peaks", "SELECT chrom, '+' AS strand, CAST(trunc(x.s) AS BIGINT) AS start_pos, CAST(trunc(x.e) AS BIGINT) AS end_pos, array_to_string(x.a, ',') AS activity FROM (SELECT chrom, unnest(p) AS x FROM step)",
+    return with_views("peaks", "SELECT chrom, strand, CAST(trunc(x.s) AS BIGINT) AS start_pos, CAST(trunc(x.e) AS BIGINT) AS end_pos, " + columns + " FROM (SELECT chrom, strand, unnest(p) AS x FROM step)",
         SIZES if sized else "sizes AS (SELECT DISTINCT chrom, CAST(NULL AS BIGINT) AS length FROM peaks)",
-        f"base AS (SELECT chrom, length AS size, greatest(0.0, trunc((start_pos + end_pos) / 2) - {length / 2}) AS s, target_idx FROM peaks JOIN sizes USING (chrom))",
-        f"ext AS (SELECT chrom, size, CAST(trunc({moved}) AS BIGINT) AS s, CAST(trunc({moved} + {length}) AS BIGINT) AS e, target_idx FROM base)",
-        "reached AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ext)",
-        f"isl AS (SELECT *, max(CASE WHEN reach IS NULL OR reach - {overlap} <= s THEN s END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM reached)",
-        "whole AS (SELECT chrom, island, any_value(size) AS size, list(struct_pack(s := CAST(s AS DOUBLE), e := CAST(e AS DOUBLE), a := [target_idx]) ORDER BY s, e, target_idx) AS p FROM isl GROUP BY chrom, island)",
-        f"""step(chrom, island, size, p) USING KEY (chrom, island) AS (SELECT * FROM whole UNION
-        SELECT chrom, island, size, list_concat(p[:i - 1], [struct_pack(s := {kept}, e := {kept} + {length}, a := list_sort(list_distinct(list_concat({a}.a, {b}.a))))], p[i + 2:])
+        f"base AS (SELECT chrom, {strand} AS strand, length AS size, greatest(0.0, trunc((start_pos + end_pos) / 2) - {length / 2}) AS s, {target} AS target_idx FROM peaks JOIN sizes USING (chrom))",
+        f"ext AS (SELECT chrom, strand, size, CAST(trunc({moved}) AS BIGINT) AS s, CAST(trunc({moved} + {length}) AS BIGINT) AS e, target_idx FROM base)",
+        "reached AS (SELECT *, max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ext)",
+        f"isl AS (SELECT *, max(CASE WHEN reach IS NULL OR reach - {overlap} <= s THEN s END) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM reached)",
+        "whole AS (SELECT chrom, strand, island, any_value(size) AS size, list(struct_pack(s := CAST(s AS DOUBLE), e := CAST(e AS DOUBLE), a := [target_idx]) ORDER BY s, e, target_idx) AS p FROM isl GROUP BY chrom, strand, island)",
+        f"""step(chrom, strand, island, size, p) USING KEY (chrom, strand, island) AS (SELECT * FROM whole UNION
+        SELECT chrom, strand, island, size, list_concat(p[:i - 1], [struct_pack(s := {kept}, e := {kept} + {length}, a := list_sort(list_distinct(list_concat({a}.a, {b}.a))))], p[i + 2:])
         FROM (SELECT *, list_position(o, m) AS i FROM (SELECT *, list_max(o) AS m FROM (SELECT *, list_transform(range(1, len(p)), lambda k: p[k].e - p[k + 1].s) AS o FROM step WHERE len(p) > 1)) WHERE m >= {overlap}))""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 

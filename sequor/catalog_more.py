@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
-from sequor.catalog import WEIGHTS, encoded, query, r6
+from sequor.catalog import WEIGHTS, encoded, greedy_sql, query, r6, sizes
 from sequor.catalog_files import PLACES, PREDICTED, place
 from sequor.fixtures import WINDOWS, with_views
 from sequor.functions import seq as sq
 from sequor.functions.models import LinearClasses, ReverseComplementScan
 from sequor.operators import attribution, compare, motif
-from sequor.sources import tfrecord_source
+from sequor.plans import pipelines
+from sequor.sources import sinks, text, tfrecord_source
 
 # motif comparison
 
@@ -91,3 +92,27 @@ def s11(s, d):
     back = s.read.format("tfrecord").option("feature_dtype", "int8").option("label_dtype", "float64").load(at)
     letters = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.substr(F.lit("NACGT"), F.array_position(F.slice("feature", i * 4 + 1, F.lit(4)), F.lit(1.0)).cast("int") + 1, F.lit(1)))
     return back.select(F.get("label", 0).cast("long").alias("seq_id"), F.array_join(letters, "").alias("seq"), F.size("feature").alias("n"))
+
+
+# a multi-task dataset from files to files
+
+FLAGS = "array_to_string(list_transform(range(0, 7), lambda k: CASE WHEN list_contains(x.a, CAST(k AS INT)) THEN '1' ELSE '0' END), '') AS label, CASE chrom WHEN 'chr3' THEN 'test' WHEN 'chr2' THEN 'valid' ELSE 'train' END AS split"
+
+
+@query("multi_task_files", greedy_sql(200, 50, True, "CASE strand WHEN '-' THEN '-' ELSE '+' END", "CAST((target_idx + 2) % 7 AS INT)", FLAGS))
+def multi_task_files(s, d):
+    """Five targets as BED folders of a sample sheet and two in an existing table: the dataset that comes out, and its activity table agrees."""
+    p = fx.peaks(s, d)
+    at = place(s, "build")
+    p.where("target_idx < 5").select("target_idx", F.concat_ws("\t", "chrom", "start_pos", "end_pos", "peak_id", F.lit("0"), "strand").alias("value")).write.partitionBy("target_idx").text(f"{at}/beds")
+    s.createDataFrame([(f"t{k} {at}/beds/target_idx={k}",) for k in range(5)], "value string").coalesce(1).write.text(f"{at}/sheet")
+    old = p.where("target_idx >= 5")
+    old.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "peak_id", F.lit("0"), "strand", (F.col("target_idx") - 5).cast("string")).alias("value")).write.text(f"{at}/old.bed")
+    flags = [F.when(F.col("target_idx") == k, "1").otherwise("0") for k in (5, 6)]
+    sinks.write_lines(old.select(F.concat_ws("\t", "peak_id", *flags).alias("value")), f"{at}/old", "\tt5\tt6")
+    sizes(s, d).select(F.concat_ws("\t", "chrom", F.col("length").cast("string")).alias("value")).write.text(f"{at}/chrom.sizes")
+    made = pipelines.multi_task_files(s, f"{at}/sheet", f"{at}/out", 200, 50, f"{at}/chrom.sizes", f"{at}/old", f"{at}/old.bed", valid=["chr2"], test=["chr3"])
+    digits = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), "")
+    table = text.read_scores(s, made["activity"]).select(F.col("name").alias("region"), digits(F.col("scores")).alias("flags"))
+    rows = sinks.read_dataset(s, made["dataset"]).withColumn("label", digits(F.col("label"))).join(table, "region")
+    return rows.where("label = flags").select("chrom", "strand", "start_pos", "end_pos", "label", "split")

@@ -54,13 +54,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line_no long, line string")
 
 
-def read_bed(spark: SparkSession, path: str, sniff: bool = False) -> DataFrame:
-    """BED3 to BEDn: the six named columns (null where a row is shorter) and extra, the rest. '#' lines are skipped."""
-    lines = read_lines(spark, path).select("line") if sniff else spark.read.text(path).select(F.col("value").alias("line"))
+def read_bed(spark: SparkSession, path: str | list[str], sniff: bool = False, source: str | None = None) -> DataFrame:
+    """BED3 to BEDn: the six named columns (null where a row is shorter) and extra, the rest. '#' lines are skipped.
+
+    source: a further column with the file's path. sniff: tell gzip files by their content.
+    """
+    if sniff:
+        lines = read_lines(spark, path)
+    else:
+        lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
     f = F.split("line", "\t")
     d = lines.where((F.trim("line") != "") & ~F.col("line").startswith("#"))
     cols = [F.get(f, k).cast("long" if k in (1, 2) else "string").alias(c) for k, c in enumerate(BED)]
-    return d.select(*cols, F.when(F.size(f) > 6, F.slice(f, 7, F.size(f))).alias("extra"))
+    return d.select(*cols, F.when(F.size(f) > 6, F.slice(f, 7, F.size(f))).alias("extra"), *([F.col("path").alias(source)] if source else []))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -173,6 +179,6 @@ def read_motif_hits(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("Query_ID").alias("query_id"), F.col("Target_ID").alias("target_id"), F.col("q-value").cast("double").alias("q"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
+def list_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """path of each file; contents aren't read."""
     return spark.read.format("binaryFile").load(folder).select("path")
