@@ -14,6 +14,7 @@ from sequor.functions.models import LinearClasses, ReverseComplementScan
 from sequor.operators import attribution, compare, motif
 from sequor.plans import pipelines
 from sequor.sources import sinks, text, tfrecord_source
+from sequor.streaming import streams
 
 # motif comparison
 
@@ -116,3 +117,39 @@ def multi_task_files(s, d):
     table = text.read_scores(s, made["activity"]).select(F.col("name").alias("region"), digits(F.col("scores")).alias("flags"))
     rows = sinks.read_dataset(s, made["dataset"]).withColumn("label", digits(F.col("label"))).join(table, "region")
     return rows.where("label = flags").select("chrom", "strand", "start_pos", "end_pos", "label", "split")
+
+
+# streams of intervals
+
+
+def along(s, d, parts: int):
+    """The peaks as a stream that moves along the genome: batches of files, each behind the one before."""
+    at, p = place(s, "peaks"), fx.peaks(s, d)
+    top = p.agg(F.max("start_pos")).first()[0] or 0
+    far = F.lit(1 << 33)
+    for k in range(parts):
+        p.where(F.least(F.lit(parts - 1), F.floor(F.col("start_pos") * parts / (top + 1))) == k).repartition(4).write.mode("append").parquet(at)
+    p.limit(1).withColumns({"start_pos": far, "end_pos": far + 1, "peak_id": F.lit("end")}).repartition(1).write.mode("append").parquet(at)  # moves the watermark past all others
+    return s.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(at)
+
+
+def appended(s, out):
+    """What a stream has given out in append mode when all there is has been read."""
+    at = place(s, "")
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{at}out").option("checkpointLocation", f"{at}state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{at}out")
+
+
+@query("stream_islands", with_views("peaks", "SELECT chrom, island, max(end_pos) AS reach, count(*) AS n FROM i GROUP BY chrom, island",
+    "m AS (SELECT *, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, peak_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM peaks)",
+    "i AS (SELECT *, max(CASE WHEN reach IS NULL OR reach - 50 <= start_pos THEN start_pos END) OVER (PARTITION BY chrom ORDER BY start_pos, peak_id ROWS UNBOUNDED PRECEDING) AS island FROM m)"))
+def stream_islands(s, d):
+    """Islands of the peaks, given out batch by batch as the stream moves past them."""
+    return appended(s, streams.islands(along(s, d, 5), 50, ["chrom"], 0)).where(F.col("island") < 1 << 33)
+
+
+@query("stream_overlaps", with_views("peaks", "SELECT a.peak_id, b.peak_id AS b_peak_id FROM peaks a JOIN peaks b ON a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos WHERE b.strand = '-' AND b.target_idx = 6"))
+def stream_overlaps(s, d):
+    """All peaks as a stream against those of one target on one strand."""
+    b = fx.peaks(s, d).where("strand = '-' and target_idx = 6")
+    return appended(s, streams.overlaps(along(s, d, 3), b).select("peak_id", "b_peak_id"))

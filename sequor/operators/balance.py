@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sequor.functions.seq import uniform
-from sequor.operators.rank import ranked
-from sequor.operators.split import permute
+from sequor.operators.rank import smallest
 
 
 def nearest_counts(wanted: DataFrame, there: DataFrame, col: str = "gc") -> DataFrame:
@@ -67,13 +66,12 @@ def kde_weights(a: DataFrame, b: DataFrame, length: int, col: str = "gc") -> Dat
 
 def sample_weighted(df: DataFrame, weight: Column, n: int, key: Column, seed: int = 0) -> DataFrame:
     """n rows without replacement, drawn in proportion to weight (exponential keys, Efraimidis and Spirakis 2006)."""
-    d = df.where(weight > 0).withColumns({"_k": -F.log(F.lit(1.0) - uniform(seed, key)) / weight, "_key": key})
-    return ranked(d, ["_k", "_key"], "_place").where(F.col("_place") < n).drop("_k", "_key", "_place")
+    return smallest(df.where(weight > 0), [-F.log(F.lit(1.0) - uniform(seed, key)) / weight, key], n)
 
 
 def sample_uniform(df: DataFrame, n: int, key: Column, seed: int = 0) -> DataFrame:
-    """n rows by a hash of the key, found by rank: no task holds the sample."""
-    return permute(df, key, seed, "_place").where(F.col("_place") < n).drop("_place")
+    """n rows by a hash of the key, which should tell rows apart, found by selection: no task holds or sorts the rows."""
+    return smallest(df, [F.xxhash64(F.lit(seed), key), key], n)
 
 
 def sample_like(a: DataFrame, b: DataFrame, length: int, key: str, n: int | None = None, col: str = "gc", seed: int = 0) -> DataFrame:

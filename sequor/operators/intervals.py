@@ -116,16 +116,16 @@ def _binned(df: DataFrame, width: int, roles: list[tuple[int, str, int]]) -> Dat
     return d.withColumn("_at", F.explode(F.concat(*parts))).withColumns({"_kind": F.col("_at.kind"), "_bin": F.col("_at.bin")}).drop("_at", "_level")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, levels: list[int] | None = None) -> DataFrame:
     """Every pair of overlapping intervals of a chromosome; b's columns get the prefix b_.
 
     Bins have levels, each FAN times as wide as the one before, and an interval lies in the one or two bins of the first level that is as
     wide as it is long. A pair meets on the level of the longer one: each side probes the wider levels that
     the other has intervals on, so an interval of any length has at most two rows a level. A pair that shares two bins is
     kept in the first one, so no distinct is needed. Empty intervals overlap nothing. Both sides are read once more
-    beforehand (two columns) for the levels in use.
+    beforehand (two columns) for the levels in use; levels, if given, are a's, which may then be a stream.
     """
-    of_a, of_b = _levels(a, width), _levels(b, width)
+    of_a, of_b = _levels(a, width) if levels is None else levels, _levels(b, width)
     if not of_a or not of_b:
         of_a = of_b = [0]
     # Kind 0 of a level: a's own intervals with b's shorter or equal ones. Kind 1: b's own with a's shorter ones.
