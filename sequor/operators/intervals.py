@@ -383,7 +383,7 @@ def _closest(rest: DataFrame, keys: list[str], overlap: int) -> DataFrame:
 
 def _merge_closest(rest: DataFrame, closest: DataFrame, length: int, keys: list[str]) -> DataFrame:
     """rest with the regions at `at` and behind it merged in each island."""
-    d = rest.join(closest, keys)
+    d, names = rest.join(closest, keys), rest.columns
     pair = d.where("place between at and at + 1").groupBy(*keys, "at", "length").agg(F.array_sort(F.collect_list(F.struct("place", "start_pos", "end_pos", "activity"))).alias("p"))
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,7 +392,7 @@ def _merge_closest(rest: DataFrame, closest: DataFrame, length: int, keys: list[
             for (a, b), size in zip(f["p"], f["length"], strict=True):
                 s, e, act = merge_two(*((x["start_pos"], x["end_pos"], frozenset(x["activity"])) for x in (a, b)), length, None if pd.isna(size) else float(size))
                 got.append((s, e, sorted(act)))
-            yield f.drop(columns="p").assign(start_pos=[x[0] for x in got], end_pos=[x[1] for x in got], activity=[x[2] for x in got], place=f["at"]).astype({"length": "Int64"})[rest.columns]
+            yield f.drop(columns="p").assign(start_pos=[x[0] for x in got], end_pos=[x[1] for x in got], activity=[x[2] for x in got], place=f["at"]).astype({"length": "Int64"})[names]
 
     return d.where("place not between at and at + 1").select(*rest.columns).unionByName(pair.mapInPandas(merge, rest.schema))
 

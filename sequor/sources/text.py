@@ -37,7 +37,7 @@ def is_gzipped(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path").mapInPandas(run, "path string, gzipped boolean")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line_no, line of plain files and of gzip files under any name.
 
     Files named .gz and plain ones could be read by text(); this one looks at the content, one task a
@@ -77,10 +77,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     tiles chromosomes. Gzip files are one block each; those that aren't named .gz, told by their first bytes, are read one a task.
     """
     packed = [r.path for r in is_gzipped(spark, path).where("gzipped and not endswith(path, '.gz')").collect()]
-    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("_v"))
+    # Splits depend on the files of a scan, so packed ones are left out by name: both scans of a plan have to cut the same blocks.
+    plain = [r.path for r in list_files(spark, path).collect() if r.path not in set(packed)] if packed else path
+    name = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")  # as listings name local files
+    d = None
+    if plain:
+        d = spark.read.text(plain).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("_v"))
     if packed:
-        whole = read_lines(spark, path).where(F.col("path").isin(packed)).select("path", F.lit(0).cast("long").alias("_block"), F.col("line_no").alias("_line"), F.trim("line").alias("_v"))
-        d = d.where(~F.col("path").isin(packed)).unionByName(whole)
+        whole = read_lines(spark, packed).select("path", F.lit(0).cast("long").alias("_block"), F.col("line_no").alias("_line"), F.trim("line").alias("_v"))
+        d = whole if d is None else d.unionByName(whole)
     head = F.col("_v").startswith(">")
     d = d.where("_v <> ''").withColumn("_head", head.cast("long"))
     sums = d.groupBy("path", "_block").agg(F.sum("_head").alias("_n"))
