@@ -106,7 +106,7 @@ def s7(s, d):
 @query("s8_scores", "SELECT CAST(doc_id AS VARCHAR) AS name, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic, true AS integral FROM labels")
 def s8(s, d):
     at = place(s, "scores.txt")
-    sinks.write_lines(fx.table(s, d, "labels").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("doc_id", "quality", "toxic"))).alias("value")), at, "\tquality\ttoxic")
+    sinks.write_lines(fx.table(s, d, "labels").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("doc_id", "quality", "toxic"))).alias("value")), at, "\tquality\ttoxic", parts=True)
     return text.read_scores(s, at).select("name", F.get("scores", 0).alias("quality"), F.get("scores", 1).alias("toxic"), "integral")
 
 
@@ -114,7 +114,7 @@ def s8(s, d):
 def s9(s, d):
     """The targets of an activity table that is there, then those of a sample sheet."""
     db = place(s, "activity.txt")
-    sinks.write_lines(fx.table(s, d, "labels").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("doc_id", "quality", "toxic"))).alias("value")), db, "\tquality\ttoxic")
+    sinks.write_lines(fx.table(s, d, "labels").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("doc_id", "quality", "toxic"))).alias("value")), db, "\tquality\ttoxic", parts=True)
     there = text.read_targets(s, db)
     x = fx.table(s, d, "nation").select("n_nationkey", F.concat_ws(" ", "n_name", F.lit("x.bed")).alias("value"))
     return there.unionByName(text.read_sample_sheet(s, one_file(x, place(s, "samples.txt"), "n_nationkey"), there.count()).select("target_idx", "label"))

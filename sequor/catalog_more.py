@@ -110,7 +110,7 @@ def multi_task_files(s, d):
     old = p.where("target_idx >= 5")
     old.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "peak_id", F.lit("0"), "strand", (F.col("target_idx") - 5).cast("string")).alias("value")).write.text(f"{at}/old.bed")
     flags = [F.when(F.col("target_idx") == k, "1").otherwise("0") for k in (5, 6)]
-    sinks.write_lines(old.select(F.concat_ws("\t", "peak_id", *flags).alias("value")), f"{at}/old", "\tt5\tt6")
+    sinks.write_lines(old.select(F.concat_ws("\t", "peak_id", *flags).alias("value")), f"{at}/old", "\tt5\tt6", parts=True)
     sizes(s, d).select(F.concat_ws("\t", "chrom", F.col("length").cast("string")).alias("value")).write.text(f"{at}/chrom.sizes")
     made = pipelines.multi_task_files(s, f"{at}/sheet", f"{at}/out", 200, 50, f"{at}/chrom.sizes", f"{at}/old", f"{at}/old.bed", valid=["chr2"], test=["chr3"])
     digits = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), "")

@@ -101,7 +101,7 @@ def multi_task_files(spark: SparkSession, sheet: str, out: str, length: int = 10
     at = {k: f"{out}/{k}" for k in ("bed", "activity", "dataset")}
     sinks.merged_bed_lines(regions.repartitionByRange("chrom", "strand", "start_pos").sortWithinPartitions("chrom", "strand", "start_pos")).write.text(at["bed"])
     merged = text.read_bed(spark, at["bed"]).select("chrom", "start_pos", "end_pos", "strand", parse_activity(F.get("extra", 0)).alias("activity"))
-    sinks.write_lines(sinks.activity_lines(merged, len(labels)), at["activity"], "\t".join(["", *labels]))
+    sinks.write_lines(sinks.activity_lines(merged, len(labels)), at["activity"], "\t".join(["", *labels]), parts=True)
     flags = F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.array_contains("activity", k).cast("tinyint"))
     rows = merged.select(region_key().alias("region"), "chrom", "start_pos", "end_pos", "strand", flags.alias("label"))
     sinks.write_dataset(split.by_chromosome(rows, valid or [], test or []), at["dataset"])

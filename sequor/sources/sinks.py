@@ -23,11 +23,20 @@ def activity_lines(df: DataFrame, n_targets: int) -> DataFrame:
     return df.select(F.concat_ws("\t", region_key(), activity_row(n_targets, F.col("activity"))).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Text files in the order of their names; a header is the first one. Lines keep their partitions, so no task has them all."""
-    if header is not None:
-        lines = lines.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).unionAll(lines.select("value"))
-    lines.write.text(path)
+def write_lines(lines: DataFrame, path: str, header: str | None = None, parts: bool = False) -> None:
+    """Text files; with a header, one file that begins with it, which a single task writes.
+
+    With parts, the header is a file of its own, the first by name, and the lines keep their partitions: for tables of any size.
+    """
+    if header is None:
+        lines.write.text(path)
+        return
+    h = lines.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    if parts:
+        h.unionAll(lines.select("value")).write.text(path)
+        return
+    d = h.select(F.lit(0).alias("_k"), "value").unionAll(lines.select(F.lit(1).alias("_k"), "value"))
+    d.coalesce(1).sortWithinPartitions("_k").select("value").write.text(path)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
