@@ -44,6 +44,9 @@ MARKS = frozenset(
     " header menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies reply share sharing sidebar social"
     " sponsor sponsored subscribe toolbar widget contentinfo complementary search".split()
 )
+#: Inside the article, a class name of several words marks only if it says comment, advert or notice, and nothing beyond these words of layout.
+INSIDE = frozenset("ad ads advert advertisement adverts advertising comment comments consent cookie cookies notice notices sponsor sponsored".split())
+LAYOUT = frozenset("area banner block body box container content group holder inner item list outer panel place reader readers section slot thread unit user wrap wrapper".split())
 START = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 NAME = re.compile(r"[^\s/>]*")
 #: The end of a tag, or a value in quotes, which may hold one.
@@ -125,8 +128,12 @@ class Scanner:
             begin = look = self.at
 
 
-def marked(attributes: dict[str, str]) -> bool:
-    return any(not MARKS.isdisjoint(PIECES.split(v.lower())) for v in attributes.values())
+def marked(attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class, id or role says that an element surrounds the text; inside the article only by whole names."""
+    if not in_article:
+        return any(not MARKS.isdisjoint(PIECES.split(v.lower())) for v in attributes.values())
+    names = [set(filter(None, PIECES.split(x))) for v in attributes.values() for x in v.lower().strip("\"'").split()]
+    return any((len(n) == 1 and n <= MARKS - {"header", "search"}) or (n & INSIDE and n <= INSIDE | LAYOUT) for n in names)
 
 
 def below(path: int, name: str) -> int:
@@ -140,7 +147,8 @@ def read_page(page: str) -> Page:
     out. End tags that are missing are implied: a leaf element ends at the next one; at the end
     tag of an outer element the inner ones end.
 
-    An element marked by its class name surrounds the text, unless it holds the page's first unmarked article or heading;
+    Inside the article a class name marks comments, adverts and notices if it is nothing but their name; words like related in
+    related-work don't. Elsewhere, an element marked by a word of its class name surrounds the text, unless it holds the page's first unmarked article or heading;
     a marked article in an article, or in what surrounds it, is a comment or a teaser.
     """
     blocks: list[Block] = []
@@ -220,7 +228,7 @@ def read_page(page: str) -> Page:
             if name in RAW:
                 scan.skip_raw(name)
                 continue
-            surrounds = name not in ("html", "body") and (name not in MAIN or article or skip) and marked(attributes)
+            surrounds = name not in ("html", "body") and (name not in MAIN or article or skip) and marked(attributes, article > 0)
             if name == "h1" and not seen_h1 or name in MAIN and not surrounds and not seen_main:
                 lift()
             seen_h1 |= name == "h1"

@@ -101,6 +101,8 @@ def test_divs_instead_of_articles(spark):
         ("<div class='post-sidebar'><article><h1>T</h1><p>x</p></article></div>", "T\n\nx"),
         ("<article><div class='post-header'><h1>T</h1></div><p>x</p></article>", "T\n\nx"),
         ("<article><p>x</p><article class='comment'><p>no</p></article></article>", "x"),
+        ("<article><h1>T</h1><div class='related-work'><p>x</p></div><p class=\"search-results wide\">y</p><p class=header-note>z</p></article>", "T\n\nx\n\ny\n\nz"),
+        ("<article><p>x</p><div class='comment-list'><p>no</p></div><div class='wide ad'>no</div><div id=cookie-notice>no</div><div class=reader-comments>no</div></article>", "x"),
         ("<div id=comments><article class=comment><p>no</p></article></div><p>x</p>", "x"),
         ("<aside><article><p>no</p></article></aside><p>x</p>", "x"),
         ("<ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul><p>x</p><ul><li>one <a>two</a></li></ul>", "x\n\none two"),
