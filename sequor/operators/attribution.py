@@ -195,9 +195,13 @@ def gumbel_softmax(logits: Column, key: Column, temperature: float = 1.0, seed:
     from sequor.functions.seq import uniform
 
     noisy = F.transform(logits, lambda v, i: (v - F.log(-F.log(uniform(seed, key, i) * (1 - 2e-16) + 1e-16))) / temperature)
-    top = F.array_max(noisy)
-    e = F.transform(noisy, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    shifted = _once(noisy, lambda n: _once(F.array_max(n), lambda top: F.transform(n, lambda v: F.exp(v - top))))
+    return _once(shifted, lambda e: _once(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed a single time a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def mutation_scores(variants: DataFrame, by: str, seq: str, score: str) -> DataFrame:
