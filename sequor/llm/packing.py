@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from sequor.llm.common import Stash, gapless_rank, prepare
 
-#: Parts held in one generation, and two generations at once; about 150 bytes each.
-CACHE_WORDS = 250_000
+#: Parts held in one generation, and two generations at once; about 170 bytes each, 200 MB a worker at most.
+CACHE_WORDS = 600_000
 TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Tokens that a pattern may leave empty.
 SLACK = 8
