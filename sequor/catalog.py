@@ -615,9 +615,9 @@ def m4(s, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks on the reverse strand against the others as background: a labelled, GC-matched dataset with its split."""
+    """Target 0 against target 1 as background: a labelled, GC-matched dataset with its split."""
     p = fx.near_peaks(spark, d)
-    x = pipelines.single_task(p.where("strand = '-'"), p.where("strand <> '-'"), fx.tiles(spark, d, 512, 128), "peak_id", 100, 1000, width=512, reach=128)
+    x = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), fx.tiles(spark, d, 512, 128), "peak_id", 100, 1000, width=512, reach=128)
     return pipelines.split_by_chromosome(x, ["chr2"], ["chr3", "chr4"]).select("peak_id", "chrom", "start_pos", "end_pos", "gc", "label", "split")
 
 
@@ -626,7 +626,7 @@ SINGLE = with_views("near genome", """SELECT peak_id, chrom, start_pos, end_pos,
     "r AS (SELECT peak_id, chrom, target_idx, end_pos - start_pos AS n, start_pos AS s0, end_pos AS e0, strand, CAST(round_even((start_pos + end_pos) / 2, 0) AS BIGINT) - 50 AS start_pos, CAST(round_even((start_pos + end_pos) / 2, 0) AS BIGINT) + 50 AS end_pos FROM near)",
     "q AS (SELECT r.*, substr(seq, start_pos + 1, 100) AS w FROM r JOIN genome USING (chrom) WHERE start_pos >= 0 AND end_pos <= length(seq) AND NOT contains(substr(seq, start_pos + 1, 100), 'N'))",
     "g AS (SELECT *, CAST(length(regexp_replace(CASE WHEN strand = '-' THEN reverse(translate(w, 'ACGT', 'TGCA')) ELSE w END, '[^CG]', '', 'g')) AS INT) AS gc FROM q)",
-    "pos AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE strand = '-' AND n < 1000)",
-    "neg AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE strand <> '-' AND NOT EXISTS (SELECT 1 FROM near b WHERE b.strand = '-' AND b.chrom = g.chrom AND b.start_pos < g.e0 AND g.s0 < b.end_pos))",
+    "pos AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE target_idx = 0 AND n < 1000)",
+    "neg AS (SELECT peak_id, chrom, start_pos, end_pos, gc FROM g WHERE target_idx = 1 AND NOT EXISTS (SELECT 1 FROM near b WHERE b.target_idx = 0 AND b.chrom = g.chrom AND b.start_pos < g.e0 AND g.s0 < b.end_pos))",
     "byg AS (SELECT gc, min(peak_id) AS m FROM neg GROUP BY gc)")
 query("single_task_dataset", SINGLE)(flagship)
