@@ -102,7 +102,8 @@ class LinearClasses:
         self.weights = np.asarray(weights, float)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.einsum("nij,kij->nk", x, self.weights[:, : x.shape[1]])
+        w = self.weights[:, : x.shape[1]]
+        return x.reshape(len(x), w[0].size) @ w.reshape(len(w), -1).T
 
     def gradient(self, x: np.ndarray, class_index: int | None = None) -> np.ndarray:
         w = self.weights.mean(0) if class_index is None else self.weights[class_index]

@@ -54,10 +54,15 @@ def times_input(x: Column, scores: Column) -> Column:
     return F.zip_with(x, scores, lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v))
 
 
-def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], key: str | None = None) -> DataFrame:
-    """Add out = f(batch, keys), where batch stacks the maps of x that have one length.
+#: Values of results that a batch of maps has at once, about: what a task holds doesn't follow the size of its Arrow batches.
+AT_ONCE = 1 << 18
 
-    Maps go from Arrow to NumPy and back without Python objects for single values.
+
+def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], key: str | None = None, values: Callable[[int], int] | None = None) -> DataFrame:
+    """Add out = f(batch, keys), where batch stacks maps of x that have one length.
+
+    Maps go from Arrow to NumPy and back without Python objects for single values. values: those of a row's result
+    by the values of its map, if there are more.
     """
     schema = df.withColumn(out, F.lit(None).cast(kind)).schema
 
@@ -65,18 +70,22 @@ def _apply(df: DataFrame, x: str, out: str, kind: str, f: Callable[[np.ndarray,
         for b in batches:
             lengths = pc.list_value_length(b.column(x)).to_numpy(zero_copy_only=False)
             for n in np.unique(lengths):
-                g = b.take(pa.array(np.flatnonzero(lengths == n)))
-                rows = g.column(x).flatten()
-                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
-                got = f(flat.reshape(g.num_rows, int(n), -1), {key: g.column(key).to_numpy(zero_copy_only=False)} if key else {})
-                if got.ndim == 1:
-                    col = pa.array(got)
-                elif got.ndim == 2:
-                    col = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], pa.int32()), pa.array(got.ravel()))
-                else:
-                    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, max(1, got.shape[2]), dtype=np.int32)), pa.array(got.ravel()))
-                    col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, max(1, got.shape[1]), dtype=np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([*g.columns, col], names=schema.names)
+                same = np.flatnonzero(lengths == n)
+                of_row = len(b.column(x).take(pa.array(same[:1])).flatten().flatten())
+                many = max(1, AT_ONCE // max(1, values(of_row) if values else of_row))
+                for lo in range(0, len(same), many):
+                    g = b.take(pa.array(same[lo : lo + many]))
+                    rows = g.column(x).flatten()
+                    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+                    got = f(flat.reshape(g.num_rows, int(n), -1), {key: g.column(key).to_numpy(zero_copy_only=False)} if key else {})
+                    if got.ndim == 1:
+                        col = pa.array(got)
+                    elif got.ndim == 2:
+                        col = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], pa.int32()), pa.array(got.ravel()))
+                    else:
+                        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, max(1, got.shape[2]), dtype=np.int32)), pa.array(got.ravel()))
+                        col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, max(1, got.shape[1]), dtype=np.int32)), inner)
+                    yield pa.RecordBatch.from_arrays([*g.columns, col], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -121,11 +130,11 @@ def hessian(df: DataFrame, model: Model, x: str = "x", eps: float = 1e-4, out: s
             got[:, k] = ((model.gradient(b + step) - model.gradient(b - step)) / (2 * eps)).reshape(n, -1)
         return got
 
-    return _apply(df, x, out, MAP, f)
+    return _apply(df, x, out, MAP, f, values=lambda n: n * n)
 
 
 #: Values of mutants that one call of a model gets, about.
-MUTANT_VALUES = 1 << 21
+MUTANT_VALUES = 1 << 18
 
 
 def mutagenesis(df: DataFrame, model: Model, x: str = "x", class_index: int | None = None, out: str = "effect") -> DataFrame:
@@ -142,14 +151,16 @@ def mutagenesis(df: DataFrame, model: Model, x: str = "x", class_index: int | No
 
     def f(b: np.ndarray, _: dict[str, np.ndarray]) -> np.ndarray:
         n, length, letters = b.shape
-        got, step = np.empty_like(b), max(1, MUTANT_VALUES // max(1, letters * length * letters))
-        for r in range(n):
+        got, of_row = np.empty_like(b), max(1, letters * length * letters * length)
+        rows, step = max(1, MUTANT_VALUES // of_row), max(1, MUTANT_VALUES // max(1, letters * length * letters))
+        for r in range(0, n, rows):  # several short maps at once, or parts of a long one
+            some = b[r : r + rows]
             for lo in range(0, length, step):
                 at = np.arange(min(step, length - lo))
-                v = np.broadcast_to(b[r], (len(at), letters, length, letters)).copy()
-                v[at, :, lo + at] = np.eye(letters)
-                got[r, lo : lo + len(at)] = score(v.reshape(-1, length, letters)).reshape(len(at), letters)
-            got[r] -= score(b[r : r + 1])[0]
+                v = np.broadcast_to(some[:, None, None], (len(some), len(at), letters, length, letters)).copy()
+                v[:, at, :, lo + at] = np.eye(letters)
+                got[r : r + rows, lo : lo + len(at)] = score(v.reshape(-1, length, letters)).reshape(len(some), len(at), letters)
+            got[r : r + rows] -= score(some)[:, None, None]
         return got
 
     return _apply(df, x, out, MAP, f)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sequor.operators import intervals
+from sequor.functions.models import LinearClasses, Logistic
+from sequor.operators import attribution, intervals, motif
 
 
 def copies(spark, places, times, apart=1000):
@@ -23,3 +26,56 @@ def test_equal_intervals_begin_one_island(spark):
 def test_equal_intervals_merge_into_one_region(spark):
     got = intervals.greedy_merge(copies(spark, 2_000, 3), 200, 50, ["chrom"])
     assert got.count() == 2_000 and got.where(F.col("activity") != F.array(F.lit(0), F.lit(1), F.lit(2))).count() == 0
+
+
+def test_scan_of_many_filters_and_lengths(spark):
+    """Letters outside ASCII are letters like others, and offsets outside the window don't count."""
+    seqs = {1: "ACGTACGTAC", 2: "GGG", 3: "N\U0001d49c\u00e9CCGA", 4: None, 5: "CGCG"}
+    weights = [("x", 0, "C", 1.0), ("x", 1, "G", 2.0), ("x", 9, "G", 50.0), ("y", 2, "\u00e9", 0.5), ("y", 0, "A", None)]
+    d = spark.createDataFrame(list(seqs.items()), "id int, seq string")
+    k = spark.createDataFrame(weights, "filter string, offset int, nt string, weight double")
+    found = motif.scan(d, k, "id", width=4)
+    held = {(f, o, c): w or 0.0 for f, o, c, w in weights}
+    want = sorted((i, p, f, sum(held.get((f, o, s[p + o]), 0.0) for o in range(4))) for i, s in seqs.items() if s for p in range(len(s) - 3) for f in "xy")
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each window, which held its letters and all weights
+    assert motif.scan(d, k.where("false"), "id", width=4).count() == 0
+    with pytest.raises(ValueError, match="two weights"):
+        motif.scan(d, k.unionAll(k.limit(1)), "id")
+
+
+class Small(Logistic):
+    """A model that takes no more values at once than a task should hold."""
+
+    def gradient(self, x):
+        assert x.size <= attribution.AT_ONCE, x.size
+        return super().gradient(x)
+
+
+def test_maps_are_taken_in_batches_of_bounded_size(spark):
+    d = spark.range(9_000).select("id", F.array(F.array_repeat(F.col("id") / 9000, 64)).alias("x")).coalesce(1)
+    model = Small(np.array([[(k % 5 - 2) * 0.25 for k in range(64)]]))
+    assert attribution.perturb(d, model).agg(F.sum("id"), F.count("perturbed")).first()[:] == (9_000 * 8_999 // 2, 9_000)
+    model.gradient = lambda x: Logistic.gradient(model, x) if x.size * 64 <= attribution.AT_ONCE else 1 / 0
+    assert attribution.hessian(d.limit(300), model).agg(F.sum(F.size("hessian"))).first()[0] == 300 * 64
+
+
+def test_mutants_of_many_maps_at_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(LinearClasses):
+        def predict(self, x):
+            calls.add(1)
+            return super().predict(x)
+
+    rng = np.random.default_rng(3)
+    model, maps = Counted(rng.standard_normal((2, 6, 4))), np.eye(4)[rng.integers(0, 4, (200, 6))]
+    d = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(maps)], "id int, x array<array<double>>").coalesce(1)
+    norm = lambda m: np.linalg.norm((model.weights * m).sum((1, 2)))
+    for r in attribution.mutagenesis(d, model).collect():
+        for p in range(6):
+            for c in range(4):
+                m = maps[r["id"]].copy()
+                m[p] = np.eye(4)[c]
+                assert abs(r["effect"][p][c] - (norm(m) - norm(maps[r["id"]]))) < 1e-9
+    assert calls.value <= 10
