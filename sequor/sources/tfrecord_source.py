@@ -2,7 +2,7 @@
 
 Options: path (a folder, of a store that pyarrow opens), feature_dtype and label_dtype (float32), chunk (10 000 records a file),
 compress (true). What is written has the columns feature and label, arrays of numbers. Tasks write to a folder of their
-job beside the others; files get their names when all tasks have succeeded, so that neither a failed
+job, which the driver makes and ends, beside the others; files get their names when all tasks have succeeded, so that neither a failed
 job nor a task that ran twice leaves a record behind.
 """
 
@@ -15,18 +15,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 from pyspark.taskcontext import TaskContext
 
-from sequor.sources.tfrecord import batches_of, encode_example, example_row, frames, opened
+from sequor.sources.tfrecord import encode_rows, example_batches, frames, opened
 
 SCHEMA = "path string, rec_no long, feature array<double>, feature_shape array<long>, label array<double>, label_shape array<long>"
 ENDS = (".tfr", ".tfr.gz")
+#: A file in the job's folder while the job runs.
+OPEN = "_open"
 #: Records that are encoded and summed together.
-TOGETHER = 512
+TOGETHER = 4096
+#: Bytes of files that a task reads, about; packed records grow to tens of times as many.
+READ, READ_PACKED = 64 << 20, 2 << 20
 
 
 def shards(folder: str) -> list[tuple[str, int]]:
@@ -59,33 +63,28 @@ class Files(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """One task for files of about 128 MB together; a file is read as a stream."""
+    """One task for files of about READ bytes together, READ_PACKED of packed ones; a file is read as a stream."""
 
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
         self.kinds = options.get("feature_dtype", "float32"), options.get("label_dtype", "float32")
 
     def partitions(self) -> list[Files]:
-        out, held = [], 1 << 62
+        out, held = [], 2.0
         for path, size in shards(self.folder):
-            if held + size > 128 << 20:
+            share = size / (READ_PACKED if path.endswith(".gz") else READ)
+            if held + share > 1:
                 out.append(Files([]))
-                held = 0
+                held = 0.0
             out[-1].paths.append(path)
-            held += size
+            held += share
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = opened(self.folder)
-        names = ["path", "rec_no", "feature", "feature_shape", "label", "label_shape"]
-        kinds = [pa.string(), pa.int64(), *(pa.list_(t) for t in (pa.float64(), pa.int64()) * 2)]
         for path in partition.paths:
-            rec_no = 0
             with store.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as f:
-                for found in batches_of(f):
-                    rows = [(path, rec_no + k, *example_row(r, *self.kinds)) for k, r in enumerate(found)]
-                    rec_no += len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield from example_batches(path, f, *self.kinds)
 
 
 @dataclass
@@ -100,32 +99,41 @@ class Writer(DataSourceArrowWriter):
         self.kinds = options.get("feature_dtype", "float32"), options.get("label_dtype", "float32")
         self.chunk, self.compress = int(options.get("chunk", 10_000)), options.get("compress", "true").lower() == "true"
         self.job = f"_job-{uuid.uuid4().hex}"
+        store, at = opened(self.folder)
+        store.create_dir(f"{at}/{self.job}", recursive=True)
+        store.open_output_stream(f"{at}/{self.job}/{OPEN}", compression=None).close()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = opened(self.folder)
-        store.create_dir(f"{at}/{self.job}", recursive=True)
         part, attempt, parts = TaskContext.get().partitionId(), uuid.uuid4().hex, []
-        stack = lambda v, kind: np.array(v, kind)
         out = packed = None
         room = 0
         try:
             for b in iterator:
-                pairs = list(zip(b.column("feature").to_pylist(), b.column("label").to_pylist(), strict=True))
-                while pairs:
+                lo = 0
+                while lo < b.num_rows:
                     if not room:
+                        self._check(store, at)
                         parts.append(f"{at}/{self.job}/{part:05d}-{len(parts):05d}-{attempt}")
                         out = store.open_output_stream(parts[-1], compression=None)
                         packed = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0, filename="") if self.compress else out
                         room = self.chunk
-                    now, pairs = pairs[: min(room, TOGETHER)], pairs[min(room, TOGETHER) :]
-                    packed.write(frames([encode_example({"feature": stack(x, self.kinds[0]), "label": stack(y, self.kinds[1])}) for x, y in now]))
-                    room -= len(now)
+                    now = b.slice(lo, min(room, TOGETHER))
+                    packed.write(frames(encode_rows(_rows(now.column("feature")), _rows(now.column("label")), *self.kinds)))
+                    room, lo = room - now.num_rows, lo + now.num_rows
                     if not room:
                         _close(packed, out)
                         out = None
         finally:
             if out is not None:
                 _close(packed, out)
+        try:
+            self._check(store, at)
+        except RuntimeError:
+            for p in parts:
+                if store.get_file_info(p).type == FileType.File:
+                    store.delete_file(p)
+            raise
         return Written(part, parts)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -145,10 +153,32 @@ class Writer(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
+    def _check(self, store: FileSystem, at: str) -> None:
+        """A task of a job that has failed must not begin a file, nor make the job's folder anew."""
+        if store.get_file_info(f"{at}/{self.job}/{OPEN}").type != FileType.File:
+            raise RuntimeError("the job has ended")
+
     def _clear(self) -> None:
+        """Without OPEN no task begins another file; those that are begun may need a second try."""
         store, at = opened(self.folder)
-        if store.get_file_info(f"{at}/{self.job}").type == FileType.Directory:
-            store.delete_dir(f"{at}/{self.job}")
+        folder = f"{at}/{self.job}"
+        if store.get_file_info(f"{folder}/{OPEN}").type == FileType.File:
+            store.delete_file(f"{folder}/{OPEN}")
+        for more in (True, True, False):
+            try:
+                if store.get_file_info(folder).type == FileType.Directory:
+                    store.delete_dir(folder)
+            except OSError:
+                if not more:
+                    raise
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of arrays of numbers, or of arrays of such."""
+    if not pa.types.is_list(column.type) or pa.types.is_nested(column.type.value_type) or column.null_count or column.flatten().null_count:
+        return [np.array(v) for v in column.to_pylist()]
+    flat, length = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    return np.split(flat, np.cumsum(length)[:-1])
 
 
 def _close(packed, out) -> None:

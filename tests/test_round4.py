@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sequor.functions.models import LinearClasses, Logistic
 from sequor.operators import attribution, intervals, motif
+from sequor.sources import tfrecord, tfrecord_source
 
 
 def copies(spark, places, times, apart=1000):
@@ -79,3 +83,43 @@ def test_mutants_of_many_maps_at_once(spark):
                 m[p] = np.eye(4)[c]
                 assert abs(r["effect"][p][c] - (norm(m) - norm(maps[r["id"]]))) < 1e-9
     assert calls.value <= 10
+
+
+def test_records_of_many_shapes_at_once():
+    rng = np.random.default_rng(1)
+    xs = [rng.standard_normal(s) for s in ((3,), (2, 4), (8,), (0,), (3,), ())]
+    ys = [np.array([k]) for k in range(len(xs))]
+    one = [tfrecord.encode_example({"feature": x.astype("float32"), "label": y.astype("int16")}) for x, y in zip(xs, ys, strict=True)]
+    assert tfrecord.encode_rows(xs, ys, "float32", "int16") == one
+    other = [tfrecord.encode_example({"feature": np.float32([k]), "label": np.int16([k]), "more": np.int64([k])}).replace(b"more/value", b"more/thing") for k in range(40)]
+    for data in (one, one * 20, other, other + one):
+        want = [tfrecord.example_row(r, "float32", "int16") for r in data]
+        got = {}
+        for at, columns in tfrecord.example_columns(data, "float32", "int16"):
+            got |= dict(zip(at.tolist(), map(list, zip(*(c.to_pylist() for c in columns), strict=True)), strict=True))
+        assert [got[k] for k in range(len(data))] == want
+
+
+def test_packed_shards_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tfrecord_source, "shards", lambda folder: [(f"{folder}/shard-{k:05d}.tfr.gz", 1 << 20) for k in range(64)])
+    assert 16 <= len(tfrecord_source.Reader({"path": str(tmp_path)}).partitions()) <= 64
+
+
+def test_tasks_that_outlive_their_job_leave_nothing(tmp_path, monkeypatch):
+    """A task may go on when its job has failed and been cleared."""
+    writer = tfrecord_source.Writer({"path": str(tmp_path), "chunk": "10"}, False)
+    monkeypatch.setattr(tfrecord_source.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"feature": [[1.0]] * 25, "label": [[2.0]] * 25})
+    assert len(writer.write(iter([batch])).parts) == 3
+
+    def late():
+        yield batch
+        writer.abort([])
+        yield batch
+
+    with pytest.raises((RuntimeError, OSError)):
+        writer.write(late())
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(RuntimeError):
+        writer.write(iter([batch]))
+    assert list(tmp_path.iterdir()) == []
