@@ -9,9 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sequor import fixtures as fx
 from sequor.functions.models import LinearClasses, Logistic
 from sequor.operators import attribution, intervals, motif
+from sequor.operators.rank import smallest
 from sequor.sources import tfrecord, tfrecord_source
+from tests.conftest import SF
 
 
 def copies(spark, places, times, apart=1000):
@@ -123,3 +126,22 @@ def test_tasks_that_outlive_their_job_leave_nothing(tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         writer.write(iter([batch]))
     assert list(tmp_path.iterdir()) == []
+
+
+def test_a_selection_reads_its_table_twice(spark):
+    """Once for the keys, which are narrowed down several times, and once for the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for p in frames:
+            seen.add(len(p))
+            yield p
+
+    d = spark.range(300_000).mapInPandas(counted, "id long")
+    got = smallest(d, [F.xxhash64("id"), F.col("id")], 1000)
+    assert got.count() == 1000 and seen.value <= 3 * 300_000  # a checkpoint takes a second pass
+
+
+def test_windows_are_cut_in_one_pass(spark):
+    plan = fx.seq40(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "substr" not in plan
