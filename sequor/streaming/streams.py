@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sequor.functions.seq import gc_count, has_n, reverse_complement
 from sequor.operators.genome import get_sequences
-from sequor.operators.intervals import BIN, LEVELS, overlap_join
+from sequor.operators.intervals import BIN, LEVELS, level_of, overlap_join
 
 
 def sequence_features(stream: DataFrame, seq: str = "seq") -> DataFrame:
@@ -27,9 +27,16 @@ def session_counts(stream: DataFrame, time: str, by: str, gap: str = "30 minutes
     return d.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def overlaps(stream: DataFrame, static: DataFrame, width: int = BIN) -> DataFrame:
-    """Every pair of a stream's interval and an overlapping one of a table: a stateless join, in append mode. The table's columns get the prefix b_."""
-    return overlap_join(stream, static, width, list(range(LEVELS)))
+def overlaps(stream: DataFrame, static: DataFrame, width: int = BIN, levels: list[int] | None = None) -> DataFrame:
+    """Every pair of a stream's interval and an overlapping one of a table: a stateless join, in append mode. The table's columns get the prefix b_.
+
+    The table is dealt out in every batch, with a copy for each level of bins that the stream may use; levels: those it does use, if they are
+    known (intervals.levels_in_use of a sample won't do). An interval of another level raises an error.
+    """
+    if levels is None:
+        return overlap_join(stream, static, width, list(range(LEVELS)))
+    known = F.assert_true(level_of(width).isin(levels), F.lit(f"an interval is of none of the levels {levels}"))
+    return overlap_join(stream.where(F.when(F.col("end_pos") > F.col("start_pos"), known).isNull()), static, width, levels)
 
 
 def sequences(stream: DataFrame, tiles: DataFrame, id_col: str, width: int, reach: int) -> DataFrame:

@@ -14,6 +14,7 @@ from sequor.functions.models import LinearClasses, Logistic
 from sequor.operators import attribution, intervals, motif
 from sequor.operators.rank import smallest
 from sequor.sources import tfrecord, tfrecord_source
+from sequor.streaming import streams
 from tests.conftest import SF
 
 
@@ -145,3 +146,11 @@ def test_a_selection_reads_its_table_twice(spark):
 def test_windows_are_cut_in_one_pass(spark):
     plan = fx.seq40(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1 and "substr" not in plan
+
+
+def test_a_stream_of_known_levels_meets_fewer_copies(spark):
+    a = spark.range(500).select(F.lit("c").alias("chrom"), (F.col("id") * 700).alias("start_pos"), (F.col("id") * 700 + 900).alias("end_pos"))
+    pairs = lambda d: sorted(tuple(r) for r in d.select("start_pos", "b_start_pos").collect())
+    assert pairs(streams.overlaps(a, a, levels=[0])) == pairs(streams.overlaps(a, a)) != []
+    with pytest.raises(Exception, match="none of the levels"):
+        streams.overlaps(a.unionAll(a.limit(1).withColumn("end_pos", F.col("end_pos") + 5000)), a, levels=[0]).count()
