@@ -154,3 +154,13 @@ def test_a_stream_of_known_levels_meets_fewer_copies(spark):
     assert pairs(streams.overlaps(a, a, levels=[0])) == pairs(streams.overlaps(a, a)) != []
     with pytest.raises(Exception, match="none of the levels"):
         streams.overlaps(a.unionAll(a.limit(1).withColumn("end_pos", F.col("end_pos") + 5000)), a, levels=[0]).count()
+
+
+def test_a_block_merges_all_but_its_borders():
+    """Regions of one length inside an island: what lies outside holds back only those beside it."""
+    rnd = np.random.default_rng(1)
+    peaks = [(float(s), float(s + 1000), frozenset([int(k)])) for s, k in zip(np.sort(rnd.integers(0, 300_000, 4000)), rnd.integers(0, 7, 4000), strict=True)]
+    whole = intervals.greedy_merge_island(peaks, 1000, 200, None)
+    kept, pending = intervals.greedy_merge_block(peaks, 1000, 200, None, (peaks[0][1] - 50, peaks[0][0] + 450), (peaks[-1][0] + 50, peaks[-1][0] + 550))
+    assert pending and len(whole) <= len(kept) < len(whole) + 60
+    assert len({x for _, x in kept} & set(whole)) > len(whole) - 60
