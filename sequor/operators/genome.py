@@ -50,9 +50,14 @@ def get_sequences(df: DataFrame, tiles: DataFrame, id_col: str, width: int = TIL
         ok = F.assert_true(size <= reach + 1, F.lit(f"an interval is longer than {reach + 1}"))
         d = df.where("start_pos >= 0 and end_pos > start_pos").where(ok.isNull()).withColumn("tile", F.floor(F.col("start_pos") / width).cast("int"))
         at = F.col("start_pos") - F.col("tile") * F.lit(width)
-        d = d.join(tiles, ["chrom", "tile"]).where(at + size <= F.octet_length("part"))
-        d = d.withColumn("seq", F.substr("part", (at + 1).cast("int"), size.cast("int"))).select(*df.columns, "seq")
-        return _on_strand(d) if strand else d
+        # Bytes are cut without a walk from the tile's beginning, and a tile is turned round once, not each of its intervals.
+        sides = {"part": F.col("part").cast("binary")} | ({"_back": reverse_complement(F.col("part")).cast("binary")} if strand else {})
+        d = d.join(tiles.withColumns(sides), ["chrom", "tile"]).where(at + size <= F.octet_length("part"))
+        cut = lambda side, first: F.substr(side, (first + 1).cast("int"), size.cast("int")).cast("string")
+        seq = cut("part", at)
+        if strand:
+            seq = F.when(F.col("strand") == "-", cut("_back", F.octet_length("part") - at - size)).otherwise(seq)
+        return d.select(*df.columns, seq.alias("seq"))
     first, last = F.floor(F.col("start_pos") / width).cast("int"), F.floor((F.col("end_pos") - 1) / width).cast("int")
     d = df.where("start_pos >= 0 and end_pos > start_pos").withColumn("tile", F.explode(F.sequence(first, last)))
     d = d.join(tiles, ["chrom", "tile"])

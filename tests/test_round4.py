@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
 from sequor.functions.models import LinearClasses, Logistic
-from sequor.operators import attribution, intervals, motif
+from sequor.operators import attribution, genome, intervals, motif
 from sequor.operators.rank import smallest
+from sequor.plans import pipelines
 from sequor.sources import tfrecord, tfrecord_source
 from sequor.streaming import streams
 from tests.conftest import SF
@@ -164,3 +165,26 @@ def test_a_block_merges_all_but_its_borders():
     kept, pending = intervals.greedy_merge_block(peaks, 1000, 200, None, (peaks[0][1] - 50, peaks[0][0] + 450), (peaks[-1][0] + 50, peaks[-1][0] + 550))
     assert pending and len(whole) <= len(kept) < len(whole) + 60
     assert len({x for _, x in kept} & set(whole)) > len(whole) - 60
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_are_turned_round_not_intervals(spark):
+    rng = np.random.default_rng(2)
+    genome_ = {c: "".join(rng.choice(list("ACGTNacgt"), 997)) for c in ("chr1", "chr2")}
+    rows = [(k, f"chr{k % 2 + 1}", int(s), int(s + n), "+-."[k % 3]) for k, (s, n) in enumerate(zip(rng.integers(-5, 1000, 400), rng.integers(0, 34, 400), strict=True))]
+    df = spark.createDataFrame(rows, "id int, chrom string, start_pos long, end_pos long, strand string")
+    tiles = genome.tile(spark.createDataFrame(list(genome_.items()), "chrom string, seq string"), 64, 32)
+    back = str.maketrans("ACGTacgt", "TGCAtgca")
+    for strand in (True, False):
+        d = genome.get_sequences(df, tiles, "id", 64, strand, reach=32)
+        want = {k: genome_[c][s:e][::-1].translate(back) if strand and o == "-" else genome_[c][s:e] for k, c, s, e, o in rows if 0 <= s < e <= 997}
+        assert {r.id: r.seq for r in d.collect()} == want and d.schema["seq"].dataType.simpleString() == "string" and len(want) > 300
+        assert ("translate(part" in plan_of(d)) == strand
+
+
+def test_pieces_are_taken_out_of_the_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(fx, "tile_pieces", lambda df, *_: df)
+    assert "FileScan" not in plan_of(fx.tiles(spark, SF, 512, 128))
