@@ -185,6 +185,12 @@ def test_tiles_are_turned_round_not_intervals(spark):
         assert ("translate(part" in plan_of(d)) == strand
 
 
+def test_single_task_looks_sequences_up_once(spark):
+    p = fx.near_peaks(spark, SF)
+    x = pipelines.single_task(p.where("target_idx = 0"), p.where("target_idx = 1"), fx.tiles(spark, SF, 512, 128), "peak_id", 100, 1000, width=512, reach=128)
+    assert x.count() > 100 and "FileScan" not in plan_of(x)
+
+
 def test_pieces_are_taken_out_of_the_texts_once(spark, monkeypatch):
     monkeypatch.setattr(fx, "tile_pieces", lambda df, *_: df)
     assert "FileScan" not in plan_of(fx.tiles(spark, SF, 512, 128))
