@@ -194,3 +194,18 @@ def test_single_task_looks_sequences_up_once(spark):
 def test_pieces_are_taken_out_of_the_texts_once(spark, monkeypatch):
     monkeypatch.setattr(fx, "tile_pieces", lambda df, *_: df)
     assert "FileScan" not in plan_of(fx.tiles(spark, SF, 512, 128))
+
+
+def test_no_rows_for_levels_that_the_other_side_lacks(spark, monkeypatch):
+    """b's own bins are needed once more only where a has shorter intervals."""
+    rows = [(k, "chr1", 137 * k, 137 * k + n) for k, n in enumerate([40, 900, 700, 40_000, 3, 1000] * 20)]
+    df = spark.createDataFrame(rows, "id int, chrom string, start_pos long, end_pos long").withColumn("n", F.expr("end_pos - start_pos"))
+    short, long_ = df.where("n <= 1024").drop("n"), df.where("n > 1024").drop("n")
+    met, binned = [], intervals._binned
+    monkeypatch.setattr(intervals, "_binned", lambda *a: met.append(binned(*a)) or met[-1])
+    over = lambda a, b: {(x[0], y[0]) for x in a.collect() for y in b.collect() if x[2] < y[3] and y[2] < x[3]}
+    for a, b, most in ((short, short, 2 * 2 * 100), (short, long_, 2 * 20 + 2 * 100), (long_, short, 2 * 20 + 2 * 100), (long_, long_, 2 * 2 * 20), (df.drop("n"), df.drop("n"), None)):
+        got = [(r["id"], r["b_id"]) for r in intervals.overlap_join(a, b).collect()]
+        assert len(got) == len(set(got)) and set(got) == over(a, b)
+        assert most is None or sum(m.count() for m in met) <= most
+        met.clear()
