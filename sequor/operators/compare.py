@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sequor.session import shared_folder
+
 #: Steps into which a column's correlation, from -1 to 1, is cut for p-values.
 STEPS = 100
 #: Columns of all queries together, at most: queries are sent with the code, targets are rows.
@@ -73,7 +75,8 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, by: str = "motif", le
         return spark.createDataFrame([], schema)
     every = np.concatenate(query)
     starts = np.concatenate([[0], np.cumsum(widths)])
-    rows = matrices(targets, by)
+    shared_folder(spark)
+    rows = matrices(targets, by).checkpoint()  # counted and aligned
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(every), STEPS), np.int64)

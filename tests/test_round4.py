@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sequor import fixtures as fx
 from sequor.functions.models import LinearClasses, Logistic
-from sequor.operators import attribution, genome, intervals, motif
+from sequor.operators import attribution, compare, genome, intervals, motif
 from sequor.operators.rank import smallest
 from sequor.plans import pipelines
 from sequor.sources import tfrecord, tfrecord_source
@@ -209,3 +209,18 @@ def test_no_rows_for_levels_that_the_other_side_lacks(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == over(a, b)
         assert most is None or sum(m.count() for m in met) <= most
         met.clear()
+
+
+def test_motifs_are_counted_in_one_pass(spark):
+    """The windows are read once for a table of shares, and the targets once for counting and aligning."""
+    rows = [("a", "ACGT"), ("a", "AAGN"), ("a", "CC"), ("a", None), ("b", "TTTT"), (None, "GGGG"), (None, "GGGG")]
+    d = spark.createDataFrame(rows, "motif string, w string")
+    p = motif.position_probabilities(d, "motif", "w", 4)
+    assert plan_of(p).count("Scan ") == 1
+    got = {(r["motif"], r["pos"], r["nt"]): r["prob"] for r in p.collect()}
+    for k in range(4):
+        for nt in "ACGT":
+            assert got["a", k, nt] == sum(w is not None and w[k : k + 1] == nt for m, w in rows if m == "a") / 4 and got["b", k, nt] == 0.25
+    assert len(got) == 48
+    found = compare.compare_motifs(motif.matrix_rows(p.where("motif = 'a'"), "motif"), motif.matrix_rows(p.where("motif is not null"), "motif"))
+    assert found.count() == 2 and "Generate" not in plan_of(found)
