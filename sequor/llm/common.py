@@ -174,19 +174,28 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round moves edges
     towards the smallest neighbour until every component is a star. Only joins and partial
-    aggregations; the number of rounds grows with the logarithm of the component size.
+    aggregations; the number of rounds grows with the logarithm of the component size. A round's table and
+    shuffle files go when the next one is there, so that disk holds one round, not all.
     """
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    e = cut(e)
+    spark = edges.sparkSession
+    held = Stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     mark = None
     while True:
-        n = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))"), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31)))).first()
+        n = held.df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))"), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31)))).first()
         if n == mark or not n[0]:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        mark = n
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        rest = large.join(low, "hi").where("lo <> m").select("lo", "m")
-        e = cut(low.unionAll(rest).distinct().toDF("hi", "lo"))
+            release(spark)
+            return held.df.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        mark, before = n, held
+        held = Stash(stars(before.df))
+        before.drop()
+        release(spark)
+
+
+def stars(e: DataFrame) -> DataFrame:
+    """A round on edges (hi, lo)."""
+    both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select("lo", "hi"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    rest = large.join(low, "hi").where("lo <> m").select("lo", "m")
+    return low.unionAll(rest).distinct().toDF("hi", "lo")
