@@ -114,8 +114,24 @@ def smoothgrad(df: DataFrame, model: Model, key: str, x: str = "x", n: int = 25,
 
 
 def _integrated(model: Model, b: np.ndarray, base: np.ndarray, steps: int) -> np.ndarray:
-    g = np.stack([model.gradient(base + a * (b - base)) for a in np.linspace(0, 1, steps + 1)])
-    return ((g[:-1] + g[1:]) / 2).mean(0) * (b - base)
+    move, total = b - base, np.zeros(b.shape)
+    for k, a in enumerate(np.linspace(0, 1, steps + 1)):
+        total += (1.0 if 0 < k < steps else 0.5) * model.gradient(base + a * move)
+    return total / steps * move
+
+
+def _orders(keys: np.ndarray, seed: int, k: int, length: int) -> np.ndarray:
+    """(n, length): each row's places in an order given by hashes of seed, k, row key and place."""
+
+    def mixed(z: np.ndarray) -> np.ndarray:
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    step = np.uint64(0x9E3779B97F4A7C15)
+    draw = mixed(mixed(np.array([seed], np.int64).view(np.uint64) + step) + np.array([k], np.uint64) * step)
+    rows = mixed(np.asarray(keys).astype(np.int64).view(np.uint64) + draw)
+    return np.argsort(mixed(rows[:, None] + np.arange(1, length + 1, dtype=np.uint64) * step), axis=1, kind="stable")
 
 
 def hessian(df: DataFrame, model: Model, x: str = "x", eps: float = 1e-4, out: str = "hessian") -> DataFrame:
@@ -177,7 +193,7 @@ def expected_gradients(df: DataFrame, model: Model, key: str, x: str = "x", base
     def f(b: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
         total = np.zeros_like(b)
         for k in range(baselines):
-            base = np.stack([v[np.random.default_rng([seed, k, int(h) & 0xFFFFFFFF]).permutation(len(v))] for v, h in zip(b, g[key], strict=True)])
+            base = np.take_along_axis(b, _orders(g[key], seed, k, b.shape[1])[:, :, None], 1)
             total += _integrated(model, b, base, steps)
         return total / baselines
 
