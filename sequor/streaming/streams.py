@@ -57,6 +57,8 @@ def islands(stream: DataFrame, overlap: int, by: list[str], late: int) -> DataFr
     later than that are left out. All groups move along together, as when files are sorted by start. A new island begins where
     (largest end so far) - overlap <= start, as in the table's operator; intervals of one start are of one island.
     """
+    # Each task merges its own rows first, so that what is dealt out and sorted by group are islands of tasks.
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     own = F.greatest(F.col("end_pos") - F.col("start_pos") - overlap, F.lit(0))
     # A microsecond short, so that sessions that only touch stay apart; at least one, as a session must last.
     gap = F.when(own > 0, F.concat((own * 1_000_000 - 1).cast("string"), F.lit(" microseconds"))).otherwise(F.lit("1 microsecond"))
