@@ -134,14 +134,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     A longer word is on the other side. Of words of one length, those meet that lose the same place; a key
     has at most one word for each letter and place, so a group of equal keys is bounded by the alphabet.
+    The joins are hinted: keys are sized as the compressed words that they are made of, a small part of what they hold, and
+    would be sent to the driver and all tasks.
     """
     k = deletion_keys(words)
     a, b = k.alias("a"), k.alias("b")
     shorter = (F.col("a.lo") < 0) & (F.col("b.lo") >= 0)
     same = (F.col("a.lo") >= 0) & (F.col("a.id") < F.col("b.id")) & (F.greatest("a.lo", "b.lo") <= F.least("a.hi", "b.hi"))
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where(shorter | same)
+    met = a.join(b.hint("merge"), F.col("a.key") == F.col("b.key")).where(shorter | same)
     met = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.when(F.col("a.lo") >= 0, F.greatest("a.lo", "b.lo")).alias("place"), F.col("b.lo").alias("lo"))
-    d = met.join(words.select("id", "word", "n"), "id").join(words.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n")), "other")
+    d = met.join(words.select("id", "word", "n").hint("merge"), "id")
+    d = d.join(words.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n")).hint("merge"), "other")
     left = F.when(F.col("place").isNull(), F.col("word")).otherwise(_without(F.col("word"), F.col("place")))
     right = _without(F.col("other_word"), F.coalesce("place", "lo"))
     return d.where((left == right) & (F.col("word") != F.col("other_word"))).drop("place", "lo")
@@ -175,11 +178,11 @@ def group_variants(counts: DataFrame, factor: int = 5) -> DataFrame:
         chain = found.where("up is not null").select("id", "up")
         while True:
             ahead = chain.select(F.col("id").alias("up"), F.col("up").alias("next"))
-            chain = cut(chain.join(ahead, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+            chain = cut(chain.join(ahead.hint("merge"), "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
             if chain.where("moved").isEmpty():
                 break
             chain = chain.drop("moved")
-        roots = chain.join(words.select(F.col("id").alias("up"), F.col("word").alias("root")), "up").select("id", "root")
+        roots = chain.join(words.select(F.col("id").alias("up"), F.col("word").alias("root")).hint("merge"), "up").select("id", "root")
         return cut(found.drop("up").join(roots, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
     finally:
         for t in kept:
